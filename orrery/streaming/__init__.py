@@ -1,0 +1,5 @@
+"""No streaming operator exists in the surveyed capability set, so none is offered here.
+
+Every batch operator of this package is a plain DataFrame transformation; those without global
+ordering can be applied to a streaming DataFrame as they are.
+"""
