@@ -28,18 +28,22 @@ def per_key_profile(df: DataFrame, first: str, second: str, ts: str) -> DataFram
     return ranged.groupBy("field", "key_value").agg(F.sum("n").alias("n_rows"), F.count("other").alias("n_distinct"), F.min("lo").alias("first_ts"), F.max("hi").alias("last_ts"))
 
 
-def ranked_within(df: DataFrame, group: str, order: str, label: str, rank: str = "rank") -> DataFrame:
-    """1, 2, 3, … per group by order, with no group held by one task.
+def ranked_within(df: DataFrame, group: str | None, order: list[str], label: str, rank: str = "rank") -> DataFrame:
+    """1, 2, 3, … per group (None: over all rows) by order, with no group held by one task.
 
     Rows are range-partitioned, sorted and staged; a row's rank is its place in its partition plus the
     rows of its group in the partitions before, of which there is one number per partition.
     """
-    placed = stage(df.repartitionByRange(group, order).sortWithinPartitions(group, order).withColumn("_mid", F.monotonically_increasing_id()), label)
-    placed = placed.withColumn("_part", F.shiftright("_mid", 33))
-    parts = placed.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(group, "_part", "_first", before.alias("_before"))
-    return placed.join(parts, [group, "_part"]).withColumn(rank, F.col("_mid") - F.col("_first") + F.col("_before") + 1).drop("_mid", "_part", "_first", "_before")
+    df = df if group else df.withColumn("_rw_all", F.lit(0))
+    by = group or "_rw_all"
+    keys = ([group] if group else []) + order
+    placed = stage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_rw_mid", F.monotonically_increasing_id()), label)
+    placed = placed.withColumn("_rw_part", F.shiftright("_rw_mid", 33))
+    parts = placed.groupBy(by, "_rw_part").agg(F.count(F.lit(1)).alias("_rw_n"), F.min("_rw_mid").alias("_rw_first"))
+    before = F.coalesce(F.sum("_rw_n").over(Window.partitionBy(by).orderBy("_rw_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(by, "_rw_part", "_rw_first", before.alias("_rw_before"))
+    drop = ["_rw_mid", "_rw_part", "_rw_first", "_rw_before"] + ([] if group else ["_rw_all"])
+    return placed.join(parts, [by, "_rw_part"]).withColumn(rank, F.col("_rw_mid") - F.col("_rw_first") + F.col("_rw_before") + 1).drop(*drop)
 
 
 def heavy_keys(profile: DataFrame, share: float = 0.5) -> DataFrame:
@@ -56,5 +60,5 @@ def heavy_keys(profile: DataFrame, share: float = 0.5) -> DataFrame:
     cut = hist.where("upto >= goal").groupBy("field").agg(F.max("n_rows").alias("cut"), F.max_by(F.struct("goal", "upto", "keys"), "n_rows").alias("at"))
     cut = cut.select("field", "cut", F.ceil((F.col("at.goal") - F.col("at.upto")) / F.col("cut") + F.col("at.keys")).alias("wanted"))
     marked = states.join(cut, "field")
-    tied = ranked_within(marked.where("n_rows = cut"), "field", "key_value", "tied-keys").where("rank <= wanted")
+    tied = ranked_within(marked.where("n_rows = cut"), "field", ["key_value"], "tied-keys").where("rank <= wanted")
     return marked.where("n_rows > cut").select("field", "key_value").unionByName(tied.select("field", "key_value"))
