@@ -316,9 +316,16 @@ def _leaf_sizes(rows: DataFrame, router: Router) -> dict[tuple[str, int], int]:
     return {(r["name"], r["leaf"]): r["n"] for r in counted}
 
 
-def evaluated(vectors: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """The vectors whose embedding_name occurs in the evaluation table."""
-    return vectors.join(evaluation.select("embedding_name").distinct(), "embedding_name", "left_semi")
+def evaluated(vectors: DataFrame, evaluation: DataFrame, few: int = 10_000) -> DataFrame:
+    """The vectors whose embedding_name occurs in the evaluation table.
+
+    Up to few distinct names the filter is a literal list, which also reaches the Parquet scan; beyond, a semi-join.
+    """
+    names = evaluation.select("embedding_name").where("embedding_name is not null").distinct()
+    found = [r[0] for r in names.limit(few + 1).collect()]
+    if len(found) > few:
+        return vectors.join(names, "embedding_name", "left_semi")
+    return vectors.where(F.col("embedding_name").isin(found))
 
 
 def similar_pairs(neighbours: DataFrame) -> DataFrame:
