@@ -134,7 +134,7 @@ def cross_seed_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Spread of a cell's mean over repeats (here the data sets)."""
     m = _means(spark, sf).where("mean is not null").withColumn("mean", F.round("mean", 10))
     a = reports.across(m, CELL[1:], "mean")
-    return a.select(*CELL[1:], *(F.round(c, 8).alias(c) for c in ("mean", "std", "median", "min", "max")), "n")
+    return a.select(*CELL[1:], *(F.round(c, 12).alias(c) for c in ("mean", "std", "median", "min", "max")), "n")
 
 
 def best_per_recommender(spark: SparkSession, sf: str) -> DataFrame:
@@ -368,7 +368,7 @@ select dataset, metric, k, config, n_all - n_own as n_missing from vo join va us
     + """, x as (select user_id, config, min(v) as v from vals where metric = 'ndcg' and k = 10 group by all)
 select a.user_id, a.v as "vbpr_clip_vitb32_D64", b.v as "vbpr_resnet50_D64" from x a join x b using (user_id) where a.config = 'vbpr_clip_vitb32_D64' and b.config = 'vbpr_resnet50_D64'""",
     "cell_mean": _MEANS + "select * from cm",
-    "cross_seed_stats": _MEANS + "select recommender, embedding_name, metric, k, round(avg(mean), 8) as mean, round(stddev_samp(mean), 8) as std, round(median(mean), 8) as median, round(min(mean), 8) as min, round(max(mean), 8) as max, count(mean) as n from cm where mean is not null group by all",
+    "cross_seed_stats": _MEANS + "select recommender, embedding_name, metric, k, round(avg(mean), 12) as mean, round(stddev_samp(mean), 12) as std, round(median(mean), 12) as median, round(min(mean), 12) as min, round(max(mean), 12) as max, count(mean) as n from cm where mean is not null group by all",
     "best_per_recommender": _MEANS + f"select dataset, {_COND} as cond, recommender, metric, k, embedding_name, n_users, mean from cm where mean is not null qualify row_number() over (partition by dataset, {_COND}, recommender, metric, k order by mean desc, embedding_name nulls first) = 1",
     "frozen_finetuned_delta": _MEANS + f"select dataset, recommender, metric, k, max(mean) filter ({_COND} = 'frozen') as frozen, max(mean) filter ({_COND} = 'finetuned') as finetuned, round(max(mean) filter ({_COND} = 'finetuned') - max(mean) filter ({_COND} = 'frozen'), 9) as delta from cm group by all",
     "top_n_configs": _MEANS + "select * from cm where metric = 'ndcg' and k = 10 and mean is not null order by mean desc, dataset, recommender, embedding_name limit 10",
