@@ -36,6 +36,10 @@ def _fold(vs: list[Column], op) -> Column:
     return out
 
 
+def _scaled(v: Column, by: float) -> Column:
+    return F.transform(v, lambda x: x * F.lit(by))
+
+
 def same_size(vs: list[Column]) -> Column:
     """Whether all vectors have one length, as the element-wise fusions need."""
     out = F.lit(True)
@@ -71,7 +75,7 @@ def fuse_weighted(vs: list[Column], weights: list[float] | None = None) -> Colum
         raise ValueError(f"{len(vs)} sources need as many weights, not {len(w)}")
     if sum(w) == 0:
         raise ValueError("the weights sum to 0")
-    return fuse_sum([F.transform(v, lambda x, share=x / sum(w): x * F.lit(share)) for v, x in zip(vs, w)])
+    return fuse_sum([_scaled(v, x / sum(w)) for v, x in zip(vs, w)])
 
 
 def fuse_attention(vs: list[Column], logits: list[float] | None = None) -> Column:

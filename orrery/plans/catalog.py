@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.plans import preparation, ranking_queries, statistics_queries
+from orrery.plans import feature_queries, preparation, ranking_queries, statistics_queries
 
-MODULES = (preparation, ranking_queries, statistics_queries)
+MODULES = (preparation, ranking_queries, statistics_queries, feature_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
