@@ -191,7 +191,7 @@ def _search(k: int, least: float | None, block: int = 2048):
         items, home, x = items[order], home[order], x[order]
         again = np.r_[False, (items[1:] == items[:-1]) & (home[1:] == home[:-1]) & (x[1:] == x[:-1]).all(1)]
         items, home, x = items[~again], home[~again], x[~again]
-        n = int(home.sum())
+        n, lead = int(home.sum()), bool(table.column("lead")[0].as_py())
         qs, cs = [], []
 
         def best(rows: np.ndarray, others: np.ndarray) -> None:
@@ -203,7 +203,7 @@ def _search(k: int, least: float | None, block: int = 2048):
                 if least is not None:
                     i, j = np.nonzero(s >= least - 1e-4)
                 else:
-                    j = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+                    j = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k] if s.shape[1] else np.empty((len(own), 0), np.int64)
                     i, j = np.repeat(np.arange(len(own)), j.shape[1]), j.ravel()
                     i, j = i[s[i, j] > -2], j[s[i, j] > -2]
                 if len(i):
@@ -217,7 +217,7 @@ def _search(k: int, least: float | None, block: int = 2048):
                     cs.append(others[j[top]])
 
         if n:
-            best(np.arange(n), np.arange(len(x)))
+            best(np.arange(n), np.arange(0 if lead else n, len(x)))
             if len(x) > n:
                 best(np.arange(n, len(x)), np.arange(n))
         q, c = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (qs, cs))
@@ -237,7 +237,7 @@ def nearest(df: DataFrame, name: str, item: str, features: str, k: int = 10, lea
     larger than split_above are cut again by their own sample, to the given depth. Every vector lives
     in its most probable part and visits the next probes - 1; within a part all home vectors meet home vectors and
     visitors as blocked matrix products, and exact cosines decide. A part that stays large (near copies)
-    is worked on in chunks of target home rows. The classifiers are broadcast behind a check of their size.
+    or has many visitors is a grid of units: chunks of target home rows times groups of visitors. The classifiers are broadcast behind a check of their size.
 
     least keeps cosines of at least that value. Vectors that are null, not of the name's dimension (the number at
     the end of the name; names without one take no part), not finite or all zero take no part; rows with a null
@@ -249,7 +249,7 @@ def nearest(df: DataFrame, name: str, item: str, features: str, k: int = 10, lea
     router = Router()
     found = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per embedding name
     open_nodes = {(r["name"], 0): r["n"] for r in found if r["n"] > split_above // 2}
-    sizes: dict[tuple[str, int], int] = {}
+    sizes: dict[tuple[str, int], tuple[int, int]] = {}
     for _ in range(depth):
         if not open_nodes:
             break
@@ -272,48 +272,62 @@ def nearest(df: DataFrame, name: str, item: str, features: str, k: int = 10, lea
             router.add(r["name"], r["node"], np.frombuffer(r["w"], np.float32).reshape(-1, len(b)), b)
         if router.nbytes() > broadcast_bytes:
             raise ValueError("the classifiers are too large to broadcast; raise target")
-        sizes = _leaf_sizes(rows, router)
-        open_nodes = {at: n for at, n in sizes.items() if n > split_above and at not in open_nodes}
-    chunks = {at: math.ceil(n / target) for at, n in sizes.items() if n > 2 * split_above}
-    state = spark.sparkContext.broadcast((router, chunks))
+        sizes = _leaf_sizes(rows, router, probes)
+        open_nodes = {at: n for at, (n, _) in sizes.items() if n > split_above and at not in open_nodes}
+    # a part is one unit of work, or a grid of home chunks times groups of visitors where it is large
+    chunks = {at: math.ceil(n / target) if n > 2 * split_above else 1 for at, (n, _) in sizes.items()}
+    grids = {at: (chunks[at], max(1, math.ceil((v + n * (chunks[at] > 1)) / (4 * split_above)))) for at, (n, v) in sizes.items()}
+    state = spark.sparkContext.broadcast((router, {at: g for at, g in grids.items() if g != (1, 1)}))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cut = state.value
         for at, items, x in _by_name(batches):
             i, leaf, order = own.route(at, x, probes)
-            home, chunk = order == 0, np.zeros(len(i), np.int64)
-            many = np.array([cut.get((at, int(v)), 1) for v in np.unique(leaf)])[np.searchsorted(np.unique(leaf), leaf)]
-            if (many > 1).any():  # a row of a chunked part lives in one chunk and visits the others
-                rep = np.repeat(np.arange(len(i)), many)
-                heads = np.cumsum(many) - many
-                chunk = np.arange(len(rep)) - heads[rep]
-                mine = chunk == items[i[rep]] % many[rep]
-                i, leaf, home = i[rep], leaf[rep], home[rep] & mine
+            home, unit, lead = order == 0, np.zeros(len(i), np.int64), np.ones(len(i), bool)
+            kinds, inverse = np.unique(leaf, return_inverse=True)
+            many = np.array([cut.get((at, int(v)), (1, 1)) for v in kinds], np.int64).reshape(-1, 2)[inverse]
+            if (many > 1).any():
+                # every row goes to all units of its part first; a home row stays at home in its own chunk and visits the
+                # others, and a visitor (also a visiting home row) stays in one group of each chunk
+                rep = np.repeat(np.arange(len(i)), many.prod(1))
+                heads = np.cumsum(many.prod(1)) - many.prod(1)
+                unit = np.arange(len(rep)) - heads[rep]
+                i, leaf, home, many = i[rep], leaf[rep], home[rep], many[rep]
+                chunk, group = unit // many[:, 1], unit % many[:, 1]
+                mixed = items[i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                home &= chunk == (mixed % many[:, 0].astype(np.uint64)).astype(np.int64)
+                stays = home | (group == (mixed // many[:, 0].astype(np.uint64) % many[:, 1].astype(np.uint64)).astype(np.int64))
+                i, leaf, home, unit, lead = i[stays], leaf[stays], home[stays], unit[stays], (group == 0)[stays]
             for lo in range(0, len(i), 20_000):
                 s = slice(lo, lo + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(i[s])), pa.array(leaf[s], pa.int64()), pa.array(chunk[s], pa.int64()), pa.array(home[s]), pa.array(items[i[s]], pa.int64()), _vectors(x[i[s]])], ["name", "leaf", "chunk", "home", "item", "vec"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at] * len(i[s])), pa.array(leaf[s], pa.int64()), pa.array(unit[s], pa.int64()), pa.array(home[s]), pa.array(lead[s]), pa.array(items[i[s]], pa.int64()), _vectors(x[i[s]])],
+                    ["name", "leaf", "unit", "home", "lead", "item", "vec"],
+                )
 
-    placed = rows.mapInArrow(place, "name string, leaf long, chunk long, home boolean, item long, vec binary")
-    met = placed.groupBy("name", "leaf", "chunk").applyInArrow(_search(k, least), "name string, item long, other long, cosine double")
+    placed = rows.mapInArrow(place, "name string, leaf long, unit long, home boolean, lead boolean, item long, vec binary")
+    met = placed.groupBy("name", "leaf", "unit").applyInArrow(_search(k, least), "name string, item long, other long, cosine double")
     once = met.groupBy("name", "item", "other").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("name", "item").orderBy(F.desc("cosine"), "other"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _leaf_sizes(rows: DataFrame, router: Router) -> dict[tuple[str, int], int]:
-    """Rows per partition, counted over all rows; as many numbers as there are partitions."""
+def _leaf_sizes(rows: DataFrame, router: Router, probes: int) -> dict[tuple[str, int], tuple[int, int]]:
+    """(home rows, visitors) per partition, counted over all rows; as many numbers as there are partitions."""
     state = rows.sparkSession.sparkContext.broadcast(router)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], int] = {}
+        held: dict[tuple[str, int], list[int]] = {}
         for at, _, x in _by_name(batches):
-            for leaf, n in zip(*np.unique(state.value.route(at, x, 1)[1], return_counts=True)):
-                held[at, int(leaf)] = held.get((at, int(leaf)), 0) + int(n)
+            _, leaf, order = state.value.route(at, x, probes)
+            for visit in (0, 1):
+                for one, n in zip(*np.unique(leaf[(order > 0) == visit], return_counts=True)):
+                    held.setdefault((at, int(one)), [0, 0])[visit] += int(n)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in held]), pa.array([b for _, b in held], pa.int64()), pa.array(list(held.values()), pa.int64())], ["name", "leaf", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in held]), pa.array([b for _, b in held], pa.int64()), *(pa.array([v[i] for v in held.values()], pa.int64()) for i in (0, 1))], ["name", "leaf", "n", "visits"])
 
-    counted = rows.mapInArrow(count, "name string, leaf long, n long").groupBy("name", "leaf").agg(F.sum("n").alias("n")).collect()
-    return {(r["name"], r["leaf"]): r["n"] for r in counted}
+    counted = rows.mapInArrow(count, "name string, leaf long, n long, visits long").groupBy("name", "leaf").agg(F.sum("n").alias("n"), F.sum("visits").alias("visits")).collect()
+    return {(r["name"], r["leaf"]): (r["n"], r["visits"]) for r in counted}
 
 
 def evaluated(vectors: DataFrame, evaluation: DataFrame, few: int = 10_000) -> DataFrame:
