@@ -17,7 +17,7 @@ SEGMENT = r"(?:\.{0,2}[A-Za-z0-9_-]|\.{3})[A-Za-z0-9_.-]*"
 IMAGE_PATH = (rf"^(?:{SEGMENT}/)*{SEGMENT}$", r"\.(?:[jJ][pP][gG]|[jJ][pP][eE][gG]|[pP][nN][gG]|[wW][eE][bB][pP])$")
 CATEGORY_LABEL = (r"^[0-9]{1,4}$",)
 NOT_EMPTY = (r"(?s)^.",)
-_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
+_FIELD = r'(?:"(?:[^"]|"")*"|[^",\r\n]*)'
 
 
 @dataclass(frozen=True)
@@ -89,22 +89,22 @@ def _all_match(values: pa.Array, field: Field) -> bool:
 def bulk_parse(lines: pa.Array, layout: tuple[Field, ...]) -> list[pa.Array] | None:
     """The columns of a block if every record of it is valid, else None.
 
-    The block is read as one CSV text by Arrow's columnar reader. That reader forgives stray quotes, so the
-    records that hold a quote must also match the grammar of a record, again over the whole column.
+    The block is read as one CSV text by Arrow's columnar reader. That reader forgives stray quotes and takes
+    any line feed outside quotes for an end, so records that hold one must also match the grammar of a record, again over the whole column.
     """
     n, text = len(layout), "\n".join(["," * (len(layout) - 1), *lines.to_pylist(), ""]).encode("utf-8", "surrogatepass")
     try:
         got = pcsv.read_csv(
             pa.BufferReader(text),
             pcsv.ReadOptions(column_names=[f.name for f in layout], block_size=len(text) + 1, use_threads=False),
-            pcsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
+            pcsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=True),
             pcsv.ConvertOptions(column_types={f.name: pa.string() for f in layout}, strings_can_be_null=False),
         )
     except pa.ArrowInvalid:
         return None
     if got.num_rows != len(lines) + 1:  # the first, empty record keeps a byte order mark part of the data
         return None
-    quoted = lines.filter(pc.match_substring(lines, '"'))
+    quoted = lines.filter(pc.match_substring_regex(lines, r'["\r\n]'))
     if len(quoted) and not pc.all(pc.match_substring_regex(quoted, rf"^{_FIELD}(?:,{_FIELD}){{{n - 1}}}$")).as_py():
         return None
     columns = [got[f.name].slice(1).combine_chunks() for f in layout]
