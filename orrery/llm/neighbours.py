@@ -181,7 +181,7 @@ def _train(children: dict[tuple[str, int], int]):
     return train
 
 
-def _search(k: int, least: float | None, block: int = 2048):
+def _search(k: int, least: float | None, cells: int = 4_000_000):
     def search(table: pa.Table) -> pa.Table:
         """One partition: home rows against home rows and visitors, both directions."""
         name = table.column("name")[0].as_py()
@@ -196,23 +196,25 @@ def _search(k: int, least: float | None, block: int = 2048):
 
         def best(rows: np.ndarray, others: np.ndarray) -> None:
             """Candidates of rows among others (positions)."""
+            block = max(16, cells // max(1, len(others)))  # bounds the candidates held at once, also among near copies
+            by_item = np.argsort(np.argsort(items[others], kind="stable")) / (len(others) + 1)
             for at in range(0, len(rows), block):
                 own = rows[at : at + block]
                 s = x[own] @ x[others].T
                 s[items[own][:, None] == items[others][None, :]] = -2
                 if least is not None:
                     i, j = np.nonzero(s >= least - 1e-4)
-                else:
-                    j = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k] if s.shape[1] else np.empty((len(own), 0), np.int64)
+                else:  # equal cosines (to rounding) in the order of the item
+                    most = min(k + 4, s.shape[1])
+                    j = np.argpartition(by_item[None, :] - np.rint(s * 1e6), most - 1, axis=1)[:, :most] if most else np.empty((len(own), 0), np.int64)
                     i, j = np.repeat(np.arange(len(own)), j.shape[1]), j.ravel()
                     i, j = i[s[i, j] > -2], j[s[i, j] > -2]
                 if len(i):
-                    v = s[i, j]
-                    o = np.lexsort((items[others][j], -v, i))
+                    o = np.lexsort((items[others][j], -np.rint(s[i, j] * 1e6), i))
                     i, j = i[o], j[o]
                     heads = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
                     place = np.arange(len(i)) - np.repeat(heads, np.diff(np.r_[heads, len(i)]))
-                    top = place < k + 2  # rounding may order near ties otherwise than the exact cosine below
+                    top = place < k + 4  # rounding may order near ties otherwise than the exact cosine below
                     qs.append(own[i[top]])
                     cs.append(others[j[top]])
 

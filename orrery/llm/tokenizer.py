@@ -52,8 +52,10 @@ class Automaton:
         for r, (x, y) in enumerate(merges, 1):
             z, i, j = ids[x + y], ids[x], ids[y]
             self.left[z], self.right[z], self.step[z] = i, j, r
-            if self._arc(i, j):  # else no earlier gadget leaves this merge anything to do
-                self._add(z, bytes(back[c] for c in x + y))
+            made = all(self.by_label.get(self.label[t]) == t for t in (i, j)) and self._arc(i, j)
+            self.label[z] = bytes(back[c] for c in x + y)
+            if made:  # else earlier gadgets leave this merge nothing to do, and no text is ever split into z
+                self._add(z, self.label[z])
             self.gadgets[i * self.size + j] = r
         self.longest = max(map(len, self.by_label), default=0)
 
