@@ -67,7 +67,7 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return leakage.leaks(leakage.leaking_documents(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "eval_id", "text"))
+    return leakage.leaking_documents(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "eval_id", "text")
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
