@@ -23,8 +23,7 @@ def derived_labels(df: DataFrame, item: str, label: Column, least: int = 50) ->
     """item, category_label: labels of at least least items, numbered from 0 in label order."""
     labelled = df.select(F.col(item).alias("item"), label.alias("label")).where("label is not null and label <> ''")
     kept = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("label")
-    # the labels kept are at most rows / least; the window runs over labels, not over rows
-    codes = kept.withColumn("category_label", F.row_number().over(Window.orderBy("label")) - 1)
+    codes = ranked_within(kept, None, ["label"], "labels").withColumn("category_label", (F.col("rank") - 1).cast("int")).drop("rank")
     return labelled.join(codes, "label").select(F.col("item").alias(item), "category_label")
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from orrery.operators.skew import ranked_within
 from orrery.operators.splits import draw
-from orrery.sources.tables import estimated_bytes
 
 RECORD = "user_idx long, item_idx long, rank long, n_candidates long, tie_block_size long"
 
@@ -130,13 +129,13 @@ def dot_ranking(users: DataFrame, items: DataFrame, keys: DataFrame, seen: DataF
     return out.withColumn("rank", F.col("rank") + 1)
 
 
-def sampled_ranking(scores: DataFrame, seen: DataFrame, held: DataFrame, n_negatives: int = 100, seed: int = 42, most_bytes: int = 256 << 20) -> DataFrame:
+def sampled_ranking(scores: DataFrame, seen: DataFrame, held: DataFrame, n_negatives: int = 100, seed: int = 42, most_items: int = 2_000_000) -> DataFrame:
     """Rank of every held item among itself and n_negatives unseen items: user_idx, item_idx, rank, n_candidates, tie_block_size.
 
-    scores (item_idx, score, tie_key) is broadcast behind a check of its size. The pool of a user is drawn by
+    scores (item_idx, score, tie_key) is broadcast; a catalogue of more than most_items raises. The pool of a user is drawn by
     default_rng((seed, user)) with rejection; if fewer items are unseen, all of them are the pool.
     """
-    if estimated_bytes(scores) > most_bytes:
+    if scores.count() > most_items:
         raise ValueError("the catalogue is too large to broadcast; use rank_by_correction")
     pdf = scores.select("item_idx", F.col("score").cast("double").alias("score"), F.col("tie_key").cast("string").alias("tie_key")).orderBy("item_idx").toPandas()
     shared = scores.sparkSession.sparkContext.broadcast((pdf["item_idx"].to_numpy(), pdf["score"].to_numpy(), pdf["tie_key"].to_numpy(str)))

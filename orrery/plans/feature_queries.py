@@ -75,7 +75,10 @@ def pca_per_model(spark: SparkSession, sf: str) -> DataFrame:
     return features.pca_fused(_aligned(spark, sf), "item_idx", ["s0", "s1"], _train_items(spark, sf), 8, per_source=True)
 
 
-def _array(df: DataFrame) -> np.ndarray:
+def _array(df: DataFrame, most: int = 50_000_000) -> np.ndarray:
+    """Pairs as an array for a single-task trainer; more than most rows raise before anything is collected."""
+    if df.count() > most:
+        raise ValueError(f"more than {most} pairs are too many for one training task")
     pdf = df.select("user_idx", "item_idx").toPandas()
     return pdf.to_numpy(np.int64).reshape(-1, 2)
 
@@ -87,6 +90,8 @@ def training_data(spark: SparkSession, sf: str, n_components: int = 0) -> tuple[
     train = splits.seen_items(table(spark, sf, "train")).where(inside)
     held = table(spark, sf, "heldout").where("split = 'val'").select("user_idx", "item_idx").dropna().distinct().where(inside)
     val = held.join(train, ["user_idx", "item_idx"], "left_anti")
+    if n.get("item", 0) > 2_000_000:
+        raise ValueError("the catalogue is too large for one training task")
     pdf = _aligned(spark, sf).select("item_idx", "s0").where(F.col("item_idx") < n.get("item", 0)).toPandas()
     x = np.zeros((n.get("item", 0), 64))
     if len(pdf):
