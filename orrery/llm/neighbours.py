@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.skew import ranked_within
+
 DIMENSION = r"_(?:D|pcaD)([0-9]+)$"
 
 
@@ -156,6 +158,14 @@ def _by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarra
                 yield name, np.asarray(batch.column(2))[at[rows]], x
 
 
+def vector_hashes(x: np.ndarray) -> np.ndarray:
+    """64-bit hash of every row of float32 vectors; equal rows have equal hashes."""
+    bits = np.ascontiguousarray(x, np.float32).view(np.uint32).astype(np.uint64)
+    odd = np.random.default_rng(17).integers(0, 2**63, x.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    mixed = (bits + np.uint64(0x9E3779B97F4A7C15)) * odd
+    return ((mixed ^ (mixed >> np.uint64(29))) * odd[::-1]).sum(1, dtype=np.uint64).astype(np.int64)
+
+
 def _vectors(x: np.ndarray) -> pa.Array:
     offsets = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * 4)
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x, np.float32))])
@@ -231,6 +241,55 @@ def _search(k: int, least: float | None, cells: int = 4_000_000):
     return search
 
 
+def copy_groups(rows: DataFrame, sizes: dict[str, int], k: int, share: int = 10_000) -> tuple[dict[str, dict[int, list[int]]], DataFrame | None]:
+    """Large groups of equal vectors: name → hash → the k + 1 least items, and the other members' neighbours.
+
+    A member of a group of more than k items has the k least other items of the group as its nearest, all at cosine 1,
+    and no vector needs more than the k + 1 least of them. So the other members (name, item, other, cosine)
+    need no search. Groups of at least 4(k + 1) rows and 1 / share of their name's rows count as large, hence at most share per name.
+    """
+    floors = {n: max(4 * (k + 1), math.ceil(size / share)) for n, size in sizes.items()}
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, items, x in _by_name(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([at] * len(items)), pa.array(vector_hashes(x)), pa.array(items, pa.int64())], ["name", "hash", "item"])
+
+    members = rows.mapInArrow(hashed, "name string, hash long, item long")
+    floor = F.broadcast(rows.sparkSession.createDataFrame(list(floors.items()), "name string, floor long"))
+    counted = members.groupBy("name", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 4 * (k + 1)).join(floor, "name").where("n >= floor")
+    large = [(r["name"], r["hash"]) for r in counted.collect()]
+    spark = rows.sparkSession
+    if not large:
+        return {}, None
+    own = members.join(F.broadcast(spark.createDataFrame(large, "name string, hash long")), ["name", "hash"]).distinct()
+    ranked = ranked_within(own.withColumn("copies", F.concat_ws(":", "name", "hash")), "copies", ["item"], "copies")
+    first: dict[str, dict[int, list[int]]] = {}
+    for r in ranked.where(F.col("rank") <= k + 1).orderBy("rank").collect():
+        first.setdefault(r["name"], {}).setdefault(r["hash"], []).append(r["item"])
+    least = spark.createDataFrame([(n, h, items[:k]) for n, hs in first.items() for h, items in hs.items()], "name string, hash long, others array<long>")
+    rest = ranked.where(F.col("rank") > k + 1).join(F.broadcast(least), ["name", "hash"])
+    return first, rest.select("name", "item", F.explode("others").alias("other"), F.lit(1.0).alias("cosine"))
+
+
+def without_copies(rows: DataFrame, leaders: dict[str, dict[int, list[int]]]) -> DataFrame:
+    """rows without the members of large groups of equal vectors beyond the groups' least items."""
+    state = rows.sparkSession.sparkContext.broadcast({n: {h: frozenset(i) for h, i in hs.items()} for n, hs in leaders.items()})
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, items, gone = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+            for name in set(names) & set(state.value):
+                at = np.array([i for i, n in enumerate(names) if n == name])
+                good, x = unit_rows(batch.column(3).take(pa.array(at)), batch.column(1)[int(at[0])].as_py())
+                groups = state.value[name]
+                gone += [i for i, h in zip(at[good].tolist(), vector_hashes(x).tolist()) if h in groups and items[i] not in groups[h]]
+            mask = np.ones(len(names), bool)
+            mask[gone] = False
+            yield batch.filter(pa.array(mask))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
 def nearest(df: DataFrame, name: str, item: str, features: str, k: int = 10, least: float | None = None, probes: int = 4, target: int = 1000, split_above: int = 4000, fit_rows: int = 6000, max_children: int = 128, depth: int = 3, broadcast_bytes: int = 256 << 20) -> DataFrame:
     """The k most similar other items of every item of the same name: name, item, other, cosine, rank.
 
@@ -241,6 +300,8 @@ def nearest(df: DataFrame, name: str, item: str, features: str, k: int = 10, lea
     visitors as blocked matrix products, and exact cosines decide. A part that stays large (near copies)
     or has many visitors is a grid of units: chunks of target home rows times groups of visitors. The classifiers are broadcast behind a check of their size.
 
+    Of a large group of equal vectors only the k + 1 least items are searched; copy_groups gives the others' neighbours.
+
     least keeps cosines of at least that value. Vectors that are null, not of the name's dimension (the number at
     the end of the name; names without one take no part), not finite or all zero take no part; rows with a null
     name or item neither. Repeated rows of an item count once. Equal cosines are ordered by other.
@@ -250,6 +311,10 @@ def nearest(df: DataFrame, name: str, item: str, features: str, k: int = 10, lea
     rows = df.where(F.col(name).isNotNull() & F.col(item).isNotNull() & (dim != "")).select(F.col(name).alias("name"), dim.cast("int").alias("dim"), F.col(item).alias("item"), F.col(features).alias("features"))
     router = Router()
     found = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per embedding name
+    if not found:
+        return spark.createDataFrame([], "name string, item long, other long, cosine double, rank int")
+    leaders, spared = copy_groups(rows, {r["name"]: r["n"] for r in found}, k)
+    rows = without_copies(rows, leaders) if leaders else rows
     open_nodes = {(r["name"], 0): r["n"] for r in found if r["n"] > split_above // 2}
     sizes: dict[tuple[str, int], tuple[int, int]] = {}
     for _ in range(depth):
@@ -309,6 +374,7 @@ def nearest(df: DataFrame, name: str, item: str, features: str, k: int = 10, lea
 
     placed = rows.mapInArrow(place, "name string, leaf long, unit long, home boolean, lead boolean, item long, vec binary")
     met = placed.groupBy("name", "leaf", "unit").applyInArrow(_search(k, least), "name string, item long, other long, cosine double")
+    met = met if spared is None else met.unionByName(spared)
     once = met.groupBy("name", "item", "other").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("name", "item").orderBy(F.desc("cosine"), "other"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k)

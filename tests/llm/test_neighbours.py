@@ -68,6 +68,30 @@ def test_ties_and_empty(spark):
     assert nb.nearest(empty, "embedding_name", "item_idx", "features").count() == 0
 
 
+@pytest.mark.parametrize("least", [None, 0.9])
+def test_large_groups_of_equal_vectors(spark, vectors, least):
+    x = np.concatenate([np.tile(vectors[:1], (400, 1)), vectors[:300], np.tile(vectors[1:2] * 4, (60, 1))])
+    got = nb.nearest(_table(spark, x, [(5, "m_D8", [float(v) for v in x[5]], "again")]), "embedding_name", "item_idx", "features", 10, least, target=100, split_above=150, probes=6).collect()
+    mine = {}
+    for r in got:
+        mine.setdefault(r["item"], []).append((r["rank"], r["other"]))
+    ones = [*range(400), 400]
+    for i in ones:
+        assert [o for _, o in sorted(mine[i])] == [j for j in ones if j != i][:10]
+    twos = [401, *range(700, 760)]
+    s, _ = _brute(x.astype(float), 10)
+    for i in (401, 700, 711, 759):
+        assert {o for _, o in mine[i]} == set([j for j in twos if j != i][:10])
+    near_one = [i for i in range(402, 700) if (s[i] > s[i, 0] + 1e-6).sum() == 0 and s[i, 0] > 0.9]
+    for i in near_one:
+        assert [o for _, o in sorted(mine[i])] == list(range(10))
+
+
+def test_hashes(vectors):
+    h = nb.vector_hashes(vectors)
+    assert len(set(h.tolist())) == len(np.unique(vectors, axis=0)) and (nb.vector_hashes(vectors[::-1]) == h[::-1]).all()
+
+
 def test_balanced_parts(vectors):
     x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     near = nb.graph(x)
