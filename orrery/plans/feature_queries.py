@@ -158,7 +158,7 @@ SQL = {
     "fuse_gated": _zip(f"{_G1} * a[i] + (1 - {_G1}) * b[i]"),
     "fuse_concat": _SRC + "z as (select item_idx, list_concat(a, b) as f from j)" + _SUM + "z",
     "l2_normalize": "with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), n as (select vec_id, v, sqrt(list_dot_product(v, v)) as m from e), z as (select vec_id as item_idx, list_transform(v, lambda x: case when m > 0 then x / m else x end) as f from n)" + _SUM + "z",
-    "aligned_sources": _SRC + "z as (select item_idx, len(a) as dim_0, len(b) as dim_1 from j) select * from z",
+    "aligned_sources": _SRC + "z as (select item_idx, len(a)::int as dim_0, len(b)::int as dim_1 from j) select * from z",
     "feature_norm_gate": """
 with d as (select embedding_name, features, try_cast(regexp_extract(embedding_name, '_(?:D|pcaD)([0-9]+)$', 1) as int) as dim from visual_embeddings),
 c as (select embedding_name, features is null as null_row, features is not null and not coalesce(len(features) = dim, false) as bad_dim,

@@ -272,7 +272,7 @@ SQL = {
     "full_ranking_popularity": _BASE + _ranked("test", "seen") + "select *, case when rank <= 10 then 1.0::double else 0::double end as recall_10, round(case when rank <= 10 then 1 / log2(rank + 1) else 0::double end, 6) as ndcg_10 from ranked",
     "rank_by_correction": _BASE + _VAL + _ranked("val", "train_set") + "select * from ranked",
     "tie_stats": _BASE + _ranked("test", "seen") + "select count(*) as n_users, round(avg((tie_block_size > 1)::int), 6) as share_tied, round(avg(tie_block_size), 6) as mean_block, max(tie_block_size) as max_block from ranked",
-    "top20_lists": _BASE + _TOP.rstrip().rstrip(",") + " select user_idx, place, item_idx from top",
+    "top20_lists": _BASE + _TOP.rstrip().rstrip(",") + " select user_idx, place::int as place, item_idx from top",
     "metrics_from_rank": _BASE
     + _ranked("test", "seen")
     + """, ks as (select unnest([5, 10, 20]) as k),
@@ -308,11 +308,11 @@ union all select 'item', item_id, count(*) from interactions where item_id not i
     "index_out_of_range": """
 select 'user_idx' as column_name, count(*) as n_rows from train where user_idx < 0 or user_idx >= (select count(*) from id_map where kind = 'user')
 union all select 'item_idx', count(*) from train where item_idx < 0 or item_idx >= (select count(*) from id_map where kind = 'item')""",
-    "sidecar_categories": _CATEGORIES + "select item_id, category_label from labelled",
-    "item_category_bucket": _CATEGORIES + "select idx as item_idx, coalesce(category_label, (select coalesce(max(category_label), -1) + 1 from labelled)) as category from known left join labelled using (item_id)",
+    "sidecar_categories": _CATEGORIES + "select item_id, category_label::int as category_label from labelled",
+    "item_category_bucket": _CATEGORIES + "select idx as item_idx, coalesce(category_label, (select coalesce(max(category_label), -1) + 1 from labelled))::int as category from known left join labelled using (item_id)",
     "category_derive": """
 with kept as (select p_brand from part where p_brand <> '' group by 1 having count(*) >= 5), codes as (select p_brand, row_number() over (order by p_brand) - 1 as category_label from kept)
-select p_partkey, category_label from part join codes using (p_brand)""",
+select p_partkey, category_label::int as category_label from part join codes using (p_brand)""",
     "taxonomy_label_fallback": """
 select image_path, p[least(2, len(p))] as label_1, p[least(10, len(p))] as label_9 from (select distinct image_path, string_split(image_path, '/') as p from interactions where image_path is not null)""",
     "train_item_set": "select distinct item_idx from train where item_idx is not null",
