@@ -7,7 +7,7 @@ seed) is trained by one task; the cells of a grid run in parallel over a DataFra
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -298,15 +298,15 @@ def train_jobs(jobs: DataFrame, context: Context, train: np.ndarray, val: np.nda
     spark = jobs.sparkSession
     shared = spark.sparkContext.broadcast((context, train, val))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for model, hp, seed in zip(pdf["model"], pdf["hyperparams"], pdf["seed"]):
-            c, t, v = shared.value
-            p, metric, epoch = fit(model, c, t, v, json.loads(hp), int(seed))
-            out.append((model, hp, int(seed), metric, epoch, sum(x.size for x in p.values())))
-        return pd.DataFrame(out, columns=[f.split()[0] for f in RESULT.split(", ")])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for model, hp, seed in zip(pdf["model"], pdf["hyperparams"], pdf["seed"]):
+                c, t, v = shared.value
+                p, metric, epoch = fit(model, c, t, v, json.loads(hp), int(seed))
+                yield pd.DataFrame([(model, hp, int(seed), metric, epoch, sum(x.size for x in p.values()))], columns=[f.split()[0] for f in RESULT.split(", ")])
 
-    return jobs.groupBy("model", "hyperparams", "seed").applyInPandas(run, RESULT)
+    # a number of range partitions of its own keeps adaptive execution from putting small jobs into one task
+    return jobs.distinct().repartitionByRange(max(1, jobs.count()), "model", "hyperparams", "seed").mapInPandas(run, RESULT)
 
 
 def best_jobs(results: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,19 +33,23 @@ def per_key_profile(df: DataFrame, first: str, second: str, ts: str) -> DataFram
 def ranked_within(df: DataFrame, group: str | None, order: list[str], label: str, rank: str = "rank") -> DataFrame:
     """1, 2, 3, … per group (None: over all rows) by order, with no group held by one task.
 
-    Rows are range-partitioned, sorted and staged; a row's rank is its place in its partition plus the
-    rows of its group in the partitions before, of which there is one number per partition.
+    Rows are range-partitioned, sorted and staged; a row's rank is its place in its partition plus the rows of its
+    group in the partitions before. Over all rows that is one number per partition, which becomes a literal, so the
+    result is a plain scan; per group the numbers are a small table that is joined.
     """
-    df = df if group else df.withColumn("_rw_all", F.lit(0))
-    by = group or "_rw_all"
     keys = ([group] if group else []) + order
     placed = stage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_rw_mid", F.monotonically_increasing_id()), label)
-    placed = placed.withColumn("_rw_part", F.shiftright("_rw_mid", 33))
-    parts = placed.groupBy(by, "_rw_part").agg(F.count(F.lit(1)).alias("_rw_n"), F.min("_rw_mid").alias("_rw_first"))
-    before = F.coalesce(F.sum("_rw_n").over(Window.partitionBy(by).orderBy("_rw_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(by, "_rw_part", "_rw_first", before.alias("_rw_before"))
-    drop = ["_rw_mid", "_rw_part", "_rw_first", "_rw_before"] + ([] if group else ["_rw_all"])
-    return placed.join(parts, [by, "_rw_part"]).withColumn(rank, F.col("_rw_mid") - F.col("_rw_first") + F.col("_rw_before") + 1).drop(*drop)
+    part, place = F.shiftright("_rw_mid", 33), F.col("_rw_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    if group is None:
+        sizes = {r[0]: r[1] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect()}
+        before = [0, *accumulate(sizes.get(p, 0) for p in range(max(sizes, default=0) + 1))]
+        start = F.array(*(F.lit(n).cast("long") for n in before))[part.cast("int")]
+        return placed.withColumn(rank, place + start + 1).drop("_rw_mid")
+    placed = placed.withColumn("_rw_part", part)
+    parts = placed.groupBy(group, "_rw_part").agg(F.count(F.lit(1)).alias("_rw_n"), F.min("_rw_mid").alias("_rw_first"))
+    before = F.coalesce(F.sum("_rw_n").over(Window.partitionBy(group).orderBy("_rw_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(group, "_rw_part", "_rw_first", before.alias("_rw_before"))
+    return placed.join(parts, [group, "_rw_part"]).withColumn(rank, F.col("_rw_mid") - F.col("_rw_first") + F.col("_rw_before") + 1).drop("_rw_mid", "_rw_part", "_rw_first", "_rw_before")
 
 
 def heavy_keys(profile: DataFrame, share: float = 0.5) -> DataFrame:
