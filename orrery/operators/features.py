@@ -50,7 +50,7 @@ def aligned_sources(df: DataFrame, name: str, item: str, features: str, sources:
 
 
 class TrainPca:
-    """Principal components fitted on train rows only and applied, centred, to all rows."""
+    """Principal components fitted on train rows only and applied, centred, to all rows; none from fewer than two rows."""
 
     def __init__(self, df: DataFrame, features: str, train: DataFrame | None, key: str, components: int, all_rows: bool = False) -> None:
         """train holds the keys of train rows; without it all_rows must be set on purpose."""
@@ -58,16 +58,19 @@ class TrainPca:
             raise ValueError("principal components need the train rows; set all_rows to fit on every row")
         rows = df if train is None else df.join(train.select(key).distinct(), key, "left_semi")
         own = rows.select(array_to_vector(F.transform(features, lambda x: x.cast("double"))).alias("v"))
-        first = own.agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("v")).alias("mean")).first()
-        if not first["n"]:
-            raise ValueError("there are no train rows to fit on")
-        self.mean = first["mean"].toArray()
-        self.components = min(components, first["n"], len(self.mean))
+        n = own.count()
+        self.components, self.explained, self.model = 0, [], None
+        if n < 2:
+            return
+        self.mean = own.agg(Summarizer.mean(F.col("v")).alias("mean")).first()["mean"].toArray()
+        self.components = min(components, n, len(self.mean))
         self.model = PCA(k=self.components, inputCol="v", outputCol="pc").fit(own)  # the covariance is summed in the JVM, tree-wise
         self.explained = self.model.explainedVariance.toArray()
 
     def transform(self, df: DataFrame, features: str, out: str) -> DataFrame:
-        """df with the projected column."""
+        """df with the projected column; an empty array where nothing could be fitted."""
+        if self.model is None:
+            return df.withColumn(out, F.array().cast("array<double>"))
         held = df.withColumn("v", array_to_vector(F.transform(features, lambda x: x.cast("double"))))
         shift = F.array(*(F.lit(float(x)) for x in self.mean @ self.model.pc.toArray()))
         return self.model.transform(held).withColumn(out, F.zip_with(vector_to_array("pc"), shift, lambda a, b: a - b)).drop("v", "pc")

@@ -120,3 +120,5 @@ def test_pca_is_fitted_on_train_rows_and_centred(spark):
     with pytest.raises(ValueError):
         features.TrainPca(df, "f", None, "item_idx", 2)
     assert features.TrainPca(df, "f", train, "item_idx", 99).components == 5
+    none = features.TrainPca(df, "f", train.limit(0), "item_idx", 2)
+    assert none.components == 0 and none.transform(df, "f", "z").first()["z"] == []
