@@ -1,8 +1,7 @@
-"""Evaluation texts leaking into training text: latent semantic retrieval of passages and sequence checks."""
+"""Evaluation texts leaking into training text: sequence checks of all possible cases, and latent semantic cosines."""
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -110,15 +109,24 @@ class Held:
     ids: list[int]
     words: list[list[str]]
     answers: list[frozenset[str]]
+    rarest: dict[str, list[int]]  # word → items whose answer it leads
     windows: np.ndarray  # latent unit vectors
-    hashes: np.ndarray  # word hashes of each window
-    item: np.ndarray  # items of all windows, one after the other
+    own: list[np.ndarray]  # windows of each item
+    keys: np.ndarray  # sorted hashes of the windows
+    item: np.ndarray  # items of all windows, one after the other in the order of the keys
     first: np.ndarray  # where each window's items begin in item
-    known: np.ndarray  # whether a feature occurs in an item
-    weight: np.ndarray  # squared idf
     latent: np.ndarray  # idf × right singular vectors
 
 
+def _window_keys(hashes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """64-bit hashes of the windows of words beginning at starts; equal windows have equal ones."""
+    odd = np.random.default_rng(29).integers(0, 2**63, window, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(window):
+        out += (hashes[starts + i] ^ (hashes[starts + i] >> np.uint64(31))) * odd[i]
+    return out
+
+
 def _window_rows(latent: np.ndarray, flat: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     """Unit latent vectors of the windows of words beginning at starts."""
     x = np.zeros((len(starts), latent.shape[1]))
@@ -128,6 +136,18 @@ def _window_rows(latent: np.ndarray, flat: np.ndarray, starts: np.ndarray, windo
     return x / np.maximum(size, 1e-300)
 
 
+def _best_cosine(windows: np.ndarray, latent: np.ndarray, flat: np.ndarray, window: int, cells: int = 4_000_000) -> float:
+    """Largest latent cosine of a window of a text (the whole of a shorter one) with one of windows, in bounded blocks."""
+    size, best = min(window, len(flat)), -1.0
+    starts = np.arange(len(flat) - size + 1)
+    wide = min(len(windows), cells // 16)
+    for lo in range(0, len(starts), cells // wide):
+        x = _window_rows(latent, flat, starts[lo : lo + cells // wide], size).astype(np.float32)
+        for at in range(0, len(windows), wide):
+            best = max(best, float((x @ windows[at : at + wide].T).max()))
+    return best
+
+
 def document_frequencies(df: DataFrame, text: str, features: int) -> tuple[np.ndarray, int]:
     """Texts per hashed feature, and texts, over the whole table; at most one number per feature comes back."""
 
@@ -175,17 +195,17 @@ def corpus_sketch(df: DataFrame, text: str, idf: np.ndarray, omega: np.ndarray,
     return z
 
 
-def leaking_documents(docs: DataFrame, doc_id: str, text: str, items: DataFrame, eval_id: str, eval_text: str, window: int = 8, least_cosine: float = 0.99, least_lcs: float = 0.8, rank: int = 24, oversample: int = 8, features: int = 1 << 14, passage: int = 32, max_items: int = 20_000, max_item_words: int = 2_000_000, seed: int = 7) -> DataFrame:
+def leaking_documents(docs: DataFrame, doc_id: str, text: str, items: DataFrame, eval_id: str, eval_text: str, window: int = 8, least_lcs: float = 0.8, rank: int = 24, oversample: int = 8, features: int = 1 << 14, passage: int = 32, max_items: int = 20_000, max_item_words: int = 2_000_000, seed: int = 7) -> DataFrame:
     """Documents that hold a passage of an evaluation item: eval_id, doc_id, kind, cosine, run, lcs, item_words.
 
-    TF-IDF of passages on hashed words, with document frequencies over all documents; right singular vectors
-    by a randomised SVD over all passages of the corpus and the items; every window of eight words of
-    every document is compared by latent cosine with every window of every item. Windows with a smaller share
-    than least_cosine² of their squared weight on words of the items are skipped: they cannot reach that cosine.
-    An (item, document) with a window at or above least_cosine is a candidate. Its kind is passage if a common run of
-    words is at least as long as the window, else paraphrase if the document holds all of the item's answer (its
-    rarest quarter of words) and a common subsequence of at least least_lcs of the item's words; others are dropped.
-    Equal windows have equal latent vectors, so no document with eight consecutive words of an item is lost.
+    The kind is passage if a common run of words is at least as long as the window, else paraphrase if the document
+    holds all of the item's answer (its rarest quarter of words) and a common subsequence of at least least_lcs of
+    the item's words. All cases come out: the hash of every window of every document is looked up among those of the
+    items, and every (item, document) with the whole answer and enough of the item's words is checked.
+
+    The cosine is a measure of the cases and decides none of them: the largest of a window of the document with a window
+    of the item in a latent space. TF-IDF of passages on hashed words, with document frequencies over all
+    documents; right singular vectors by a randomised SVD over all passages of the corpus and the items.
 
     Items with fewer words than the window, null and empty texts are in no case. Repeated texts and items that share a
     passage each have their own row. The items are broadcast; beyond max_items or max_item_words an error is raised.
@@ -209,8 +229,6 @@ def leaking_documents(docs: DataFrame, doc_id: str, text: str, items: DataFrame,
     omega = np.random.default_rng(seed).standard_normal((features, rank + oversample))
     z = corpus_sketch(docs, text, idf, omega, passage) + sketch_of(flat, passages(lengths, passage), idf, omega)
     latent = idf[:, None] * right_vectors(omega, z, rank)
-    known = np.zeros(features, bool)
-    known[flat] = True
     of: dict[tuple[str, ...], list[int]] = {}
     starts: dict[tuple[str, ...], int] = {}
     for i, (_, w) in enumerate(held):
@@ -226,57 +244,48 @@ def leaking_documents(docs: DataFrame, doc_id: str, text: str, items: DataFrame,
     for _, w in held:
         rare = sorted(set(w), key=lambda v: (-weight_of[v], v))
         answers.append(frozenset(rare[: max(1, len(rare) // 4)]))
-    sizes = np.array([len(v) for v in of.values()])
-    shared = spark.sparkContext.broadcast(
-        Held([i for i, _ in held], [w for _, w in held], answers, windows, hashes[begin[:, None] + np.arange(window)], np.array([i for v in of.values() for i in v]), np.r_[0, np.cumsum(sizes)], known, idf**2, latent)
-    )
-    least = math.pow(least_cosine, 2)
+    keys = _window_keys(hashes, begin, window)
+    order = np.argsort(keys, kind="stable")
+    holders = list(of.values())
+    own: list[list[int]] = [[] for _ in held]
+    for at, v in enumerate(holders):
+        for i in v:
+            own[i].append(at)
+    rarest: dict[str, list[int]] = {}
+    for i, a in enumerate(answers):
+        rarest.setdefault(min(a, key=lambda v: (-weight_of[v], v)), []).append(i)
+    item = np.array([i for at in order for i in holders[at]])
+    first = np.r_[0, np.cumsum([len(holders[at]) for at in order])]
+    shared = spark.sparkContext.broadcast(Held([i for i, _ in held], [w for _, w in held], answers, rarest, windows, [np.array(v) for v in own], keys[order], item, first, latent))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e: Held = shared.value
-        numbers, span, count = _Numbers(), np.arange(window), len(e.ids)
+        numbers = _Numbers()
         for batch in batches:
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
             own_hashes, stops = _flat(texts, numbers)
-            if len(own_hashes) < window:
-                continue
-            tokens = _features(own_hashes, features)
-            weight = e.weight[tokens]
-            whole, inside = (np.r_[0, np.cumsum(v)] for v in (weight, weight * e.known[tokens]))
-            place = np.arange(len(tokens) - window + 1)
+            found: dict[tuple[int, int], None] = {}  # (document, item) to be checked
+            place = np.arange(max(0, len(own_hashes) - window + 1))
             doc = np.searchsorted(stops, place, side="right")
-            ok = place + window <= stops[doc]
-            ok &= (inside[window:] - inside[:-window]) >= least * (whole[window:] - whole[:-window]) - 1e-6
-            at_all = np.flatnonzero(ok)
-            found: dict[int, tuple[float, bool]] = {}  # document * items + item → best cosine, whether a window is equal
-            for lo in range(0, len(at_all), 2048):
-                at = at_all[lo : lo + 2048]
-                s = _window_rows(e.latent, tokens, at, window).astype(np.float32) @ e.windows.T
-                i, j = np.nonzero(s >= least_cosine)
-                if not len(i):
-                    continue
-                equal = (own_hashes[at[i][:, None] + span] == e.hashes[j]).all(1)
-                many = e.first[j + 1] - e.first[j]
-                rep = np.repeat(np.arange(len(i)), many)
-                item = e.item[e.first[j][rep] + np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)]
-                pair = doc[at[i]][rep] * count + item
-                order = np.lexsort((s[i, j][rep], equal[rep], pair))
-                last = order[np.r_[pair[order][1:] != pair[order][:-1], True]]
-                for p, c, q in zip(pair[last].tolist(), s[i, j][rep][last].tolist(), equal[rep][last].tolist()):
-                    known_c, known_q = found.get(p, (-1.0, False))
-                    found[p] = (max(c, known_c), q or known_q)
-            out, bags = [], {}
-            for p, (c, same) in found.items():
-                d, item = divmod(p, count)
-                if not same:
-                    if d not in bags:
-                        bags[d] = set(texts[d])
-                    if not e.answers[item] <= bags[d]:
-                        continue
-                run, lcs, size = longest_common_run(e.words[item], texts[d]), longest_common_subsequence(e.words[item], texts[d]), len(e.words[item])
-                kind = "passage" if run >= window else "paraphrase" if lcs >= least_lcs * size and e.answers[item] <= set(texts[d]) else None
+            place = place[place + window <= stops[doc]]
+            mine = _window_keys(own_hashes, place, window)
+            lo, hi = np.searchsorted(e.keys, mine), np.searchsorted(e.keys, mine, side="right")
+            for at in np.flatnonzero(hi > lo):
+                d = int(np.searchsorted(stops, place[at], side="right"))
+                found.update(((d, i), None) for i in e.item[e.first[lo[at]] : e.first[hi[at]]].tolist())
+            bags = list(map(set, texts))
+            for d, bag in enumerate(bags):
+                for w in bag & e.rarest.keys():
+                    for i in e.rarest[w]:
+                        if e.answers[i] <= bag and sum(v in bag for v in e.words[i]) >= least_lcs * len(e.words[i]):
+                            found[d, i] = None
+            out = []
+            for d, i in found:
+                run, lcs, size = longest_common_run(e.words[i], texts[d]), longest_common_subsequence(e.words[i], texts[d]), len(e.words[i])
+                kind = "passage" if run >= window else "paraphrase" if lcs >= least_lcs * size and e.answers[i] <= bags[d] else None
                 if kind:
-                    out.append((e.ids[item], d, kind, c, run, lcs, size))
+                    tokens = _features(own_hashes[stops[d] - len(texts[d]) : stops[d]], features)
+                    out.append((e.ids[i], d, kind, _best_cosine(e.windows[e.own[i]], e.latent, tokens, window), run, lcs, size))
             if out:
                 kinds = [None, None, pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                 arrays = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]

@@ -114,6 +114,22 @@ def test_leaks_against_brute_force(leak_data):
         lk.leaking_documents(d, "doc_id", "text", e, "eval_id", "text", max_items=3)
 
 
+def test_paraphrases_with_strange_words(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(30):
+        item = rng.sample(WORDS[:60], 15) + [f"rare{i}x{j}" for j in range(5)]
+        rng.shuffle(item)
+        usual = [p for p, w in enumerate(item) if w in WORDS]
+        at = next(c for c in (sorted(rng.sample(usual, 4)) for _ in range(10_000)) if max(b - a for a, b in zip([-1, *c], [*c, 20])) <= 8)
+        rows.append((i, item, [f"odd{i}x{p}" if p in at else w for p, w in enumerate(item)]))
+    items = spark.createDataFrame([(i, " ".join(a)) for i, a, _ in rows], "eval_id long, text string")
+    docs = [(i, " ".join(b)) for i, _, b in rows] + [(100 + j, " ".join(rng.choices(WORDS[:60], k=40))) for j in range(200)]
+    found = lk.leaking_documents(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", items, "eval_id", "text").collect()
+    assert sorted((r["eval_id"], r["doc_id"], r["kind"], r["lcs"]) for r in found) == [(i, i, "paraphrase", 16) for i in range(30)]
+    assert all(-1 <= r["cosine"] <= 1 + 1e-6 for r in found)
+
+
 def test_word_rules():
     assert lk.words_of("Ｆｕｌｌ ﬁne_É½ x́y") == ["full", "fine", "é1", "2", "x", "y"]
     assert lk.words_of(None) == lk.words_of("") == []
