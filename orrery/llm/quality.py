@@ -183,15 +183,10 @@ def fit_junk_model(df: DataFrame, doc_id: str, text: str, common: frozenset[str]
     return calibrate(fit_trees(features(x[~held]), y[~held]), features(x[held]), y[held])
 
 
-def junk_texts(df: DataFrame, doc_id: str, text: str, words: DataFrame, fit_rows: int = 20_000, least_p: float = 0.01) -> DataFrame:
-    """doc_id of the texts that are not prose: candidates of the trees, confirmed by the stated rule.
+def junk_texts(df: DataFrame, doc_id: str, text: str, words: DataFrame) -> DataFrame:
+    """doc_id of the texts that are not prose: those that show two of the four signs, whatever trees make of them.
 
-    Candidates have p_junk >= least_p, a bound far under the decision point 0.5, and must show two of the
-    four signs. Without a model (a single class in the sample) every text is a candidate. Null and blank texts are in no case.
+    The rule is exact and its signs are counted for every text, so no fitted p_junk stands before it: a sample
+    need not hold every combination of signs. Null and blank texts are in no case.
     """
-    common = common_set(words)
-    model = fit_junk_model(df, doc_id, text, common, fit_rows)
-    scored = text_statistics(df, doc_id, text, common, model)
-    if model is not None:
-        scored = scored.where(F.col("p_junk") >= least_p)
-    return scored.where("n_signs >= 2").select("doc_id")
+    return text_statistics(df, doc_id, text, common_set(words)).where("n_signs >= 2").select("doc_id")

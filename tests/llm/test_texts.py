@@ -200,3 +200,24 @@ def test_junk_texts(spark):
     assert got == want and Counter(i % 4 == 0 for i in want if i < 600)[True] == 150
     assert q.junk_texts(df.limit(0), "doc_id", "text", words).count() == 0
     assert q.text_statistics(df, "doc_id", "text", common).count() == len(texts)
+
+
+def test_junk_of_rare_signs(spark):
+    rng = random.Random(5)
+    words = lambda n: [rng.choice(["lamp", "house", "river", "table", "tree"]) for _ in range(n)]
+    end = lambda: rng.choice([".", ""])
+    prose = lambda: " ".join(rng.sample(w := ["the", "of"] * 3 + words(rng.randrange(5, 25)), len(w))) + end()
+    texts = [prose() if i % 10 else " ".join(words(rng.randrange(11, 31))) for i in range(6000)]  # the usual junk has no common word at all
+    rare = {
+        938: " ".join(["the", *words(19)]),  # few common words, no line end
+        1909: " ".join(["the", *words(19)]) + ".\n" + " ".join(words(9)) + "\n" + " ".join(words(9)),  # the same, with a third of the lines ended
+        2903: " ".join(["the", "of", "#$%&*#$"] * 8),  # many symbols, no line end
+        3913: " ".join(["the"] + ["lamphouseriver"] * 14) + ".",  # few common words, long ones
+        4747: " ".join(["the"] * 3 + ["lamphouseriver" * 2] * 7),  # long words, no line end
+    }
+    texts = [rare.get(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    common = spark.createDataFrame([("the",), ("of",)], "word string")
+    assert all(q.signs(np.array([q.statistics(t, frozenset(["the", "of"]))])).sum() == 2 for t in rare.values())
+    got = {r[0] for r in q.junk_texts(df, "doc_id", "text", common).collect()}
+    assert got == {i for i in range(6000) if i % 10 == 0} | rare.keys()
