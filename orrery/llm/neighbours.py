@@ -133,29 +133,44 @@ class Router:
         return rows[keep], leaves[keep], place[keep]
 
 
-def unit_rows(features: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that take part, their vectors at norm 1): not null, of length dim, finite, not all zero."""
+def _units(raw: np.ndarray, block: int = 4096) -> np.ndarray:
+    """Rows of float32 at norm 1, in bounded blocks."""
+    out = np.empty_like(raw)
+    for at in range(0, len(raw), block):
+        x = raw[at : at + block].astype(np.float64)
+        x /= np.abs(x).max(1, keepdims=True)
+        out[at : at + block] = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return out
+
+
+def _good_rows(features: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that take part, their vectors): not null, of length dim, finite, not all zero."""
     sizes = np.asarray(features.value_lengths().fill_null(-1))
     rows = np.flatnonzero(sizes == dim) if dim > 0 else np.empty(0, np.int64)
     flat = features.take(pa.array(rows)).flatten()
-    x = np.asarray(flat.cast(pa.float32()).fill_null(np.nan)).reshape(len(rows), max(dim, 1)).astype(np.float64)
-    size = np.abs(x).max(1, initial=0)
+    raw = np.asarray(flat.cast(pa.float32()).fill_null(np.nan)).reshape(len(rows), max(dim, 1))
+    size = np.abs(raw).max(1, initial=0)
     good = np.isfinite(size) & (size > 0)
-    x = x[good] / size[good, None]
-    return rows[good], (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return rows[good], raw[good]
+
 
+def unit_rows(features: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that take part, their vectors at norm 1)."""
+    rows, raw = _good_rows(features, dim)
+    return rows, _units(raw)
 
-def _by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """(name, items, unit vectors) per name and batch of columns name, dim, item, features."""
+
+def _by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(name, items, unit vectors, vectors as they are) per name and batch of columns name, dim, item, features."""
     for batch in batches:
         names, dims = batch.column(0).dictionary_encode(), np.asarray(batch.column(1))
         codes = np.asarray(names.indices)
         for code, name in enumerate(names.dictionary.to_pylist()):
             at = np.flatnonzero(codes == code)
             own = batch.column(3).take(pa.array(at))
-            rows, x = unit_rows(own, int(dims[at[0]]))
+            rows, raw = _good_rows(own, int(dims[at[0]]))
             if len(rows):
-                yield name, np.asarray(batch.column(2))[at[rows]], x
+                yield name, np.asarray(batch.column(2))[at[rows]], _units(raw), raw
 
 
 def vector_hashes(x: np.ndarray) -> np.ndarray:
@@ -191,49 +206,85 @@ def _train(children: dict[tuple[str, int], int]):
     return train
 
 
+def _exact(raw: np.ndarray, size: np.ndarray, q: np.ndarray, c: np.ndarray, cells: int) -> np.ndarray:
+    """Cosines of the pairs (q, c) of rows, whose squared norms are given, in double precision and bounded blocks; 1 for equal rows."""
+    out, block = np.empty(len(q)), max(1, cells // raw.shape[1])
+    for at in range(0, len(q), block):
+        s = slice(at, at + block)
+        out[s] = np.einsum("ij,ij->i", raw[q[s]].astype(np.float64), raw[c[s]].astype(np.float64))
+    return out / np.sqrt(size[q] * size[c])
+
+
+def _within(s: np.ndarray, k: int, margin: float) -> np.ndarray:
+    """The least value of every row of s that may belong to its k greatest, if values are off by half the margin."""
+    return (np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if k < s.shape[1] else s.min(1)) - margin
+
+
 def _search(k: int, least: float | None, cells: int = 4_000_000):
     def search(table: pa.Table) -> pa.Table:
         """One partition: home rows against home rows and visitors, both directions."""
         name = table.column("name")[0].as_py()
         items, home = np.asarray(table.column("item")), np.asarray(table.column("home"))
-        x = _matrix(table.column("vec"))
+        raw = _matrix(table.column("vec"))
         order = np.lexsort((items, ~home))
-        items, home, x = items[order], home[order], x[order]
+        items, home, raw = items[order], home[order], raw[order]
+        x = _units(raw)
         again = np.r_[False, (items[1:] == items[:-1]) & (home[1:] == home[:-1]) & (x[1:] == x[:-1]).all(1)]
-        items, home, x = items[~again], home[~again], x[~again]
+        items, home, x, raw = items[~again], home[~again], x[~again], raw[~again]
         n, lead = int(home.sum()), bool(table.column("lead")[0].as_py())
-        qs, cs = [], []
+        every = np.arange(len(x))
+        size = _exact(raw, np.ones(len(x)), every, every, cells)
+        # twice the bound of the error of a float32 product of unit rows, whose norms are themselves rounded
+        margin = 2 * (x.shape[1] * 2.0**-24 + 2.0**-22)
+        qs, cs, found = [], [], []
+
+        def narrow(own: np.ndarray, others: np.ndarray, keep: np.ndarray, most: int) -> None:
+            """Narrow keep for rows with many near ties by double precision products, in bounded blocks."""
+            tied = np.flatnonzero(keep.sum(1) > 4 * most)
+            wide, high = max(1, cells // x.shape[1]), max(1, cells // (2 * len(others)))
+            for lo in range(0, len(tied), high):
+                rows = tied[lo : lo + high]
+                mine, t = raw[own[rows]].astype(np.float64), np.empty((len(rows), len(others)))
+                for at in range(0, len(others), wide):
+                    c = others[at : at + wide]
+                    t[:, at : at + wide] = mine @ raw[c].astype(np.float64).T / np.sqrt(size[own[rows], None] * size[c])
+                t[~keep[rows]] = -2
+                keep[rows] &= t >= _within(t, most, 4 * x.shape[1] * 2.0**-53)[:, None]
 
         def best(rows: np.ndarray, others: np.ndarray) -> None:
-            """Candidates of rows among others (positions)."""
+            """The k nearest of rows among others (positions), by exact cosine and then by item."""
             block = max(16, cells // max(1, len(others)))  # bounds the candidates held at once, also among near copies
-            by_item = np.argsort(np.argsort(items[others], kind="stable")) / (len(others) + 1)
-            for at in range(0, len(rows), block):
+            most = min(k + len(others) - len(np.unique(items[others])), len(others))  # rows of one item count once
+            for at in range(0, len(rows) if most else 0, block):
                 own = rows[at : at + block]
                 s = x[own] @ x[others].T
                 s[items[own][:, None] == items[others][None, :]] = -2
+                keep = (s >= _within(s, most, margin)[:, None]) & (s > -2)
                 if least is not None:
-                    i, j = np.nonzero(s >= least - 1e-4)
-                else:  # equal cosines (to rounding) in the order of the item
-                    most = min(k + 4, s.shape[1])
-                    j = np.argpartition(by_item[None, :] - np.rint(s * 1e6), most - 1, axis=1)[:, :most] if most else np.empty((len(own), 0), np.int64)
-                    i, j = np.repeat(np.arange(len(own)), j.shape[1]), j.ravel()
-                    i, j = i[s[i, j] > -2], j[s[i, j] > -2]
+                    keep &= s >= least - margin
+                narrow(own, others, keep, most)
+                i, j = np.nonzero(keep)
                 if len(i):
-                    o = np.lexsort((items[others][j], -np.rint(s[i, j] * 1e6), i))
-                    i, j = i[o], j[o]
+                    cos = _exact(raw, size, own[i], others[j], cells)
+                    o = np.lexsort((-cos, items[others][j], i))
+                    i, j, cos = i[o], j[o], cos[o]
+                    once = np.r_[True, (i[1:] != i[:-1]) | (items[others][j][1:] != items[others][j][:-1])]
+                    i, j, cos = i[once], j[once], cos[once]
+                    o = np.lexsort((items[others][j], -cos, i))
+                    i, j, cos = i[o], j[o], cos[o]
                     heads = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
                     place = np.arange(len(i)) - np.repeat(heads, np.diff(np.r_[heads, len(i)]))
-                    top = place < k + 4  # rounding may order near ties otherwise than the exact cosine below
+                    top = place < k
                     qs.append(own[i[top]])
                     cs.append(others[j[top]])
+                    found.append(cos[top])
 
         if n:
             best(np.arange(n), np.arange(0 if lead else n, len(x)))
             if len(x) > n:
                 best(np.arange(n, len(x)), np.arange(n))
         q, c = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (qs, cs))
-        cos = np.einsum("ij,ij->i", x[q].astype(np.float64), x[c].astype(np.float64)) if len(q) else np.empty(0)
+        cos = np.concatenate(found) if found else np.empty(0)
         if least is not None:
             q, c, cos = q[cos >= least], c[cos >= least], cos[cos >= least]
         return pa.table({"name": pa.array([name] * len(q), pa.string()), "item": pa.array(items[q], pa.int64()), "other": pa.array(items[c], pa.int64()), "cosine": pa.array(cos, pa.float64())})
@@ -251,7 +302,7 @@ def copy_groups(rows: DataFrame, sizes: dict[str, int], k: int, share: int = 10_
     floors = {n: max(4 * (k + 1), math.ceil(size / share)) for n, size in sizes.items()}
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, items, x in _by_name(batches):
+        for at, items, x, _ in _by_name(batches):
             yield pa.RecordBatch.from_arrays([pa.array([at] * len(items)), pa.array(vector_hashes(x)), pa.array(items, pa.int64())], ["name", "hash", "item"])
 
     members = rows.mapInArrow(hashed, "name string, hash long, item long")
@@ -326,7 +377,7 @@ def nearest(df: DataFrame, name: str, item: str, features: str, k: int = 10, lea
 
         def sample(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
             own, take = state.value
-            for at, items, x in _by_name(batches):
+            for at, items, x, _ in _by_name(batches):
                 _, leaf, _ = own.route(at, x, 1)
                 chance = (items.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(float) / 2**24
                 keep = chance < np.array([take.get((at, int(v)), 0.0) for v in np.unique(leaf)])[np.searchsorted(np.unique(leaf), leaf)]
@@ -348,7 +399,7 @@ def nearest(df: DataFrame, name: str, item: str, features: str, k: int = 10, lea
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cut = state.value
-        for at, items, x in _by_name(batches):
+        for at, items, x, raw in _by_name(batches):
             i, leaf, order = own.route(at, x, probes)
             home, unit, lead = order == 0, np.zeros(len(i), np.int64), np.ones(len(i), bool)
             kinds, inverse = np.unique(leaf, return_inverse=True)
@@ -368,7 +419,7 @@ def nearest(df: DataFrame, name: str, item: str, features: str, k: int = 10, lea
             for lo in range(0, len(i), 20_000):
                 s = slice(lo, lo + 20_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([at] * len(i[s])), pa.array(leaf[s], pa.int64()), pa.array(unit[s], pa.int64()), pa.array(home[s]), pa.array(lead[s]), pa.array(items[i[s]], pa.int64()), _vectors(x[i[s]])],
+                    [pa.array([at] * len(i[s])), pa.array(leaf[s], pa.int64()), pa.array(unit[s], pa.int64()), pa.array(home[s]), pa.array(lead[s]), pa.array(items[i[s]], pa.int64()), _vectors(raw[i[s]])],
                     ["name", "leaf", "unit", "home", "lead", "item", "vec"],
                 )
 
@@ -386,7 +437,7 @@ def _leaf_sizes(rows: DataFrame, router: Router, probes: int) -> dict[tuple[str,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list[int]] = {}
-        for at, _, x in _by_name(batches):
+        for at, _, x, _ in _by_name(batches):
             _, leaf, order = state.value.route(at, x, probes)
             for visit in (0, 1):
                 for one, n in zip(*np.unique(leaf[(order > 0) == visit], return_counts=True)):

@@ -87,6 +87,18 @@ def test_large_groups_of_equal_vectors(spark, vectors, least):
         assert [o for _, o in sorted(mine[i])] == list(range(10))
 
 
+@pytest.mark.parametrize("least", [None, 0.9])
+@pytest.mark.parametrize("spread", [1e-3, 3e-4])
+def test_near_copies(spark, spread, least):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal((50, 64)), rng.standard_normal(64) + spread * rng.standard_normal((200, 64))]).astype(np.float32)
+    rows = [(int(i), "m_D64", [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "item_idx long, embedding_name string, features array<float>")
+    got = {(r["item"], r["rank"]): r["other"] for r in nb.nearest(df, "embedding_name", "item_idx", "features", 10, least).collect()}
+    _, want = _brute(x.astype(np.float64), 10)
+    assert [[got[i, r + 1] for r in range(10)] for i in range(50, 250)] == want[50:].tolist()
+
+
 def test_hashes(vectors):
     h = nb.vector_hashes(vectors)
     assert len(set(h.tolist())) == len(np.unique(vectors, axis=0)) and (nb.vector_hashes(vectors[::-1]) == h[::-1]).all()
