@@ -130,6 +130,41 @@ def test_paraphrases_with_strange_words(spark):
     assert all(-1 <= r["cosine"] <= 1 + 1e-6 for r in found)
 
 
+def test_cases_of_the_rule_against_brute_force(spark):
+    rng = random.Random(23)
+    some = WORDS[:120]
+    items = [(i, rng.choices(some, k=rng.randrange(8, 30))) for i in range(40)]
+    docs = [(i, rng.choices(some, k=rng.randrange(0, 60))) for i in range(150)]
+    for j in range(200):  # every window of eight words is changed: one word in seven is swapped, dropped, moved or gets a neighbour
+        w, out, off = items[j % 40][1], [], rng.randrange(6)
+        for p, v in enumerate(w):
+            edit = rng.choice(["swap", "drop", "add", "move"]) if p % 7 == off else "keep"
+            out += [f"odd{j}x{p}"] if edit == "swap" else [] if edit == "drop" else [v, rng.choice(some)] if edit == "add" else [v]
+            if edit == "move" and len(out) > 1:
+                out[-2:] = out[:-3:-1]
+        docs.append((1000 + j, rng.choices(some, k=rng.choice([0, 20])) + out))
+    features = 4096
+    flat = lambda words: lk._features(lk._flat([words], lk._Numbers())[0], features)
+    df = np.zeros(features, int)
+    for _, w in docs:
+        df[np.unique(flat(w))] += 1
+    n = sum(bool(w) for _, w in docs)
+    want = set()
+    for i, a in items:
+        rare = sorted(set(a), key=lambda v: (-(np.log((n + 1) / (df[flat([v])[0]] + 1)) + 1), v))
+        answer = set(rare[: max(1, len(rare) // 4)])
+        for d, b in docs:
+            if lk.longest_common_run(a, b) >= 8:
+                want.add((i, d, "passage"))
+            elif answer <= set(b) and lk.longest_common_subsequence(a, b) >= 0.8 * len(a):
+                want.add((i, d, "paraphrase"))
+    table = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{key} long, text string")
+    found = lk.leaking_documents(table(docs, "doc_id"), "doc_id", "text", table(items, "eval_id"), "eval_id", "text", features=features).collect()
+    got = [(r["eval_id"], r["doc_id"], r["kind"]) for r in found]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(k == "paraphrase" for *_, k in want) > 50
+
+
 def test_word_rules():
     assert lk.words_of("Ｆｕｌｌ ﬁne_É½ x́y") == ["full", "fine", "é1", "2", "x", "y"]
     assert lk.words_of(None) == lk.words_of("") == []
