@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.llm import overlap as ov
 
@@ -41,18 +42,36 @@ def test_against_brute_force(data):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
 
 
-@pytest.mark.parametrize("weighted", [False, True])
-def test_cosine_join(spark, weighted):
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}, {"list_rows": 3}, {"carry": 8}, {"list_rows": 2, "carry": 5, "broadcast_bytes": 0}])
+@pytest.mark.parametrize("jaccard", [0.7, 0.5])
+def test_similar_sets(spark, options, jaccard):
     rng = np.random.default_rng(5)
-    sets = [sorted(set((40 * rng.random(int(rng.integers(1, 10))) ** 2).astype(int).tolist())) for _ in range(150)]
-    a, b = sets[:80] + sets[:3], sets[70:]
-    w = {i: 1.0 + (i % 5) for i in range(0, 40, 2)} if weighted else {}
-    df = lambda rows: spark.createDataFrame([(r,) for r in rows], "terms array<long>")
-    weights = spark.createDataFrame(list(w.items()), "term long, weight double") if weighted else None
-    got = {(tuple(r["terms_a"]), tuple(r["terms_b"])): r["dot"] for r in ov.cosine_join(df(a), df(b), 0.6, weights).collect()}
-    norm = lambda s: np.sqrt(sum(w.get(i, 1.0) ** 2 for i in s))
-    cos = {(tuple(x), tuple(y)): sum(w.get(i, 1.0) ** 2 for i in set(x) & set(y)) / norm(x) / norm(y) for x in a for y in b}
-    assert got == pytest.approx({k: v for k, v in cos.items() if v >= 0.6 - 1e-9})
+    sets = [sorted(set((40 * rng.random(int(rng.integers(1, 12))) ** 2).astype(int).tolist())) for _ in range(160)]
+    sets += [s + [90 + i] for i, s in enumerate(sets[:25])] + [s[1:] for s in sets[20:50] if len(s) > 1]
+    a, b = sets[:100] + sets[:3], sets[70:]
+    rows = [(s, i, t) for s, part in ((None, a), ("x", b)) for i, t in enumerate(part)]
+    df = spark.createDataFrame(rows, "split string, user_idx long, terms array<long>").withColumn("n", F.size("terms").cast("long"))
+    keys = {r["key"]: tuple(r["terms"]) for r in df.select(F.xxhash64("terms").alias("key"), "terms").collect()}
+    found = [(keys[r["key_a"]], keys[r["key_b"]]) for r in ov.similar_sets(df, jaccard, **options).collect()]
+    want = {(tuple(x), tuple(y)) for x in a for y in b if len(set(x) & set(y)) >= jaccard * len(set(x) | set(y)) - 1e-9}
+    exact = {p for p in found if len(set(p[0]) & set(p[1])) >= jaccard * len(set(p[0]) | set(p[1])) - 1e-9}
+    assert len(found) == len(set(found)) and exact == want and len(want) > 60
+    assert "carry" in options or set(found) == want
+
+
+def test_least_cosine_is_a_bound():
+    rng = np.random.default_rng(2)
+    w2 = ov.squared_weights(1000, rng.integers(1, 1000, 60))
+    for _ in range(2000):
+        x = rng.choice(60, int(rng.integers(1, 12)), replace=False)
+        y = np.unique(np.r_[rng.choice(x, int(rng.integers(1, len(x) + 1)), replace=False), rng.choice(60, int(rng.integers(0, 3)))])
+        both = np.intersect1d(x, y)
+        if len(both) < 0.7 * len(np.union1d(x, y)):
+            continue
+        cos = w2[both].sum() / np.sqrt(w2[x].sum() * w2[y].sum())
+        for s in (x, y):
+            upto = np.cumsum(np.sort(w2[s]))
+            assert cos >= ov.least_cosines(upto, np.array([0]), np.array([len(s)]), 0.7)[0] - 1e-9
 
 
 def test_report_and_empty(spark, data):
