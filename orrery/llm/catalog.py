@@ -82,7 +82,12 @@ def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Texts that are not prose."""
-    return quality.junk_texts(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "common_words"))
+    return quality.junk_texts(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "common_words")).select("doc_id")
+
+
+def p9_prose(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with its signs and the calibrated probability that it is not prose."""
+    return quality.judged_texts(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "common_words")).select("doc_id", "n_signs", "p_junk")
 
 
 def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,7 +95,7 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.text_statistics(table(spark, sf, "documents"), "doc_id", "text", quality.common_set(table(spark, sf, "common_words")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_neighbours, p4_found, p4_report, p5_found, p5_pairs, p6_found, p6_frequencies, p7_ids, p8_found, p8_leaks, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_neighbours, p4_found, p4_report, p5_found, p5_pairs, p6_found, p6_frequencies, p7_ids, p8_found, p8_leaks, p9_found, p9_prose, p9_statistics)}
 
 _PAIRS = """
 with b as (select distinct user_id, item_id from interactions where user_id is not null and item_id is not null),

@@ -218,6 +218,55 @@ def test_trees_learn_and_are_calibrated():
         assert abs(p[part].mean() - y[4500:][part].mean()) < 0.06
 
 
+# read and labelled by hand, none of them used in the calibration
+HELD = (
+    ("Это синяя гохомелще для Навйассто или для дыховерго?", 0),
+    ("When it rains, the gridellcor on the fentamulnav of Pelves is hollow.", 0),
+    ("Se dice que la pemonllaza en Navtampel era hallado antes de la hervidor, pero es cálida.", 0),
+    ("\u200b После 59 한지 дней у Холцоркуо завернули вермелверба #tag_1 под бледная свеча.", 0),
+    ("- Это сложенная стонявер для Ыарнавлим или для гостозорвер?\n- Мы не нашли в Тамцор и дыка, что", 0),
+    ("Nach 4 Tagen war die Knopf von Rissto unter der blaue Zinnussgrü gewaschen.", 0),
+    ("After 38 days the blanket by Dellyar was found under a striped kettle. Is the bright shelf for Risdelllim or for the veskernav?", 0),
+    ("La bleue doibeaulou de Ulkerquo est pâle, et il était trouvé avec la beaumieveau.", 0),
+    ("Is the rough delldellul for Dellyar or for \r the quojasker?", 0),
+    ("They say that the candle at Corvesker w", 0),
+    ("A ribbon with a striped kervesker </s> was found for 25 of the #tag_1 Ristamris rooms. C3PO-x", 0),
+    ("“Is the folded vescordell for Ulmot or for the grilimris?”\nWhen it rains, the risholgri on the ultamves of Quogriul is quiet.", 0),
+    ("Nussverver › Kragen › Helm › Tauzinver\nHelm | Tasche | Schnzinwei | Pfepfebau", 1),
+    ("basket;PWPUAAUI;1;\nholnavsto;JRTJ;97;\nbracelet;4SA604MA;28;\nlamp;ARO;18;", 1),
+    ("j r z f s x b x n v v q r l d d w k k w w z x g b n v d c c g 82", 1),
+    ('{"rideau": 198, "veaulouqui": 951, "miequi": 598, "sandale": 157, "noiquisou": 939}', 1),
+    ("shelf ............ 219\ncandle ............ 10\nmotwimyar ............ 30\ngrimotul ............ 182", 1),
+    ("* jacket warm\n* button bright\n* jacket hollow\n* curtain narrow\n* mirror rough", 1),
+    ("DGSD0ZL\t5987\t0.151\nTAJKHQ9\t7496\t0.228\nFTF\t1523\t0.032", 1),
+    ("Ut/8czy61vHYnbz/L5Z25fO0O/w1cHN0/4GFed796dwOte73+Mi69Mzy Vg1L70c/xL0FOkHd9y8l7", 1),
+    ("1. silla Dellgri 345\n2. casco Rissto 121\n3. llazades Limkerves 304\n4. zabades Tamjasquo 263", 1),
+    ("\\[/&&[][$ @\\++&]{ \\$\\+<#= /=*# <+*[$++}& [[< #+]|/<\\ &$/+\\$~\\* %<{}|[", 1),
+)
+
+
+def test_hand_checked_texts(spark):
+    rng = random.Random(8)
+    nouns = ["lamp", "shelf", "ribbon", "Navsto", "kettle", "gridell", "Limdell", "basket"]
+    form = ["When it rains, the {} on the {} of {} is quiet.", "They say that the {} at {} was counted before the {}, but it is bright.", "We have not sold a {} in {} that is as warm as this {}."]
+    prose = lambda: "\n".join(rng.choice(form).format(*rng.sample(nouns, 3)) for _ in range(rng.randrange(1, 4)))
+    texts = [q.planted(prose(), i) if i % 10 == 0 else prose()[: rng.randrange(20, 400)] for i in range(3000)] + [t for t, _ in HELD]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = spark.createDataFrame([(w,) for w in "the of is was a in that at it on when by und der die la que es para и в у на для est de une par sous".split()], "word string")
+    p = {r["doc_id"]: r["p_junk"] for r in q.judged_texts(df, "doc_id", "text", words).collect()}
+    assert len(p) == len(texts) and all(0 < v < 1 for v in p.values())
+    held = np.array([p[3000 + i] for i in range(len(HELD))])
+    truth = np.array([j for _, j in HELD])
+    assert ((held > 0.5) == truth).mean() >= 0.9 and ((held - truth) ** 2).mean() < 0.1
+    assert np.mean([(p[i] > 0.5) == (i % 10 == 0) for i in range(3000)]) > 0.95
+    assert [r["p_junk"] for r in q.judged_texts(df.limit(0).union(spark.createDataFrame([(1, None), (2, " ")], df.schema)), "doc_id", "text", words).collect()] == [None, None]
+
+
+def test_planted_structures_are_whole():
+    kinds = {q.planted("Is the folded vescordell for Ulmot or for the grilimris?", s)[:12] for s in range(60)}
+    assert len(kinds) > 15 and all(q.planted(t, s).strip() for s in range(30) for t in ("", "?", "one"))
+
+
 def test_junk_texts(spark):
     rng = random.Random(2)
     prose = lambda: " ".join(rng.choice(["the", "of", "lamp", "house", "river"]) for _ in range(20)) + "."
