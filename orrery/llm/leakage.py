@@ -1,7 +1,8 @@
-"""Evaluation texts leaking into training text: sequence checks of all possible cases, and latent semantic cosines."""
+"""Evaluation texts leaking into training text: latent semantic retrieval of passages, then sequence and answer checks."""
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.staging import stage
+
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -102,194 +105,296 @@ def right_vectors(omega: np.ndarray, z: np.ndarray, rank: int) -> np.ndarray:
     return u[:, :rank]
 
 
-@dataclass
-class Held:
-    """The evaluation side of the search, as it is broadcast; its size is bounded by the limits on the items."""
+def tokenised(df: DataFrame, key: str, text: str) -> DataFrame:
+    """id, text and the 64-bit hashes of the words (binary) of every text that has words."""
+    schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("text", T.StringType()), T.StructField("words", T.BinaryType())])
 
-    ids: list[int]
-    words: list[list[str]]
-    answers: list[frozenset[str]]
-    rarest: dict[str, list[int]]  # word → items whose answer it leads
-    windows: np.ndarray  # latent unit vectors
-    own: list[np.ndarray]  # windows of each item
-    keys: np.ndarray  # sorted hashes of the windows
-    item: np.ndarray  # items of all windows, one after the other in the order of the keys
-    first: np.ndarray  # where each window's items begin in item
-    latent: np.ndarray  # idf × right singular vectors
-
-
-def _window_keys(hashes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """64-bit hashes of the windows of words beginning at starts; equal windows have equal ones."""
-    odd = np.random.default_rng(29).integers(0, 2**63, window, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.zeros(len(starts), np.uint64)
-    for i in range(window):
-        out += (hashes[starts + i] ^ (hashes[starts + i] >> np.uint64(31))) * odd[i]
-    return out
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers()
+        for batch in batches:
+            flat, ends = _flat([words_of(t) for t in batch.column(1).to_pylist()], numbers)
+            offsets = np.r_[0, ends] * 8
+            rows = np.flatnonzero(np.diff(offsets))
+            wide = offsets.astype(np.int64)
+            words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(wide), pa.py_buffer(flat)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], schema.names).take(pa.array(rows))
 
+    return df.select(key, text).mapInArrow(cut, schema)
 
-def _window_rows(latent: np.ndarray, flat: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """Unit latent vectors of the windows of words beginning at starts."""
-    x = np.zeros((len(starts), latent.shape[1]))
-    for i in range(window):
-        x += latent[flat[starts + i]]
-    size = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.maximum(size, 1e-300)
-
-
-def _best_cosine(windows: np.ndarray, latent: np.ndarray, flat: np.ndarray, window: int, cells: int = 4_000_000) -> float:
-    """Largest latent cosine of a window of a text (the whole of a shorter one) with one of windows, in bounded blocks."""
-    size, best = min(window, len(flat)), -1.0
-    starts = np.arange(len(flat) - size + 1)
-    wide = min(len(windows), cells // 16)
-    for lo in range(0, len(starts), cells // wide):
-        x = _window_rows(latent, flat, starts[lo : lo + cells // wide], size).astype(np.float32)
-        for at in range(0, len(windows), wide):
-            best = max(best, float((x @ windows[at : at + wide].T).max()))
-    return best
 
+def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a column of hashes, and the number per text."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint64), np.array([len(v) // 8 for v in values], np.int64)
 
-def document_frequencies(df: DataFrame, text: str, features: int) -> tuple[np.ndarray, int]:
-    """Texts per hashed feature, and texts, over the whole table; at most one number per feature comes back."""
+
+def document_frequencies(df: DataFrame, features: int) -> tuple[np.ndarray, int]:
+    """Texts per hashed feature, and texts, over a whole tokenised table; at most one number per feature comes back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, seen, n = _Numbers(), np.zeros(features, np.int64), 0
+        seen, n = np.zeros(features, np.int64), 0
         for batch in batches:
-            texts = [words_of(t) for t in batch.column(0).to_pylist()]
-            flat, ends = _flat(texts, numbers)
-            doc = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, ends]))
+            flat, lengths = _hashes(batch.column(0))
+            doc = np.repeat(np.arange(len(lengths)), lengths)
             seen += np.bincount(np.unique(doc * features + _features(flat, features)) % features, minlength=features)
-            n += sum(map(bool, texts))
+            n += len(lengths)
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n, seen[some]])], ["feature", "n"])
 
-    rows = df.select(text).mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    out, n = np.zeros(features, np.int64), 0
-    for r in rows:
-        if r["feature"] < 0:
-            n = r["n"]
-        else:
-            out[r["feature"]] = r["n"]
-    return out, n
+    table = df.select("words").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    at, n = np.asarray(table.column("feature")), np.asarray(table.column("n"))
+    out = np.zeros(features, np.int64)
+    out[at[at >= 0]] = n[at >= 0]
+    return out, int(n[at < 0].sum())
 
 
-def corpus_sketch(df: DataFrame, text: str, idf: np.ndarray, omega: np.ndarray, size: int) -> np.ndarray:
-    """AᵀAΩ over the passages of the whole table; each task sends one features × columns block, summed in the shuffle."""
+def corpus_sketch(df: DataFrame, idf: np.ndarray, omega: np.ndarray, size: int) -> np.ndarray:
+    """AᵀAΩ over the passages of a whole tokenised table; each task sends one features × columns block, summed in the shuffle."""
     features, columns = omega.shape
     shared = df.sparkSession.sparkContext.broadcast((idf, omega))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_idf, own_omega = shared.value
-        numbers, z = _Numbers(), np.zeros((features, columns))
+        z = np.zeros((features, columns))
         for batch in batches:
-            texts = [words_of(t) for t in batch.column(0).to_pylist()]
-            flat, ends = _flat(texts, numbers)
-            z += sketch_of(_features(flat, features), passages(np.diff(np.r_[0, ends]), size), own_idf, own_omega)
+            flat, lengths = _hashes(batch.column(0))
+            z += sketch_of(_features(flat, features), passages(lengths, size), own_idf, own_omega)
         some = np.flatnonzero(np.abs(z).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(z[some, j].astype(np.float32)) for j in range(columns))], ["feature", *(f"z{j}" for j in range(columns))])
 
     names = [f"z{j}" for j in range(columns)]
-    parts = df.select(text).mapInArrow(sketch, "feature long, " + ", ".join(f"{c} float" for c in names))
+    parts = df.select("words").mapInArrow(sketch, "feature long, " + ", ".join(f"{c} float" for c in names))
+    table = parts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
     z = np.zeros((features, columns))
-    for r in parts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in names)).collect():
-        z[r["feature"]] = r[1:]
+    z[np.asarray(table.column("feature"))] = np.stack([np.asarray(table.column(c)) for c in names], 1) if table.num_rows else 0
     return z
 
 
-def leaking_documents(docs: DataFrame, doc_id: str, text: str, items: DataFrame, eval_id: str, eval_text: str, window: int = 8, least_lcs: float = 0.8, rank: int = 24, oversample: int = 8, features: int = 1 << 14, passage: int = 32, max_items: int = 20_000, max_item_words: int = 2_000_000, seed: int = 7) -> DataFrame:
-    """Documents that hold a passage of an evaluation item: eval_id, doc_id, kind, cosine, run, lcs, item_words.
+def window_rows(latent: np.ndarray, flat: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """Unit latent vectors of the windows of words beginning at starts; equal windows have equal ones."""
+    x = np.zeros((len(starts), latent.shape[1]))
+    for i in range(window):
+        x += latent[flat[starts + i]]
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return (x / np.maximum(size, 1e-300)).astype(np.float32)
+
 
-    The kind is passage if a common run of words is at least as long as the window, else paraphrase if the document
-    holds all of the item's answer (its rarest quarter of words) and a common subsequence of at least least_lcs of
-    the item's words. All cases come out: the hash of every window of every document is looked up among those of the
-    items, and every (item, document) with the whole answer and enough of the item's words is checked.
+def _ranges(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in its row) of every element of rows of the given lengths."""
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    return rows, np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
-    The cosine is a measure of the cases and decides none of them: the largest of a window of the document with a window
-    of the item in a latent space. TF-IDF of passages on hashed words, with document frequencies over all
-    documents; right singular vectors by a randomised SVD over all passages of the corpus and the items.
+
+@dataclass
+class Side:
+    """One block of evaluation items as it is broadcast; its size is bounded by the words of a block."""
+
+    ids: list
+    words: list[list[str]]
+    passages: list[list[str]]  # of all items, one after the other
+    owner: np.ndarray  # item of each passage
+    vocabulary: np.ndarray  # sorted hashes of the items' words
+    codes: list[np.ndarray]  # words of each passage, as places in the vocabulary
+    answers: list[np.ndarray]  # the rarest quarter of a passage's distinct words, rarest first
+    hashes: np.ndarray  # distinct windows × words
+    holders: np.ndarray  # passages of all windows, one after the other
+    first: np.ndarray  # where each window's passages begin in holders
+    centres: np.ndarray  # of the cells of windows in latent space
+    cells: list[np.ndarray]  # windows of each cell
+    vectors: np.ndarray  # latent unit vectors of the windows
+
+
+def item_side(rows: list[tuple], latent: np.ndarray, idf: np.ndarray, window: int, size: int, seed: int) -> Side:
+    """Windows, passages and cells of items (id, words)."""
+    features, numbers = len(idf), _Numbers()
+    flat, ends = _flat([w for _, w in rows], numbers)
+    lengths = np.diff(np.r_[0, ends])
+    begins = ends - lengths
+    vocabulary = np.unique(flat)
+    parts, owner, where = [], [], []
+    for i, (_, w) in enumerate(rows):
+        n = max(1, round(len(w) / size))  # passages of about the size, none of them short
+        cuts = [len(w) * j // n for j in range(n + 1)]
+        for a, b in zip(cuts, cuts[1:]):
+            parts.append(w[a:b])
+            owner.append(i)
+            where.append((int(begins[i]) + a, int(begins[i]) + b))
+    codes = [np.searchsorted(vocabulary, flat[a:b]) for a, b in where]
+    weight = idf[_features(vocabulary, features)]
+    answers = []
+    for c in codes:
+        rare = np.unique(c)
+        rare = rare[np.lexsort((vocabulary[rare], -weight[rare]))]
+        answers.append(rare[: max(1, len(rare) // 4)])
+    # every window of an item belongs to the passages it touches
+    item, place = _ranges(lengths - window + 1)
+    starts = begins[item] + place
+    table = flat[starts[:, None] + np.arange(window)]
+    distinct, of = np.unique(table, axis=0, return_inverse=True)
+    lo, hi = np.array(where).T
+    head, tail = np.searchsorted(hi, starts, side="right"), np.searchsorted(lo, starts + window - 1, side="right")
+    which, step = _ranges(tail - head)
+    pairs = np.unique(of.ravel()[which] * len(parts) + head[which] + step)
+    first = np.searchsorted(pairs, np.arange(len(distinct) + 1) * len(parts))
+    vectors = window_rows(latent, _features(distinct.ravel(), features), np.arange(len(distinct)) * window, window)
+    rng = np.random.default_rng(seed)
+    centres = vectors[rng.choice(len(vectors), min(len(vectors), math.ceil(math.sqrt(len(vectors)))), replace=False)]
+    sample = vectors[rng.choice(len(vectors), min(len(vectors), 20_000), replace=False)]
+    for _ in range(6):
+        nearest = (sample @ centres.T).argmax(1)
+        used = np.unique(nearest)
+        centres = np.stack([sample[nearest == c].sum(0) for c in used])
+        centres = np.unique(centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-30), axis=0)
+    nearest = (vectors @ centres.T).argmax(1)
+    cells = [np.flatnonzero(nearest == c) for c in range(len(centres))]
+    return Side([i for i, _ in rows], [w for _, w in rows], parts, np.array(owner), vocabulary, codes, answers, distinct, pairs % len(parts), first, centres, cells, vectors)
+
+
+def near_windows(side: Side, x: np.ndarray, least: float, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of x, item window, cosine) of cosine at least least, in the nearest cells of every row."""
+    s = x @ side.centres.T
+    tops = []
+    for _ in range(min(probes, s.shape[1])):
+        tops.append(s.argmax(1))
+        s[np.arange(len(s)), tops[-1]] = -2
+    for top in tops:
+        order = np.argsort(top, kind="stable")
+        cuts = np.searchsorted(top[order], np.arange(len(side.cells) + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
+            rows, own = order[cuts[c] : cuts[c + 1]], side.cells[c]
+            if len(own):
+                cos = x[rows] @ side.vectors[own].T
+                i, j = np.nonzero(cos >= least)
+                yield rows[i], own[j], cos[i, j]
+
+
+def _retrieve(shared, latent_of, schema: T.StructType, window: int, least_lcs: float, least_cosine: float, probes: int, chunk: int = 32_768):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e: Side = shared.value
+        latent: np.ndarray = latent_of.value
+        features, n_parts = len(latent), len(e.passages)
+        for batch in batches:
+            hashes, lengths = _hashes(batch.column(2))
+            begins = np.cumsum(lengths) - lengths
+            flat = _features(hashes, features)
+            seen: dict[int, float] = {}  # (document, passage) as one code → best cosine
+            same: set[int] = set()  # (document, item) as one code: an equal window
+            for size in range(1, window + 1):
+                docs = np.flatnonzero(lengths >= window if size == window else lengths == size)
+                if not len(docs):
+                    continue
+                inner, place = _ranges(lengths[docs] - size + 1)
+                own, starts = docs[inner], begins[docs][inner] + place
+                for lo in range(0, len(starts), chunk):
+                    d, at = own[lo : lo + chunk], starts[lo : lo + chunk]
+                    for i, w, cos in near_windows(e, window_rows(latent, flat, at, size), least_cosine, probes):
+                        if not len(i):
+                            continue
+                        n = e.first[w + 1] - e.first[w]
+                        which, step = _ranges(n)
+                        code = d[i][which] * n_parts + e.holders[e.first[w][which] + step]
+                        if size == window:
+                            equal = np.flatnonzero(cos > 0.999)
+                            equal = equal[(hashes[at[i[equal]][:, None] + np.arange(window)] == e.hashes[w[equal]]).all(1)]
+                            equal = np.isin(which, equal)
+                            same.update(np.unique(code[equal] // n_parts * len(e.ids) + e.owner[code[equal] % n_parts]).tolist())
+                        code, back = np.unique(code, return_inverse=True)
+                        best = np.zeros(len(code), np.float32)
+                        np.maximum.at(best, back, cos[which])
+                        for k, v in zip(code.tolist(), best.tolist()):
+                            if v > seen.get(k, -1.0):
+                                seen[k] = v
+            yield from checked(e, batch, hashes, lengths, seen, same)
+
+    def checked(e: Side, batch: pa.RecordBatch, hashes: np.ndarray, lengths: np.ndarray, seen: dict[int, float], same: set[int]) -> Iterator[pa.RecordBatch]:
+        n_parts, n_items, v = len(e.passages), len(e.ids), len(e.vocabulary)
+        at = np.minimum(np.searchsorted(e.vocabulary, hashes), v - 1)
+        known = e.vocabulary[at] == hashes
+        held = np.unique(np.repeat(np.arange(len(lengths)), lengths)[known] * v + at[known])  # (document, word) of the items' words
+        has = lambda code: held[np.minimum(np.searchsorted(held, code), len(held) - 1)] == code if len(held) else np.zeros(len(code), bool)
+        pairs = np.fromiter(seen, np.int64, len(seen))
+        d, p = pairs // n_parts, pairs % n_parts
+        leads = np.array([a[0] for a in e.answers])
+        able = has(d * v + leads[p])
+        pairs, d, p = pairs[able], d[able], p[able]
+        texts: dict[int, list[str]] = {}
+
+        def words(doc: int) -> list[str]:
+            if doc not in texts:
+                texts[doc] = words_of(batch.column(1)[doc].as_py())
+            return texts[doc]
+
+        found: dict[int, tuple[float, int, int, float]] = {}  # (document, item) → share, lcs, words, cosine of the best passage
+        for code, doc, part in zip(pairs.tolist(), d.tolist(), p.tolist()):
+            mine = e.codes[part]
+            if has(doc * v + e.answers[part]).all() and has(doc * v + mine).sum() >= least_lcs * len(mine):
+                lcs = longest_common_subsequence(e.passages[part], words(doc))
+                if lcs >= least_lcs * len(mine):
+                    key = doc * n_items + int(e.owner[part])
+                    found[key] = max(found.get(key, (0.0, 0, 0, 0.0)), (lcs / len(mine), lcs, len(mine), seen[code]))
+        out = []
+        for key in sorted(same | found.keys()):
+            doc, item = divmod(key, n_items)
+            run = longest_common_run(e.words[item], words(doc))
+            if run >= window or key in found:
+                whole = len(e.words[item])
+                _, lcs, size, cosine = found.get(key) or (0, longest_common_subsequence(e.words[item], words(doc)), whole, 1.0)
+                out.append((e.ids[item], doc, "passage" if run >= window else "paraphrase", 1.0 if run >= window else min(1.0, cosine), run, lcs, size))
+        if out:
+            kinds = [None, None, pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+            arrays = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+            arrays[1] = batch.column(0).take(arrays[1])
+            yield pa.RecordBatch.from_arrays(arrays, schema.names)
+
+    return search
+
+
+def leaking_documents(docs: DataFrame, doc_id: str, text: str, items: DataFrame, eval_id: str, eval_text: str, window: int = 8, least_lcs: float = 0.8, least_cosine: float = 0.9, probes: int = 3, rank: int = 32, oversample: int = 8, features: int = 1 << 14, passage: int = 32, block_words: int = 200_000, seed: int = 7) -> DataFrame:
+    """Documents that hold a passage of an evaluation item: eval_id, doc_id, kind, cosine, run, lcs, words.
+
+    Latent space: TF-IDF of passages on hashed words, with document frequencies over all texts; right singular vectors by a
+    randomised SVD over all passages of the corpus and the items. The windows of consecutive words of the items are grouped
+    in cells of that space. Every window of every document (the whole of a shorter one) looks in its probes
+    nearest cells for item windows of at least least_cosine. The passages of the items that are found this way are checked:
+
+    kind passage: a common run of words is at least as long as the window. Equal windows have equal vectors, hence the same
+    nearest cell and cosine 1, so that no such case is lost. kind paraphrase: the document holds all of the answer of a
+    passage of the item (its rarest quarter of words) and a common subsequence of at least least_lcs of its words;
+    the search is approximate here, its recall against brute force is in the README. lcs and words are those of the best
+    passage, of the whole item where no passage is matched that far; cosine is the best of the item's windows found.
 
     Items with fewer words than the window, null and empty texts are in no case. Repeated texts and items that share a
-    passage each have their own row. The items are broadcast; beyond max_items or max_item_words an error is raised.
+    passage each have their own row. Items are taken in blocks of about block_words words; each block is one search
+    over all documents, so more items mean more passes, not more memory. The words of both sides are staged, and
+    the jobs of the latent space run, when the DataFrame is built.
     """
     spark = docs.sparkSession
-    rows = items.select(eval_id, eval_text).where(F.col(eval_text).isNotNull()).limit(max_items + 1).collect()
-    held = [(r[0], words_of(r[1])) for r in rows]
-    if len(rows) > max_items or sum(len(w) for _, w in held) > max_item_words:
-        raise ValueError("too many evaluation items to broadcast; call with parts of them")
-    held = sorted((i, w) for i, w in held if len(w) >= window)
     schema = T.StructType(
         [T.StructField("eval_id", items.schema[eval_id].dataType), T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("kind", T.StringType()), T.StructField("cosine", T.DoubleType())]
-        + [T.StructField(c, T.IntegerType()) for c in ("run", "lcs", "item_words")]
+        + [T.StructField(c, T.IntegerType()) for c in ("run", "lcs", "words")]
     )
-    if not held:
+    held = stage(tokenised(items, eval_id, eval_text).where(F.octet_length("words") >= 8 * window), "item-words")
+    n_words = held.agg(F.sum(F.octet_length("words"))).first()[0]
+    if not n_words:
         return spark.createDataFrame([], schema)
-    df, n = document_frequencies(docs, text, features)
-    hashes, ends = _flat([w for _, w in held], _Numbers())
-    flat, lengths = _features(hashes, features), np.diff(np.r_[0, ends])
+    corpus = stage(tokenised(docs, doc_id, text), "document-words")
+    both = corpus.select("words").unionAll(held.select("words"))
+    df, n = document_frequencies(both, features)
     idf = np.log((n + 1) / (df + 1)) + 1
     omega = np.random.default_rng(seed).standard_normal((features, rank + oversample))
-    z = corpus_sketch(docs, text, idf, omega, passage) + sketch_of(flat, passages(lengths, passage), idf, omega)
-    latent = idf[:, None] * right_vectors(omega, z, rank)
-    of: dict[tuple[str, ...], list[int]] = {}
-    starts: dict[tuple[str, ...], int] = {}
-    for i, (_, w) in enumerate(held):
-        for j in range(len(w) - window + 1):
-            key = tuple(w[j : j + window])
-            starts.setdefault(key, int(ends[i] - lengths[i]) + j)
-            if i not in of.setdefault(key, []):
-                of[key].append(i)
-    begin = np.array(list(starts.values()))
-    windows = _window_rows(latent, flat, begin, window).astype(np.float32)
-    weight_of = dict(zip((w for _, ws in held for w in ws), idf[flat]))
-    answers = []
-    for _, w in held:
-        rare = sorted(set(w), key=lambda v: (-weight_of[v], v))
-        answers.append(frozenset(rare[: max(1, len(rare) // 4)]))
-    keys = _window_keys(hashes, begin, window)
-    order = np.argsort(keys, kind="stable")
-    holders = list(of.values())
-    own: list[list[int]] = [[] for _ in held]
-    for at, v in enumerate(holders):
-        for i in v:
-            own[i].append(at)
-    rarest: dict[str, list[int]] = {}
-    for i, a in enumerate(answers):
-        rarest.setdefault(min(a, key=lambda v: (-weight_of[v], v)), []).append(i)
-    item = np.array([i for at in order for i in holders[at]])
-    first = np.r_[0, np.cumsum([len(holders[at]) for at in order])]
-    shared = spark.sparkContext.broadcast(Held([i for i, _ in held], [w for _, w in held], answers, rarest, windows, [np.array(v) for v in own], keys[order], item, first, latent))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e: Held = shared.value
-        numbers = _Numbers()
-        for batch in batches:
-            texts = [words_of(t) for t in batch.column(1).to_pylist()]
-            own_hashes, stops = _flat(texts, numbers)
-            found: dict[tuple[int, int], None] = {}  # (document, item) to be checked
-            place = np.arange(max(0, len(own_hashes) - window + 1))
-            doc = np.searchsorted(stops, place, side="right")
-            place = place[place + window <= stops[doc]]
-            mine = _window_keys(own_hashes, place, window)
-            lo, hi = np.searchsorted(e.keys, mine), np.searchsorted(e.keys, mine, side="right")
-            for at in np.flatnonzero(hi > lo):
-                d = int(np.searchsorted(stops, place[at], side="right"))
-                found.update(((d, i), None) for i in e.item[e.first[lo[at]] : e.first[hi[at]]].tolist())
-            bags = list(map(set, texts))
-            for d, bag in enumerate(bags):
-                for w in bag & e.rarest.keys():
-                    for i in e.rarest[w]:
-                        if e.answers[i] <= bag and sum(v in bag for v in e.words[i]) >= least_lcs * len(e.words[i]):
-                            found[d, i] = None
-            out = []
-            for d, i in found:
-                run, lcs, size = longest_common_run(e.words[i], texts[d]), longest_common_subsequence(e.words[i], texts[d]), len(e.words[i])
-                kind = "passage" if run >= window else "paraphrase" if lcs >= least_lcs * size and e.answers[i] <= bags[d] else None
-                if kind:
-                    tokens = _features(own_hashes[stops[d] - len(texts[d]) : stops[d]], features)
-                    out.append((e.ids[i], d, kind, _best_cosine(e.windows[e.own[i]], e.latent, tokens, window), run, lcs, size))
-            if out:
-                kinds = [None, None, pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
-                arrays = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
-                arrays[1] = batch.column(0).take(arrays[1])
-                yield pa.RecordBatch.from_arrays(arrays, schema.names)
-
-    return docs.select(doc_id, text).mapInArrow(search, schema)
+    # two columns of small random weights keep windows of words outside the leading directions apart from zero
+    latent = idf[:, None] * np.hstack([right_vectors(omega, corpus_sketch(both, idf, omega, passage), rank), 1e-4 * omega[:, :2]])
+    latent_of = spark.sparkContext.broadcast(latent)
+    n_blocks, out = -(-n_words // (8 * block_words)), None
+    for b in range(n_blocks):
+        own = held if n_blocks == 1 else held.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == b)
+        rows = sorted(((r["id"], words_of(r["text"])) for r in own.select("id", "text").collect()), key=str)
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast(item_side(rows, latent, idf, window, passage, seed))
+        part = corpus.mapInArrow(_retrieve(shared, latent_of, schema, window, least_lcs, least_cosine, probes), schema)
+        if n_blocks > 1:
+            part = stage(part, f"leaks-{b}")
+            shared.destroy()
+        out = part if out is None else out.unionAll(part)
+    return out

@@ -107,11 +107,12 @@ def test_leaks_against_brute_force(leak_data):
     found = lk.leaking_documents(d, "doc_id", "text", e, "eval_id", "text", features=4096)
     got = [(r["eval_id"], r["doc_id"]) for r in found.where("kind = 'passage'").collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 25
-    assert [tuple(r)[:2] for r in found.where("kind = 'paraphrase'").collect()] == [(5, 2002)] or (5, 2002) in want
+    blocks = lk.leaking_documents(d, "doc_id", "text", e, "eval_id", "text", features=4096, block_words=60)
+    assert sorted(blocks.select("eval_id", "doc_id", "kind").collect()) == sorted(found.select("eval_id", "doc_id", "kind").collect())
     assert lk.leaking_documents(d.limit(0), "doc_id", "text", e, "eval_id", "text").count() == 0
     assert lk.leaking_documents(d, "doc_id", "text", e.where("eval_id = 50"), "eval_id", "text").count() == 0
-    with pytest.raises(ValueError):
-        lk.leaking_documents(d, "doc_id", "text", e, "eval_id", "text", max_items=3)
+    none = e.limit(0).union(e.sparkSession.createDataFrame([(1, None, 0.0), (2, "  ", 0.0), (3, "too few words", 0.0)], e.schema))
+    assert lk.leaking_documents(d, "doc_id", "text", none, "eval_id", "text").count() == 0
 
 
 def test_paraphrases_with_strange_words(spark):
@@ -146,12 +147,12 @@ def test_cases_of_the_rule_against_brute_force(spark):
     features = 4096
     flat = lambda words: lk._features(lk._flat([words], lk._Numbers())[0], features)
     df = np.zeros(features, int)
-    for _, w in docs:
+    for _, w in docs + items:
         df[np.unique(flat(w))] += 1
-    n = sum(bool(w) for _, w in docs)
+    n = sum(bool(w) for _, w in docs + items)
     want = set()
     for i, a in items:
-        rare = sorted(set(a), key=lambda v: (-(np.log((n + 1) / (df[flat([v])[0]] + 1)) + 1), v))
+        rare = sorted(set(a), key=lambda v: (-(np.log((n + 1) / (df[flat([v])[0]] + 1)) + 1), lk._Numbers()[v]))
         answer = set(rare[: max(1, len(rare) // 4)])
         for d, b in docs:
             if lk.longest_common_run(a, b) >= 8:
@@ -161,8 +162,29 @@ def test_cases_of_the_rule_against_brute_force(spark):
     table = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{key} long, text string")
     found = lk.leaking_documents(table(docs, "doc_id"), "doc_id", "text", table(items, "eval_id"), "eval_id", "text", features=features).collect()
     got = [(r["eval_id"], r["doc_id"], r["kind"]) for r in found]
-    assert len(got) == len(set(got)) and set(got) == want
-    assert sum(k == "paraphrase" for *_, k in want) > 50
+    assert len(got) == len(set(got)) and set(got) <= want
+    near = {w for w in want if w[2] == "paraphrase"}
+    assert want - near <= set(got) and len(near & set(got)) >= 0.95 * len(near) and len(near) > 50
+
+
+def test_long_items_leak_in_part(spark):
+    rng = random.Random(31)
+    items = [(i, [f"w{rng.randrange(300)}" for _ in range(100)]) for i in range(12)]
+    docs = [(i, [f"w{rng.randrange(300)}" for _ in range(50)]) for i in range(200)]
+    parts = lambda w: [w[len(w) * j // 3 : len(w) * (j + 1) // 3] for j in range(3)]
+    for i, w in items:  # one third of the item, with every seventh word replaced
+        docs.append((1000 + i, rng.choices(docs[0][1], k=9) + [f"new{p}" if p % 7 == 6 and p != 34 else v for p, v in enumerate(parts(w)[i % 3])]))
+    table = lambda rows, key: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{key} long, text string")
+    found = lk.leaking_documents(table(docs, "doc_id"), "doc_id", "text", table(items, "eval_id"), "eval_id", "text").collect()
+    assert all(r["kind"] == "paraphrase" and r["words"] in (33, 34) and r["lcs"] < r["words"] and r["doc_id"] == 1000 + r["eval_id"] for r in found)
+    words = lk._Numbers()
+    sure = 0
+    for i, w in items:  # where no rare word was replaced
+        df = {v: sum(v in b for _, b in docs + items) for v in w}
+        part = parts(w)[i % 3]
+        rare = sorted(set(part), key=lambda v: (df[v], words[v]))
+        sure += set(rare[: len(rare) // 4]) <= set(docs[200 + i][1])
+    assert len(found) >= sure > 0
 
 
 def test_word_rules():
