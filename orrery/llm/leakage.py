@@ -196,6 +196,8 @@ class Side:
     vocabulary: np.ndarray  # sorted hashes of the items' words
     codes: list[np.ndarray]  # words of each passage, as places in the vocabulary
     answers: list[np.ndarray]  # the rarest quarter of a passage's distinct words, rarest first
+    led_by: np.ndarray  # passages in the order of the rarest words of their answers
+    led: np.ndarray  # where each word's passages begin in led_by
     hashes: np.ndarray  # distinct windows × words
     holders: np.ndarray  # passages of all windows, one after the other
     first: np.ndarray  # where each window's passages begin in holders
@@ -226,6 +228,9 @@ def item_side(rows: list[tuple], latent: np.ndarray, idf: np.ndarray, window: in
         rare = np.unique(c)
         rare = rare[np.lexsort((vocabulary[rare], -weight[rare]))]
         answers.append(rare[: max(1, len(rare) // 4)])
+    leads = np.array([a[0] for a in answers])
+    led_by = np.argsort(leads, kind="stable")
+    led = np.searchsorted(leads[led_by], np.arange(len(vocabulary) + 1))
     # every window of an item belongs to the passages it touches
     item, place = _ranges(lengths - window + 1)
     starts = begins[item] + place
@@ -247,11 +252,11 @@ def item_side(rows: list[tuple], latent: np.ndarray, idf: np.ndarray, window: in
         centres = np.unique(centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-30), axis=0)
     nearest = (vectors @ centres.T).argmax(1)
     cells = [np.flatnonzero(nearest == c) for c in range(len(centres))]
-    return Side([i for i, _ in rows], [w for _, w in rows], parts, np.array(owner), vocabulary, codes, answers, distinct, pairs % len(parts), first, centres, cells, vectors)
+    return Side([i for i, _ in rows], [w for _, w in rows], parts, np.array(owner), vocabulary, codes, answers, led_by, led, distinct, pairs % len(parts), first, centres, cells, vectors)
 
 
-def near_windows(side: Side, x: np.ndarray, least: float, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row of x, item window, cosine) of cosine at least least, in the nearest cells of every row."""
+def near_windows(side: Side, x: np.ndarray, least: np.ndarray, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of x, item window, cosine) of cosine at least the row's least, in the nearest cells of every row."""
     s = x @ side.centres.T
     tops = []
     for _ in range(min(probes, s.shape[1])):
@@ -264,59 +269,60 @@ def near_windows(side: Side, x: np.ndarray, least: float, probes: int) -> Iterat
             rows, own = order[cuts[c] : cuts[c + 1]], side.cells[c]
             if len(own):
                 cos = x[rows] @ side.vectors[own].T
-                i, j = np.nonzero(cos >= least)
+                i, j = np.nonzero(cos >= least[rows, None])
                 yield rows[i], own[j], cos[i, j]
 
 
 def _retrieve(shared, latent_of, schema: T.StructType, window: int, least_lcs: float, least_cosine: float, probes: int, chunk: int = 32_768):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e: Side = shared.value
-        latent: np.ndarray = latent_of.value
-        features, n_parts = len(latent), len(e.passages)
         for batch in batches:
-            hashes, lengths = _hashes(batch.column(2))
-            begins = np.cumsum(lengths) - lengths
-            flat = _features(hashes, features)
-            seen: dict[int, float] = {}  # (document, passage) as one code → best cosine
-            same: set[int] = set()  # (document, item) as one code: an equal window
-            for size in range(1, window + 1):
-                docs = np.flatnonzero(lengths >= window if size == window else lengths == size)
-                if not len(docs):
-                    continue
-                inner, place = _ranges(lengths[docs] - size + 1)
-                own, starts = docs[inner], begins[docs][inner] + place
-                for lo in range(0, len(starts), chunk):
-                    d, at = own[lo : lo + chunk], starts[lo : lo + chunk]
-                    for i, w, cos in near_windows(e, window_rows(latent, flat, at, size), least_cosine, probes):
-                        if not len(i):
-                            continue
-                        n = e.first[w + 1] - e.first[w]
-                        which, step = _ranges(n)
-                        code = d[i][which] * n_parts + e.holders[e.first[w][which] + step]
-                        if size == window:
-                            equal = np.flatnonzero(cos > 0.999)
-                            equal = equal[(hashes[at[i[equal]][:, None] + np.arange(window)] == e.hashes[w[equal]]).all(1)]
-                            equal = np.isin(which, equal)
-                            same.update(np.unique(code[equal] // n_parts * len(e.ids) + e.owner[code[equal] % n_parts]).tolist())
-                        code, back = np.unique(code, return_inverse=True)
-                        best = np.zeros(len(code), np.float32)
-                        np.maximum.at(best, back, cos[which])
-                        for k, v in zip(code.tolist(), best.tolist()):
-                            if v > seen.get(k, -1.0):
-                                seen[k] = v
-            yield from checked(e, batch, hashes, lengths, seen, same)
-
-    def checked(e: Side, batch: pa.RecordBatch, hashes: np.ndarray, lengths: np.ndarray, seen: dict[int, float], same: set[int]) -> Iterator[pa.RecordBatch]:
-        n_parts, n_items, v = len(e.passages), len(e.ids), len(e.vocabulary)
+            for at in range(0, batch.num_rows, 2000):
+                yield from searched(shared.value, latent_of.value, batch.slice(at, 2000))
+
+    def searched(e: Side, latent: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        features, n_parts, v = len(latent), len(e.passages), len(e.vocabulary)
+        hashes, lengths = _hashes(batch.column(2))
+        begins = np.cumsum(lengths) - lengths
+        flat = _features(hashes, features)
         at = np.minimum(np.searchsorted(e.vocabulary, hashes), v - 1)
         known = e.vocabulary[at] == hashes
         held = np.unique(np.repeat(np.arange(len(lengths)), lengths)[known] * v + at[known])  # (document, word) of the items' words
-        has = lambda code: held[np.minimum(np.searchsorted(held, code), len(held) - 1)] == code if len(held) else np.zeros(len(code), bool)
-        pairs = np.fromiter(seen, np.int64, len(seen))
-        d, p = pairs // n_parts, pairs % n_parts
-        leads = np.array([a[0] for a in e.answers])
-        able = has(d * v + leads[p])
-        pairs, d, p = pairs[able], d[able], p[able]
+        # a paraphrase holds the rarest word of the passage's answer: other pairs count only where windows are equal
+        n = np.diff(e.led)[held % v]
+        which, step = _ranges(n)
+        able = np.zeros((len(lengths), n_parts), bool)
+        able[held[which] // v, e.led_by[e.led[held[which] % v] + step]] = True
+        floor = np.where(able.any(1), np.float32(least_cosine), np.float32(0.999))
+        near, cosines, same = [], [], []
+        for size in range(1, window + 1):
+            docs = np.flatnonzero(lengths >= window if size == window else lengths == size)
+            if not len(docs):
+                continue
+            inner, place = _ranges(lengths[docs] - size + 1)
+            own, starts = docs[inner], begins[docs][inner] + place
+            for lo in range(0, len(starts), chunk):
+                d, first = own[lo : lo + chunk], starts[lo : lo + chunk]
+                for i, w, cos in near_windows(e, window_rows(latent, flat, first, size), floor[d], probes):
+                    which, step = _ranges(e.first[w + 1] - e.first[w])
+                    doc, part = d[i][which], e.holders[e.first[w][which] + step]
+                    fine = able[doc, part]
+                    near.append(doc[fine] * n_parts + part[fine])
+                    cosines.append(cos[which][fine])
+                    if size == window:
+                        equal = np.flatnonzero(cos > 0.999)
+                        alike = np.zeros(len(i), bool)
+                        alike[equal] = (hashes[first[i[equal]][:, None] + np.arange(window)] == e.hashes[w[equal]]).all(1)
+                        same.append(np.unique(doc[alike[which]] * len(e.ids) + e.owner[part[alike[which]]]))
+        if not near:
+            return
+        pairs, back = np.unique(np.concatenate(near), return_inverse=True)
+        best = np.zeros(len(pairs), np.float32)
+        np.maximum.at(best, back, np.concatenate(cosines))
+        yield from checked(e, batch, held, pairs, best, np.unique(np.concatenate(same)).tolist() if same else [])
+
+    def checked(e: Side, batch: pa.RecordBatch, held: np.ndarray, pairs: np.ndarray, best: np.ndarray, same: list[int]) -> Iterator[pa.RecordBatch]:
+        n_parts, n_items, v = len(e.passages), len(e.ids), len(e.vocabulary)
+        has = lambda code: held[np.minimum(np.searchsorted(held, code), len(held) - 1)] == code
         texts: dict[int, list[str]] = {}
 
         def words(doc: int) -> list[str]:
@@ -325,15 +331,15 @@ def _retrieve(shared, latent_of, schema: T.StructType, window: int, least_lcs: f
             return texts[doc]
 
         found: dict[int, tuple[float, int, int, float]] = {}  # (document, item) → share, lcs, words, cosine of the best passage
-        for code, doc, part in zip(pairs.tolist(), d.tolist(), p.tolist()):
+        for doc, part, cosine in zip((pairs // n_parts).tolist(), (pairs % n_parts).tolist(), best.tolist()):
             mine = e.codes[part]
             if has(doc * v + e.answers[part]).all() and has(doc * v + mine).sum() >= least_lcs * len(mine):
                 lcs = longest_common_subsequence(e.passages[part], words(doc))
                 if lcs >= least_lcs * len(mine):
                     key = doc * n_items + int(e.owner[part])
-                    found[key] = max(found.get(key, (0.0, 0, 0, 0.0)), (lcs / len(mine), lcs, len(mine), seen[code]))
+                    found[key] = max(found.get(key, (0.0, 0, 0, 0.0)), (lcs / len(mine), lcs, len(mine), cosine))
         out = []
-        for key in sorted(same | found.keys()):
+        for key in sorted({*same, *found}):
             doc, item = divmod(key, n_items)
             run = longest_common_run(e.words[item], words(doc))
             if run >= window or key in found:
