@@ -27,6 +27,21 @@ def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return _neighbours(spark, sf, None).select(F.col("name").alias("embedding_name"), F.col("item").alias("item_idx"), F.col("other").alias("neighbour_idx"), "cosine", "rank")
 
 
+def p3_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The 10 most similar other items, by brute force over all rows, of the items divisible by 100."""
+    vectors = neighbours.evaluated(table(spark, sf, "visual_embeddings"), table(spark, sf, "evaluation_long"))
+    found = neighbours.exact_nearest(vectors, "embedding_name", "item_idx", "features")
+    return found.select(F.col("name").alias("embedding_name"), F.col("item").alias("item_idx"), F.col("other").alias("neighbour_idx"), F.round("cosine", 6).alias("cosine"))
+
+
+def p3_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of p3_neighbours per embedding name, against brute force, over the items divisible by 100."""
+    want = p3_exact(spark, sf).select("embedding_name", "item_idx", "neighbour_idx")
+    got = p3_neighbours(spark, sf).where(F.col("item_idx") % 100 == 0).select("embedding_name", "item_idx", "neighbour_idx", F.lit(1).alias("found"))
+    both = want.join(got, ["embedding_name", "item_idx", "neighbour_idx"], "left")
+    return both.groupBy("embedding_name").agg(F.count(F.lit(1)).alias("n_neighbours"), (F.count("found") / F.count(F.lit(1))).alias("recall"))
+
+
 def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.split_overlaps(table(spark, sf, "train"), table(spark, sf, "heldout"))
 
@@ -95,7 +110,7 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.text_statistics(table(spark, sf, "documents"), "doc_id", "text", quality.common_set(table(spark, sf, "common_words")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_neighbours, p4_found, p4_report, p5_found, p5_pairs, p6_found, p6_frequencies, p7_ids, p8_found, p8_leaks, p9_found, p9_prose, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_neighbours, p3_exact, p3_recall, p4_found, p4_report, p5_found, p5_pairs, p6_found, p6_frequencies, p7_ids, p8_found, p8_leaks, p9_found, p9_prose, p9_statistics)}
 
 _PAIRS = """
 with b as (select distinct user_id, item_id from interactions where user_id is not null and item_id is not null),
@@ -152,6 +167,7 @@ q as (
 
 SQL = {
     "p3_found": _NEIGHBOURS + "select distinct embedding_name, least(item, other) as item_idx_a, greatest(item, other) as item_idx_b from r where rank <= 10 and cosine >= 0.90::double",
+    "p3_exact": _NEIGHBOURS.replace("a.item_idx <> b.item_idx)", "a.item_idx <> b.item_idx where a.item_idx % 100 = 0)") + "select embedding_name, item as item_idx, other as neighbour_idx, round(max(cosine), 6) as cosine from r where rank <= 10 group by 1, 2, 3",
     "p4_found": _OVERLAPS + "select split, source, train_user_idx, user_idx from cases",
     "p4_report": _OVERLAPS + "select split, source, kind, count(*) as n_cases, count(distinct user_idx) as n_users, count(distinct train_user_idx) as n_train_users from cases group by 1, 2, 3",
     "p9_found": _QUALITY + "select doc_id from q where n_signs >= 2",

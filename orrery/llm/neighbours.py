@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.operators.skew import ranked_within
+from orrery.staging import stage
 
 DIMENSION = r"_(?:D|pcaD)([0-9]+)$"
 
@@ -154,23 +156,34 @@ def _good_rows(features: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], raw[good]
 
 
-def unit_rows(features: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that take part, their vectors at norm 1)."""
-    rows, raw = _good_rows(features, dim)
-    return rows, _units(raw)
+def prepared(df: DataFrame, name: str, item: str, features: str) -> DataFrame:
+    """name, item, hash (of the vector at norm 1) and vec (binary float32) of the rows that take part: see nearest; staged by the caller, read several times."""
+    dim = F.regexp_extract(name, DIMENSION, 1)
+    rows = df.where(F.col(name).isNotNull() & F.col(item).isNotNull() & (dim != "")).select(F.col(name).alias("name"), dim.cast("int").alias("dim"), F.col(item).alias("item"), F.col(features).alias("features"))
+
+    def valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, dims = batch.column(0).dictionary_encode(), np.asarray(batch.column(1))
+            codes = np.asarray(names.indices)
+            for code, one in enumerate(names.dictionary.to_pylist()):
+                at = np.flatnonzero(codes == code)
+                good, raw = _good_rows(batch.column(3).take(pa.array(at)), int(dims[at[0]]))
+                if len(good):
+                    yield pa.RecordBatch.from_arrays([pa.array([one] * len(good)), batch.column(2).take(pa.array(at[good])), pa.array(vector_hashes(_units(raw))), _vectors(raw)], ["name", "item", "hash", "vec"])
+
+    return rows.mapInArrow(valid, "name string, item long, hash long, vec binary")
 
 
 def _by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-    """(name, items, unit vectors, vectors as they are) per name and batch of columns name, dim, item, features."""
+    """(name, items, unit vectors, vectors as they are) per name and batch of columns name, item, vec."""
     for batch in batches:
-        names, dims = batch.column(0).dictionary_encode(), np.asarray(batch.column(1))
+        names = batch.column(0).dictionary_encode()
         codes = np.asarray(names.indices)
         for code, name in enumerate(names.dictionary.to_pylist()):
-            at = np.flatnonzero(codes == code)
-            own = batch.column(3).take(pa.array(at))
-            rows, raw = _good_rows(own, int(dims[at[0]]))
-            if len(rows):
-                yield name, np.asarray(batch.column(2))[at[rows]], _units(raw), raw
+            at = pa.array(np.flatnonzero(codes == code))
+            if len(at):
+                raw = _matrix(batch.column(2).take(at))
+                yield name, np.asarray(batch.column(1).take(at)), _units(raw), raw
 
 
 def vector_hashes(x: np.ndarray) -> np.ndarray:
@@ -186,7 +199,7 @@ def _vectors(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(x, np.float32))])
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), np.float32).reshape(len(values), -1)
 
@@ -292,53 +305,39 @@ def _search(k: int, least: float | None, cells: int = 4_000_000):
     return search
 
 
-def copy_groups(rows: DataFrame, sizes: dict[str, int], k: int, share: int = 10_000) -> tuple[dict[str, dict[int, list[int]]], DataFrame | None]:
-    """Large groups of equal vectors: name → hash → the k + 1 least items, and the other members' neighbours.
+def _with_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their vectors at norm 1, by which copies are told."""
+    for batch in batches:
+        for at in range(batch.num_rows):  # rows of large groups only
+            one = batch.slice(at, 1)
+            yield pa.RecordBatch.from_arrays([*one.columns[:4], _vectors(_units(_matrix(one.column(3))))], ["name", "item", "hash", "vec", "unit"])
+
+
+def copy_groups(rows: DataFrame, n_rows: int, k: int, most: int = 10_000) -> tuple[DataFrame, DataFrame | None]:
+    """rows without most members of large groups of equal vectors, and the neighbours (name, item, other, cosine) of those left out.
 
     A member of a group of more than k items has the k least other items of the group as its nearest, all at cosine 1,
-    and no vector needs more than the k + 1 least of them. So the other members (name, item, other, cosine)
-    need no search. Groups of at least 4(k + 1) rows and 1 / share of their name's rows count as large, hence at most share per name.
+    and no vector needs more than the k + 1 least of them. So the other members need no search. Groups of at
+    least 4(k + 1) rows and n_rows / most of all rows count as large: at most that many groups, whose vectors are
+    broadcast. The groups are found by hashes, but only rows whose vector equals that of the group's least item are members.
     """
-    floors = {n: max(4 * (k + 1), math.ceil(size / share)) for n, size in sizes.items()}
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, items, x, _ in _by_name(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([at] * len(items)), pa.array(vector_hashes(x)), pa.array(items, pa.int64())], ["name", "hash", "item"])
-
-    members = rows.mapInArrow(hashed, "name string, hash long, item long")
-    floor = F.broadcast(rows.sparkSession.createDataFrame(list(floors.items()), "name string, floor long"))
-    counted = members.groupBy("name", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 4 * (k + 1)).join(floor, "name").where("n >= floor")
-    large = [(r["name"], r["hash"]) for r in counted.collect()]
     spark = rows.sparkSession
-    if not large:
-        return {}, None
-    own = members.join(F.broadcast(spark.createDataFrame(large, "name string, hash long")), ["name", "hash"]).distinct()
-    ranked = ranked_within(own.withColumn("copies", F.concat_ws(":", "name", "hash")), "copies", ["item"], "copies")
-    first: dict[str, dict[int, list[int]]] = {}
-    for r in ranked.where(F.col("rank") <= k + 1).orderBy("rank").collect():
-        first.setdefault(r["name"], {}).setdefault(r["hash"], []).append(r["item"])
-    least = spark.createDataFrame([(n, h, items[:k]) for n, hs in first.items() for h, items in hs.items()], "name string, hash long, others array<long>")
-    rest = ranked.where(F.col("rank") > k + 1).join(F.broadcast(least), ["name", "hash"])
-    return first, rest.select("name", "item", F.explode("others").alias("other"), F.lit(1.0).alias("cosine"))
-
-
-def without_copies(rows: DataFrame, leaders: dict[str, dict[int, list[int]]]) -> DataFrame:
-    """rows without the members of large groups of equal vectors beyond the groups' least items."""
-    state = rows.sparkSession.sparkContext.broadcast({n: {h: frozenset(i) for h, i in hs.items()} for n, hs in leaders.items()})
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, items, gone = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-            for name in set(names) & set(state.value):
-                at = np.array([i for i, n in enumerate(names) if n == name])
-                good, x = unit_rows(batch.column(3).take(pa.array(at)), batch.column(1)[int(at[0])].as_py())
-                groups = state.value[name]
-                gone += [i for i, h in zip(at[good].tolist(), vector_hashes(x).tolist()) if h in groups and items[i] not in groups[h]]
-            mask = np.ones(len(names), bool)
-            mask[gone] = False
-            yield batch.filter(pa.array(mask))
-
-    return rows.mapInArrow(keep, rows.schema)
+    floor = max(4 * (k + 1), math.ceil(n_rows / most))
+    large = rows.groupBy("name", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= floor).select("name", "hash").toArrow()
+    if not large.num_rows:
+        return rows, None
+    found = F.broadcast(spark.createDataFrame(large))
+    units = lambda part: part.select("name", "item", "hash", "vec").mapInArrow(_with_units, "name string, item long, hash long, vec binary, unit binary")
+    own = units(rows.join(found, ["name", "hash"]))
+    models = spark.createDataFrame(own.groupBy("name", "hash").agg(F.min(F.struct("item", "unit")).alias("m")).select("name", "hash", F.col("m.unit").alias("model")).toArrow())  # at most so many rows
+    members = own.join(F.broadcast(models), ["name", "hash"]).where("unit = model").select("name", "hash", "item").distinct()
+    ranked = ranked_within(members.withColumn("copies", F.concat_ws(":", "name", "hash")), "copies", ["item"], "copies")
+    first = ranked.where(F.col("rank") <= k + 1).groupBy("name", "hash").agg(F.array_sort(F.collect_list("item")).alias("leaders"))
+    leaders = F.broadcast(spark.createDataFrame(first.join(F.broadcast(models), ["name", "hash"]).toArrow()))
+    other = own.join(leaders, ["name", "hash"]).where((F.col("unit") != F.col("model")) | F.array_contains("leaders", F.col("item")))
+    kept = rows.join(found, ["name", "hash"], "left_anti").unionByName(other.select(*rows.columns))
+    rest = ranked.where(F.col("rank") > k + 1).join(leaders.select("name", "hash", "leaders"), ["name", "hash"])
+    return kept, rest.select("name", "item", F.explode(F.slice("leaders", 1, k)).alias("other"), F.lit(1.0).alias("cosine"))
 
 
 def nearest(df: DataFrame, name: str, item: str, features: str, k: int = 10, least: float | None = None, probes: int = 4, target: int = 1000, split_above: int = 4000, fit_rows: int = 6000, max_children: int = 128, depth: int = 3, broadcast_bytes: int = 256 << 20) -> DataFrame:
@@ -358,14 +357,13 @@ def nearest(df: DataFrame, name: str, item: str, features: str, k: int = 10, lea
     name or item neither. Repeated rows of an item count once. Equal cosines are ordered by other.
     """
     spark = df.sparkSession
-    dim = F.regexp_extract(name, DIMENSION, 1)
-    rows = df.where(F.col(name).isNotNull() & F.col(item).isNotNull() & (dim != "")).select(F.col(name).alias("name"), dim.cast("int").alias("dim"), F.col(item).alias("item"), F.col(features).alias("features"))
-    router = Router()
-    found = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per embedding name
+    rows = stage(prepared(df, name, item, features), "vectors")
+    found = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("vec")).alias("bytes")).collect()  # one row per embedding name
     if not found:
         return spark.createDataFrame([], "name string, item long, other long, cosine double, rank int")
-    leaders, spared = copy_groups(rows, {r["name"]: r["n"] for r in found}, k)
-    rows = without_copies(rows, leaders) if leaders else rows
+    rows, spared = copy_groups(rows, sum(r["n"] for r in found), k)
+    rows, wide = rows.select("name", "item", "vec"), {r["name"]: r["bytes"] for r in found}
+    router = Router()
     open_nodes = {(r["name"], 0): r["n"] for r in found if r["n"] > split_above // 2}
     sizes: dict[tuple[str, int], tuple[int, int]] = {}
     for _ in range(depth):
@@ -392,6 +390,7 @@ def nearest(df: DataFrame, name: str, item: str, features: str, k: int = 10, lea
             raise ValueError("the classifiers are too large to broadcast; raise target")
         sizes = _leaf_sizes(rows, router, probes)
         open_nodes = {at: n for at, (n, _) in sizes.items() if n > split_above and at not in open_nodes}
+    sizes = sizes or _leaf_sizes(rows, router, probes)
     # a part is one unit of work, or a grid of home chunks times groups of visitors where it is large
     chunks = {at: math.ceil(n / target) if n > 2 * split_above else 1 for at, (n, _) in sizes.items()}
     grids = {at: (chunks[at], max(1, math.ceil((v + n * (chunks[at] > 1)) / (4 * split_above)))) for at, (n, v) in sizes.items()}
@@ -423,14 +422,66 @@ def nearest(df: DataFrame, name: str, item: str, features: str, k: int = 10, lea
                     ["name", "leaf", "unit", "home", "lead", "item", "vec"],
                 )
 
-    placed = rows.mapInArrow(place, "name string, leaf long, unit long, home boolean, lead boolean, item long, vec binary")
+    # every home row and visitor is sent to each unit of its grid column or row; tasks grow from 4 to 128 MB with the square root of all bytes
+    total = sum((n * (chunks[at] > 1) * chunks[at] + n + v * chunks[at]) * (wide[at[0]] + 64) for at, (n, v) in sizes.items())
+    n_tasks = max(1, math.ceil(total / min(128 << 20, max(4 << 20, math.sqrt(total * 1e5)))))
+    placed = rows.mapInArrow(place, "name string, leaf long, unit long, home boolean, lead boolean, item long, vec binary").repartition(n_tasks, "name", "leaf", "unit")
     met = placed.groupBy("name", "leaf", "unit").applyInArrow(_search(k, least), "name string, item long, other long, cosine double")
-    met = met if spared is None else met.unionByName(spared)
+    met = (met if spared is None else met.unionByName(spared)).repartition("name", "item")  # one exchange for both steps
     once = met.groupBy("name", "item", "other").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("name", "item").orderBy(F.desc("cosine"), "other"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def exact_nearest(df: DataFrame, name: str, item: str, features: str, every: int = 100, k: int = 10, block_bytes: int = 64 << 20) -> DataFrame:
+    """The k most similar other items, by brute force over all rows, of the items divisible by every: name, item, other, cosine, rank.
+
+    The stated query set is broadcast in blocks of at most about block_bytes, each one pass over all rows; every task passes on
+    its own k best per query. Which rows take part, and ties, as in nearest.
+    """
+    spark = df.sparkSession
+    rows = stage(prepared(df, name, item, features), "exact-vectors").select("name", "item", "vec")
+    queries = rows.where(F.col("item") % every == 0).distinct()
+    held = queries.agg(F.sum(F.octet_length("vec") + 64)).first()[0] or 0
+    n_blocks, out = max(1, -(-held // block_bytes)), None
+    for b in range(n_blocks):
+        own = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64("name", "item"), F.lit(n_blocks)) == b)
+        table, block = own.orderBy("name", "item").toArrow(), {}
+        for one in set(table.column("name").to_pylist()):
+            part = table.filter(pc.equal(table.column("name"), one))
+            block[one] = np.asarray(part.column("item")), _matrix(part.column("vec"))
+        shared = spark.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            unit = lambda x: x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+            best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            for one, items, _, raw in _by_name(batches):
+                if one not in shared.value:
+                    continue
+                asked, vectors = shared.value[one]
+                top, who = best.setdefault(one, (np.full((len(asked), k), -2.0), np.full((len(asked), k), -1)))
+                for at in range(0, len(asked), 1024):
+                    for lo in range(0, len(items), 4096):
+                        cos = unit(vectors[at : at + 1024]) @ unit(raw[lo : lo + 4096]).T
+                        other = np.broadcast_to(items[lo : lo + 4096], cos.shape)
+                        cos[asked[at : at + 1024, None] == other] = -2
+                        cos, other = np.hstack([top[at : at + 1024], cos]), np.hstack([who[at : at + 1024], other])
+                        order = np.lexsort((-cos, other))
+                        cos, other = np.take_along_axis(cos, order, 1), np.take_along_axis(other, order, 1)
+                        cos[:, 1:][other[:, 1:] == other[:, :-1]] = -2  # repeated rows of an item count once
+                        order = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+                        top[at : at + 1024], who[at : at + 1024] = np.take_along_axis(cos, order, 1), np.take_along_axis(other, order, 1)
+            for one, (top, who) in best.items():
+                i, j = np.nonzero(top > -2)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array([one] * len(i)), pa.array(shared.value[one][0][i]), pa.array(who[i, j]), pa.array(top[i, j])], ["name", "item", "other", "cosine"])
+
+        part = rows.mapInArrow(search, "name string, item long, other long, cosine double")
+        out = part if out is None else out.unionAll(part)
+    once = out.groupBy("name", "item", "other").agg(F.max("cosine").alias("cosine"))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("name", "item").orderBy(F.desc("cosine"), "other"))).where(F.col("rank") <= k)
+
+
 def _leaf_sizes(rows: DataFrame, router: Router, probes: int) -> dict[tuple[str, int], tuple[int, int]]:
     """(home rows, visitors) per partition, counted over all rows; as many numbers as there are partitions."""
     state = rows.sparkSession.sparkContext.broadcast(router)

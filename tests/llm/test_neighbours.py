@@ -120,3 +120,30 @@ def test_evaluated(spark):
     v = spark.createDataFrame([("a",), ("b",), (None,)], "embedding_name string")
     e = spark.createDataFrame([("a",), ("a",), (None,)], "embedding_name string")
     assert [r[0] for r in nb.evaluated(v, e).collect()] == [r[0] for r in nb.evaluated(v, e, few=0).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("least", [None, 0.9])
+def test_sixty_near_copies_in_many_parts(spark, vectors, least):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((900, 64))
+    x = np.concatenate([base, base[0] + 3e-4 * rng.standard_normal((60, 64))]).astype(np.float32)
+    rows = [(int(i), "m_D64", [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "item_idx long, embedding_name string, features array<float>")
+    got = {}
+    for r in nb.nearest(df, "embedding_name", "item_idx", "features", 10, least, target=100, split_above=200, fit_rows=800).collect():
+        got.setdefault(r["item"], set()).add(r["other"])
+    _, want = _brute(x.astype(np.float64), 10)
+    assert np.mean([len(got[i] & set(want[i].tolist())) / 10 for i in range(900, 960)]) >= 0.95
+
+
+def test_exact_neighbours(spark, vectors):
+    again = [(100, "m_D8", [float(v) for v in vectors[100]], "again"), (7, "m_D8", [float(v) for v in vectors[7]], "again")]
+    for block in (1 << 20, 500):
+        found = nb.exact_nearest(_table(spark, vectors, again), "embedding_name", "item_idx", "features", block_bytes=block).collect()
+        _, want = _brute(vectors.astype(float), 10)
+        mine = {}
+        for r in found:
+            mine.setdefault(r["item"], []).append((r["rank"], r["other"]))
+        assert mine.keys() == set(range(0, 1500, 100))
+        assert all([o for _, o in sorted(v)] == want[i].tolist() for i, v in mine.items())
+    assert nb.exact_nearest(_table(spark, vectors).limit(0), "embedding_name", "item_idx", "features").count() == 0
