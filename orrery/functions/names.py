@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The recommenders in the order of their priority, and the tokens of artifact names.
@@ -90,22 +88,38 @@ def conditions_of(name: Column) -> Column:
     return F.when(name == "none", F.array(F.lit("frozen"), F.lit("finetuned"))).otherwise(F.array(condition_of(name)))
 
 
-def canonical(document: dict) -> str:
-    """JSON with sorted keys."""
-    return json.dumps(document, sort_keys=True)
+def seed_of(document: Column, base: int) -> Column:
+    """31-bit seed of a text: the first 15 hex digits of the MD5 of base and text, modulo 2^31."""
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{base}:"), document)), 1, 15), 16, 10).cast("long") % F.lit(2**31)).cast("long")
 
 
-def job_seed(base: int, dataset: str, model: str, embedding: str, hyperparams: dict) -> int:
-    """31-bit seed from a job's identity."""
-    digest = hashlib.sha256(canonical({"dataset": dataset, "model": model, "embedding": embedding, "hyperparams": hyperparams}).encode()).hexdigest()
-    return (int(digest[:8], 16) ^ base) & 0x7FFFFFFF
+def provenance(df: DataFrame, **columns) -> DataFrame:
+    """df with constant columns that say where its rows come from; a column that is there already is an error."""
+    taken = sorted(set(columns) & set(df.columns))
+    if taken:
+        raise ValueError(f"the table has columns {taken} already")
+    return df.withColumns({k: F.lit(v) for k, v in columns.items()})
 
 
-def seed_of(document: Column, base: int) -> Column:
-    """job_seed of canonical JSON text in a column."""
-    return F.conv(F.substring(F.sha2(document, 256), 1, 8), 16, 10).cast("long").bitwiseXOR(F.lit(base)).bitwiseAND(F.lit(0x7FFFFFFF))
+def tagged_union(parts: dict[int, DataFrame], tag: str = "seed") -> DataFrame:
+    """Tables of repeats as one, with their tag in a column; columns that some lack are null there."""
+    out = None
+    for value, df in parts.items():
+        own = provenance(df, **{tag: value})
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def run_key(*parts: Column) -> Column:
+    """Name of a run: the MD5 text of its parts."""
+    return F.md5(cell_key(*parts))
+
+
+def plain_key(*parts) -> str:
+    """cell_key of values."""
+    return "__".join(map(str, parts))
 
 
-def run_id(dataset: str, embedding: str, model: str, hyperparams: dict) -> str:
-    """12 hex digits that name a run."""
-    return hashlib.md5(canonical({"dataset": dataset, "embedding": embedding, "model": model, "hyperparams": hyperparams}).encode()).hexdigest()[:12]
+def plain_name(name: str) -> str:
+    """safe_name of a value."""
+    return re.sub(r"[^A-Za-z0-9._-]+", "_", name)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def norm(v: Column) -> Column:
     """Euclidean norm; 0 for an empty vector, null for null."""
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
 
 
 def dot(a: Column, b: Column) -> Column:

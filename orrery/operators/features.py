@@ -85,3 +85,11 @@ def pca_fused(df: DataFrame, item: str, sources: list[str], train: DataFrame, co
         return unit.select(item, F.concat(*(f"{s}_pc" for s in sources)).alias("features"))
     joint = unit.select(item, F.concat(*sources).alias("all"))
     return TrainPca(joint, "all", train, item, components).transform(joint, "all", "features").select(item, "features")
+
+
+def pca_aligned(df: DataFrame, item: str, sources: list[str], train: DataFrame, components: int, strategy: str, **options) -> DataFrame:
+    """item, features: each source brought to components by its own train-only fit, then fused by an element-wise strategy."""
+    rows = df.select(item, *sources)
+    for s in sources:
+        rows = TrainPca(rows, s, train, item, components).transform(rows, s, f"{s}_pc")
+    return rows.select(item, vectors.fuse(strategy, [F.col(f"{s}_pc") for s in sources], **options).alias("features"))

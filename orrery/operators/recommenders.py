@@ -12,11 +12,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.functions import names
 from orrery.operators.autodiff import Value, concat
+from orrery.sources.tables import exists
 
 ONLINE = ("mean", "sum", "prod", "max_pool", "weighted_mean", "attention_weighted", "gated", "adaptive_gated")
 
@@ -99,57 +99,109 @@ def _inverse(x: Value) -> Value:
     return Value(1 / x.data, (x,), lambda g: x._to(-g / x.data**2))
 
 
+@dataclass(frozen=True)
+class Model:
+    """A recommender: what it takes, its order of priority, start values, and scores of paired users and items.
+
+    takes is none, pooled or component. item_term, where set, makes the score a dot product: the user-independent visual
+    vector of items, against the parameter visual_user; without it and with linear set, the score is that of user and item alone.
+    """
+
+    name: str
+    priority: int
+    takes: str
+    start: Callable[[np.random.Generator, dict, Context, dict], None]
+    score: Callable[[dict, Context, np.ndarray, np.ndarray], Value] | None = None
+    item_term: Callable[[dict, Context, np.ndarray], Value] | None = None
+    linear: bool = True
+
+
+MODELS: dict[str, Model] = {}
+
+
+def register_model(model: Model) -> Model:
+    """Make a recommender known by its name."""
+    MODELS[model.name] = model
+    return model
+
+
+def known(model: str) -> Model:
+    """A registered recommender, or an error that lists them in their order."""
+    if model not in MODELS:
+        raise ValueError(f"unknown recommender {model}; known: {', '.join(sorted(MODELS, key=lambda m: MODELS[m].priority))}")
+    return MODELS[model]
+
+
 def init(model: str, c: Context, hp: dict, rng: np.random.Generator) -> dict[str, np.ndarray]:
     """Start values of a model's parameters."""
-    k = int(hp.get("latent", 64))
-    kv = int(hp.get("visual", k))
+    own, k = known(model), int(hp.get("latent", 64))
     p: dict[str, np.ndarray] = {"user": rng.normal(0, 0.01, (c.n_users, k)), "item": rng.normal(0, 0.01, (c.n_items, k))}
-    if model != "vnpr":
-        p["bias"] = np.zeros((c.n_items, 1))
-    if model == "bpr":
-        return p
-    if not c.features:
+    if own.takes != "none" and not c.features:
         raise ValueError(f"{model} needs item features")
-    d = _init_fusion(rng, p, c, int(hp.get("aligned", 128)))
-    if model in ("vbpr", "deepstyle", "avbpr"):
-        p["visual_user"] = rng.normal(0, 0.01, (c.n_users, kv))
-        _linear(rng, p, "project", d, kv, bias=False)
-    if model == "deepstyle":
-        p["category"] = rng.normal(0, 0.01, (1 if c.categories is None else int(c.categories.max()) + 1, kv))
-    elif model == "avbpr":
-        _linear(rng, p, "att1", kv, int(hp.get("att_hidden", 32)))
-        _linear(rng, p, "att2", int(hp.get("att_hidden", 32)), kv)
-    elif model == "vnpr":
-        _linear(rng, p, "visual", d, k)
-        width = 3 * k
-        for i, h in enumerate([*hp.get("hidden", (64, 32)), 1]):
-            _linear(rng, p, f"mlp{i}", width, int(h))
-            width = int(h)
-    elif model == "acf":
-        if c.features[0].ndim != 3 or c.history is None:
-            raise ValueError("acf needs component features (items, components, dimension) and histories")
-        h = int(hp.get("att_hidden", 32))
-        p["aux"] = rng.normal(0, 0.01, (c.n_items, k))
-        _linear(rng, p, "component", c.features[0].shape[-1], kv, bias=False)
-        _linear(rng, p, "latent", kv, k, bias=False)
-        for name, rows in (("ca.user", k), ("ca.comp", kv), ("ia.user", k), ("ia.item", k), ("ia.aux", k), ("ia.vis", k)):
-            _linear(rng, p, name, rows, h)
-        _linear(rng, p, "ca.score", h, 1)
-        _linear(rng, p, "ia.score", h, 1)
-    elif model not in ("vbpr", "deepstyle"):
-        raise ValueError(f"unknown recommender {model}; known: {', '.join(names.RECOMMENDERS)}")
+    if (own.takes == "component") != (bool(c.features) and c.features[0].ndim == 3) and own.takes != "none":
+        raise ValueError(f"{model} needs {own.takes} features")
+    own.start(rng, p, c, hp)
     return p
 
 
-def visual_term(model: str, p: dict, c: Context, items: np.ndarray) -> Value:
-    """User-independent visual vector of items for the linear visual models."""
-    theta = _apply(p, "project", fused(p, c, items))
-    if model == "deepstyle":
-        group = np.zeros(len(items), int) if c.categories is None else c.categories[items]
-        return theta - p["category"].take(group)
-    if model == "avbpr":
-        return theta * _apply(p, "att2", _apply(p, "att1", theta).relu()).softmax()
-    return theta
+def _start_bias(rng, p: dict, c: Context, hp: dict) -> None:
+    p["bias"] = np.zeros((c.n_items, 1))
+
+
+def _start_visual(rng, p: dict, c: Context, hp: dict) -> int:
+    _start_bias(rng, p, c, hp)
+    kv = int(hp.get("visual", hp.get("latent", 64)))
+    p["visual_user"] = rng.normal(0, 0.01, (c.n_users, kv))
+    _linear(rng, p, "project", _init_fusion(rng, p, c, int(hp.get("aligned", 128))), kv, bias=False)
+    return kv
+
+
+def _start_style(rng, p: dict, c: Context, hp: dict) -> None:
+    kv = _start_visual(rng, p, c, hp)
+    p["category"] = rng.normal(0, 0.01, (1 if c.categories is None else int(c.categories.max()) + 1, kv))
+
+
+def _start_attentive(rng, p: dict, c: Context, hp: dict) -> None:
+    kv, h = _start_visual(rng, p, c, hp), int(hp.get("att_hidden", 32))
+    _linear(rng, p, "att1", kv, h)
+    _linear(rng, p, "att2", h, kv)
+
+
+def _start_neural(rng, p: dict, c: Context, hp: dict) -> None:
+    k = p["user"].shape[1]
+    _linear(rng, p, "visual", _init_fusion(rng, p, c, int(hp.get("aligned", 128))), k)
+    width = 3 * k
+    for i, h in enumerate([*hp.get("hidden", (64, 32)), 1]):
+        _linear(rng, p, f"mlp{i}", width, int(h))
+        width = int(h)
+
+
+def _start_collaborative(rng, p: dict, c: Context, hp: dict) -> None:
+    if c.history is None:
+        raise ValueError("acf needs component features (items, components, dimension) and histories")
+    _start_bias(rng, p, c, hp)
+    k, h = p["user"].shape[1], int(hp.get("att_hidden", 32))
+    kv = int(hp.get("visual", k))
+    p["aux"] = rng.normal(0, 0.01, (c.n_items, k))
+    _linear(rng, p, "component", c.features[0].shape[-1], kv, bias=False)
+    _linear(rng, p, "latent", kv, k, bias=False)
+    for name, rows in (("ca.user", k), ("ca.comp", kv), ("ia.user", k), ("ia.item", k), ("ia.aux", k), ("ia.vis", k)):
+        _linear(rng, p, name, rows, h)
+    _linear(rng, p, "ca.score", h, 1)
+    _linear(rng, p, "ia.score", h, 1)
+
+
+def _projected(p: dict, c: Context, items: np.ndarray) -> Value:
+    return _apply(p, "project", fused(p, c, items))
+
+
+def _style(p: dict, c: Context, items: np.ndarray) -> Value:
+    return _projected(p, c, items) - p["category"].take(np.zeros(len(items), int) if c.categories is None else c.categories[items])
+
+
+def _attentive(p: dict, c: Context, items: np.ndarray) -> Value:
+    theta = _projected(p, c, items)
+    return theta * _apply(p, "att2", _apply(p, "att1", theta).relu()).softmax()
 
 
 def _attended(p: dict, c: Context, gamma: Value, items: np.ndarray) -> Value:
@@ -160,40 +212,79 @@ def _attended(p: dict, c: Context, gamma: Value, items: np.ndarray) -> Value:
     return _apply(p, "latent", (energy.softmax(axis=1) * comps).sum(1))
 
 
+def _neural_score(p: dict, c: Context, users: np.ndarray, items: np.ndarray) -> Value:
+    x = concat([p["user"].take(users), p["item"].take(items), _apply(p, "visual", fused(p, c, items)).relu()])
+    i = 0
+    while f"mlp{i + 1}.w" in p:
+        x, i = _apply(p, f"mlp{i}", x).relu(), i + 1
+    return _apply(p, f"mlp{i}", x).reshape(len(users))
+
+
+def _neural_tile(p: dict[str, np.ndarray], c: Context, users: np.ndarray) -> np.ndarray:
+    """Scores of users for all items with the first layer split in a part of the user and one of the item, each computed once."""
+    k, v = p["user"].shape[1], {n: Value(x) for n, x in p.items()}
+    w = p["mlp0.w"]
+    seen = _apply(v, "visual", fused(v, c, np.arange(c.n_items))).relu().data
+    x = (p["user"][users] @ w[:k])[:, None] + (p["item"] @ w[k : 2 * k] + seen @ w[2 * k :] + p["mlp0.b"])[None]
+    i = 1
+    while f"mlp{i}.w" in p:
+        x = np.maximum(x, 0) @ p[f"mlp{i}.w"] + p[f"mlp{i}.b"]
+        i += 1
+    return x[:, :, 0]
+
+
+def _collaborative_score(p: dict, c: Context, users: np.ndarray, items: np.ndarray) -> Value:
+    g, q = p["user"].take(users), p["item"].take(items)
+    hist, mask = c.history[users], c.mask[users]
+    b, h = hist.shape
+    flat, rep = hist.reshape(-1), np.repeat(np.arange(b), h)
+    gg = g.take(rep)
+    v = _attended(p, c, gg, flat)
+    aux = p["aux"].take(flat)
+    energy = _apply(p, "ia.score", (_apply(p, "ia.user", gg) + _apply(p, "ia.item", p["item"].take(flat)) + _apply(p, "ia.aux", aux) + _apply(p, "ia.vis", v)).relu())
+    alpha = energy.reshape(b, h).softmax(axis=1, mask=mask)
+    mine = g + ((aux + v).reshape(b, h, -1) * alpha.reshape(b, h, 1)).sum(1)
+    return (mine * (q + _attended(p, c, g, items))).sum(1) + p["bias"].take(items).reshape(len(items))
+
+
+register_model(Model("bpr", 0, "none", _start_bias))
+register_model(Model("vbpr", 1, "pooled", _start_visual, item_term=_projected))
+register_model(Model("vnpr", 2, "pooled", _start_neural, _neural_score, linear=False))
+register_model(Model("deepstyle", 3, "pooled", _start_style, item_term=_style))
+register_model(Model("avbpr", 4, "pooled", _start_attentive, item_term=_attentive))
+register_model(Model("acf", 5, "component", _start_collaborative, _collaborative_score, linear=False))
+
+
 def score(model: str, p: dict, c: Context, users: np.ndarray, items: np.ndarray) -> Value:
     """Scores of paired users and items."""
-    g, q = p["user"].take(users), p["item"].take(items)
-    if model == "vnpr":
-        x = concat([g, q, _apply(p, "visual", fused(p, c, items)).relu()])
-        i = 0
-        while f"mlp{i + 1}.w" in p:
-            x, i = _apply(p, f"mlp{i}", x).relu(), i + 1
-        return _apply(p, f"mlp{i}", x).reshape(len(users))
-    bias = p["bias"].take(items).reshape(len(items))
-    if model == "acf":
-        hist, mask = c.history[users], c.mask[users]
-        b, h = hist.shape
-        flat, rep = hist.reshape(-1), np.repeat(np.arange(b), h)
-        gg = g.take(rep)
-        v = _attended(p, c, gg, flat)
-        aux = p["aux"].take(flat)
-        energy = _apply(p, "ia.score", (_apply(p, "ia.user", gg) + _apply(p, "ia.item", p["item"].take(flat)) + _apply(p, "ia.aux", aux) + _apply(p, "ia.vis", v)).relu())
-        alpha = energy.reshape(b, h).softmax(axis=1, mask=mask)
-        mine = g + ((aux + v).reshape(b, h, -1) * alpha.reshape(b, h, 1)).sum(1)
-        return (mine * (q + _attended(p, c, g, items))).sum(1) + bias
-    out = (g * q).sum(1) + bias
-    return out if model == "bpr" else out + (p["visual_user"].take(users) * visual_term(model, p, c, items)).sum(1)
+    own = known(model)
+    if own.score:
+        return own.score(p, c, users, items)
+    out = (p["user"].take(users) * p["item"].take(items)).sum(1) + p["bias"].take(items).reshape(len(items))
+    return out if own.item_term is None else out + (p["visual_user"].take(users) * own.item_term(p, c, items)).sum(1)
+
+
+def factors(model: str, p: dict[str, np.ndarray], c: Context) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """User vectors, item vectors and item biases whose dot products are the scores of a linear model."""
+    own = known(model)
+    if not own.linear:
+        raise ValueError(f"the scores of {model} are no dot products")
+    if own.item_term is None:
+        return p["user"], p["item"], p["bias"][:, 0]
+    term = own.item_term({n: Value(x) for n, x in p.items()}, c, np.arange(c.n_items)).data
+    return np.hstack([p["user"], p["visual_user"]]), np.hstack([p["item"], term]), p["bias"][:, 0]
 
 
 def all_scores(model: str, p: dict[str, np.ndarray], c: Context, users: np.ndarray, budget: int = 1 << 22) -> np.ndarray:
     """Scores of users for the whole catalogue; linear models as one matrix product, the others in tiles."""
-    v = {n: Value(x) for n, x in p.items()}
-    items = np.arange(c.n_items)
-    if model in ("bpr", "vbpr", "deepstyle", "avbpr"):
-        out = p["user"][users] @ p["item"].T + p["bias"][:, 0]
-        return out if model == "bpr" else out + p["visual_user"][users] @ visual_term(model, v, c, items).data.T
-    step = max(1, budget // max(1, c.n_items * (c.features[0][0].size if model == "acf" else 64)))
-    tiles = [score(model, v, c, np.repeat(users[a : a + step], c.n_items), np.tile(items, len(users[a : a + step]))).data.reshape(-1, c.n_items) for a in range(0, len(users), step)]
+    if known(model).linear:
+        mine, items, bias = factors(model, p, c)
+        return mine[users] @ items.T + bias
+    width = c.features[0][0].size if known(model).takes == "component" else 64
+    step = max(1, budget // max(1, c.n_items * width))
+    v, items = {n: Value(x) for n, x in p.items()}, np.arange(c.n_items)
+    tile = (lambda u: _neural_tile(p, c, u)) if model == "vnpr" else lambda u: score(model, v, c, np.repeat(u, c.n_items), np.tile(items, len(u))).data.reshape(-1, c.n_items)
+    tiles = [tile(users[a : a + step]) for a in range(0, len(users), step)]
     return np.concatenate(tiles) if tiles else np.empty((0, c.n_items))
 
 
@@ -206,24 +297,29 @@ def loss(model: str, p: dict, c: Context, users: np.ndarray, pos: np.ndarray, ne
     return out
 
 
-def triples(train: np.ndarray, n_items: int, seed: int, epoch: int) -> np.ndarray:
-    """Every (user, item) once in random order with a negative item of the user: (user, positive, negative).
+def nth_free(rows: np.ndarray, barred: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The place-th item (from 0) that a row's group lacks; barred holds distinct (group, item) pairs sorted by group and item.
+
+    The j-th barred item i of a group has i - j free items before it; the free item is the place plus the barred ones with at most
+    that many.
+    """
+    heads = np.searchsorted(barred[:, 0], barred[:, 0])
+    gaps = barred[:, 1] - (np.arange(len(barred)) - heads)
+    wide = max(int(place.max(initial=0)), int(gaps.max(initial=0))) + 2
+    return place + np.searchsorted(barred[:, 0] * wide + gaps, rows * wide + place, side="right") - np.searchsorted(barred[:, 0], rows)
+
+
+def triples(train: np.ndarray, n_items: int, rng: np.random.Generator) -> np.ndarray:
+    """Every distinct (user, item) once in random order with a negative item of the user: (user, positive, negative).
 
-    Negatives are redrawn together while the sorted pair codes hold them; users who have every item are left out.
+    A negative is drawn by its place among the items that the user lacks; users who have every item are left out.
     """
-    rng = np.random.default_rng(seed * 1_000_003 + epoch)
-    codes = np.unique(train[:, 0] * n_items + train[:, 1])
-    full = np.bincount(codes // n_items, minlength=1) >= n_items
-    rows = train[~full[train[:, 0]]]
-    rows = rows[rng.permutation(len(rows))]
-    neg = rng.integers(0, n_items, len(rows))
-    open_rows = np.arange(len(rows))
-    while len(open_rows):
-        code = rows[open_rows, 0] * n_items + neg[open_rows]
-        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-        open_rows = open_rows[codes[at] == code]
-        neg[open_rows] = rng.integers(0, n_items, len(open_rows))
-    return np.column_stack([rows, neg])
+    pairs = np.unique(train, axis=0)
+    n_free = n_items - np.bincount(pairs[:, 0], minlength=1)[pairs[:, 0]]
+    rows, n_free = pairs[n_free > 0], n_free[n_free > 0]
+    order = rng.permutation(len(rows))
+    rows, n_free = rows[order], n_free[order]
+    return np.column_stack([rows, nth_free(rows[:, 0], pairs, rng.integers(0, n_free))])
 
 
 def validate(model: str, p: dict, c: Context, train: np.ndarray, val: np.ndarray, keys: np.ndarray, k: int = 10, block: int = 512) -> float:
@@ -259,7 +355,7 @@ def fit(model: str, c: Context, train: np.ndarray, val: np.ndarray, hp: dict, se
     lr, l2, size = float(hp.get("lr", 0.001)), float(hp.get("l2", 0.0)), int(hp.get("batch", 4096))
     best, best_metric, best_epoch, waited, step = {n: x.copy() for n, x in p.items()}, 0.0, 0, 0, 0
     for epoch in range(1, epochs + 1):
-        rows = triples(train, c.n_items, seed, epoch)
+        rows = triples(train, c.n_items, np.random.default_rng([seed, epoch]))
         for at in range(0, len(rows), size):
             b = rows[at : at + size]
             values = {n: Value(x) for n, x in p.items()}
@@ -284,29 +380,67 @@ def fit(model: str, c: Context, train: np.ndarray, val: np.ndarray, hp: dict, se
 
 
 JOB = "model string, hyperparams string, seed long"
-RESULT = "model string, hyperparams string, seed long, metric double, epoch long, n_parameters long"
+RESULT = JOB + ", metric double, epoch long, n_parameters long"
+STORED = RESULT + ", kind string, idx long, vector array<double>"
+KEYS = ["model", "hyperparams", "seed"]
 
 
-def train_jobs(jobs: DataFrame, context: Context, train: np.ndarray, val: np.ndarray, most_bytes: int = 1 << 30) -> DataFrame:
-    """One row per job (model, hyperparams as JSON, seed) with its validation metric; one task per job.
+def trained(jobs: DataFrame, context: Context, train: np.ndarray, val: np.ndarray, most_bytes: int = 1 << 30) -> DataFrame:
+    """Every job (model, hyperparams as JSON, seed) trained in a task of its own: its result, and its best parameters.
 
-    The data of a cell must fit one task, as in any single-machine trainer; it is broadcast behind a size check.
+    The row without a kind is the result (metric, epoch, n_parameters). The others are the parameters: kind is the
+    name of a table, idx its row (-1 for a single vector) and vector its values. The data of a cell must fit one
+    task, as in any single-machine trainer; it is broadcast behind a size check. Write the rows before they are read twice.
     """
     size = train.nbytes + val.nbytes + sum(f.nbytes for f in context.features)
     if size > most_bytes:
         raise ValueError(f"{size} bytes of training data exceed the bound of one task")
     spark = jobs.sparkSession
     shared = spark.sparkContext.broadcast((context, train, val))
+    names = [f.split()[0] for f in STORED.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for model, hp, seed in zip(pdf["model"], pdf["hyperparams"], pdf["seed"]):
                 c, t, v = shared.value
                 p, metric, epoch = fit(model, c, t, v, json.loads(hp), int(seed))
-                yield pd.DataFrame([(model, hp, int(seed), metric, epoch, sum(x.size for x in p.values()))], columns=[f.split()[0] for f in RESULT.split(", ")])
+                head = (model, hp, int(seed), metric, epoch, sum(x.size for x in p.values()))
+                yield pd.DataFrame([(*head, None, None, None)], columns=names)
+                for kind, x in p.items():
+                    table = x[None] if x.ndim == 1 else x.reshape(len(x), -1)
+                    for at in range(0, len(table), 10_000):
+                        idx = np.full(1, -1) if x.ndim == 1 else np.arange(at, min(at + 10_000, len(table)))
+                        rows = pd.DataFrame({"kind": kind, "idx": idx, "vector": list(table[at : at + 10_000])})
+                        yield rows.assign(model=model, hyperparams=hp, seed=int(seed), metric=metric, epoch=epoch, n_parameters=head[-1])[names]
 
     # a number of range partitions of its own keeps adaptive execution from putting small jobs into one task
-    return jobs.distinct().repartitionByRange(max(1, jobs.count()), "model", "hyperparams", "seed").mapInPandas(run, RESULT)
+    return jobs.distinct().repartitionByRange(max(1, jobs.count()), *KEYS).mapInPandas(run, STORED)
+
+
+def results_of(stored: DataFrame) -> DataFrame:
+    """One row per job."""
+    return stored.where("kind is null").drop("kind", "idx", "vector")
+
+
+def parameters_of(stored: DataFrame, most_bytes: int = 1 << 30) -> dict[str, np.ndarray]:
+    """The parameters of one job, which were made in one task and fit one again; a larger table raises."""
+    rows = stored.where("kind is not null").select("kind", "idx", "vector")
+    if (rows.agg(F.sum(F.size("vector") * 8)).first()[0] or 0) > most_bytes:
+        raise ValueError(f"more than {most_bytes} bytes of parameters")
+    table = rows.orderBy("kind", "idx").toArrow()
+    kinds, idx = np.array(table.column("kind").to_pylist()), np.asarray(table.column("idx"))
+    out = {}
+    for kind in np.unique(kinds):
+        at = np.flatnonzero(kinds == kind)
+        lists = table.column("vector").take(at).combine_chunks()
+        values = np.asarray(lists.flatten())
+        out[str(kind)] = values if idx[at[0]] < 0 else values.reshape(len(at), -1)
+    return out
+
+
+def train_jobs(jobs: DataFrame, context: Context, train: np.ndarray, val: np.ndarray, most_bytes: int = 1 << 30) -> DataFrame:
+    """One row per job with its validation metric; the parameters are not kept."""
+    return results_of(trained(jobs, context, train, val, most_bytes))
 
 
 def best_jobs(results: DataFrame) -> DataFrame:
@@ -347,24 +481,42 @@ def median_pruner(history: list[dict[int, float]], warmup: int = 5):
     return stop
 
 
-def search(model: str, c: Context, train: np.ndarray, val: np.ndarray, space: dict, n_trials: int, seed: int = 42, prune: bool = True, done: list[dict] | None = None) -> list[dict]:
-    """Random search with median pruning; trials in done (COMPLETE or PRUNED) count toward n_trials, so a study resumes."""
-    trials = [dict(t) for t in done or []]
-    history = [t["history"] for t in trials if t["state"] == "COMPLETE"]
-    while sum(t["state"] in ("COMPLETE", "PRUNED") for t in trials) < n_trials:
-        hp = sample_space(space, np.random.default_rng((seed, len(trials))))
-        seen: dict[int, float] = {}
-        stop = median_pruner(history) if prune else lambda *_: False
-        pruned = []
-
-        def log(epoch: int, metric: float) -> bool:
-            seen[epoch] = metric
-            if stop(epoch, metric):
-                pruned.append(epoch)
-            return bool(pruned)
-
-        _, metric, epoch = fit(model, c, train, val, hp, seed, log)
-        trials.append({"hyperparams": hp, "state": "PRUNED" if pruned else "COMPLETE", "metric": metric, "epoch": epoch, "history": seen})
-        if not pruned:
-            history.append(seen)
-    return trials
+TRIAL = "trial long, hyperparams string, state string, metric double, epoch long, history map<int,double>"
+
+
+def trial_wave(spark: SparkSession, model: str, c: Context, train: np.ndarray, val: np.ndarray, space: dict, trials: list[int], seed: int, earlier: list[dict[int, float]]) -> DataFrame:
+    """One wave of random trials, each in a task of its own, pruned against the finished runs of the waves before."""
+    shared = spark.sparkContext.broadcast((c, train, val, earlier))
+    points = [(t, json.dumps(sample_space(space, np.random.default_rng((seed, t))), sort_keys=True)) for t in trials]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for trial, hp in zip(pdf["trial"], pdf["hyperparams"]):
+                own, t, v, before = shared.value
+                stop, seen, pruned = median_pruner(before), {}, []
+
+                def log(epoch: int, metric: float, stop=stop, seen=seen, pruned=pruned) -> bool:
+                    seen[epoch] = metric
+                    pruned += [epoch] * stop(epoch, metric)
+                    return bool(pruned)
+
+                _, metric, epoch = fit(model, own, t, v, json.loads(hp), seed, log)
+                yield pd.DataFrame([(trial, hp, "PRUNED" if pruned else "COMPLETE", metric, epoch, seen)], columns=[f.split()[0] for f in TRIAL.split(", ")])
+
+    rows = spark.createDataFrame(points, "trial long, hyperparams string")
+    return rows.repartitionByRange(max(1, len(points)), "trial").mapInPandas(run, TRIAL)
+
+
+def search(spark: SparkSession, model: str, c: Context, train: np.ndarray, val: np.ndarray, space: dict, n_trials: int, path: str, wave: int = 8, seed: int = 42) -> DataFrame:
+    """Random search with median pruning, in waves of trials over the cluster; every wave is appended to the table at path.
+
+    Trials that stand there already count, so that a search resumes; COMPLETE and PRUNED trials count toward n_trials.
+    A wave's trials see the runs of earlier waves. Only one small row per trial comes to the driver.
+    """
+    held = spark.read.schema(TRIAL).parquet(path).collect() if exists(spark, path) else []
+    while len(held) < n_trials:
+        taken = {r["trial"] for r in held}
+        todo = [t for t in range(n_trials) if t not in taken][:wave]
+        trial_wave(spark, model, c, train, val, space, todo, seed, [r["history"] for r in held if r["state"] == "COMPLETE"]).write.mode("append").parquet(path)
+        held = spark.read.schema(TRIAL).parquet(path).collect()
+    return spark.read.schema(TRIAL).parquet(path)

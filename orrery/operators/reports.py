@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import names
@@ -48,10 +48,44 @@ def across(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def best_per(df: DataFrame, keys: list[str], value: str, tie: list[str]) -> DataFrame:
-    """The row of the largest value per key, ties by the smallest tie columns; computed as an aggregate, not a sort."""
+    """The row of the largest value per key, ties by the smallest tie columns: an aggregate of one struct, combined before the shuffle.
+
+    Rows are compared as structs (minus the value, tie columns); value must be a number without nulls.
+    """
     rest = [c for c in df.columns if c not in keys]
-    pick = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), *tie)))
-    return pick.where("_r = 1").select(*keys, *rest)
+    pick = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct((-F.col(value)).alias("_v"), *tie)).alias("_r"))
+    return pick.select(*keys, "_r.*")
+
+
+def summary_long(summary: DataFrame, metric: str, k: int, config: str = "config") -> DataFrame:
+    """The tidy form of a bootstrap summary (config, n_users, mean, ci_lower, ci_upper, ci_width) with the parts of the configuration."""
+    c = names.split_config(F.col(config))
+    e = names.parse_embedding_name(c["embedding_name"])
+    parts = [c["recommender"].alias("recommender"), c["embedding_name"].alias("embedding_name"), e["extractor"].alias("extractor"), e["fusion"].alias("fusion"), e["condition"].alias("cond"), e["embedding_dim"].alias("embedding_dim")]
+    return summary.select(*(x for x in summary.columns if x not in ("metric", "k")), F.coalesce(*(F.col(x) for x in ("metric",) if x in summary.columns), F.lit(metric)).alias("metric"), F.coalesce(*(F.col(x) for x in ("k",) if x in summary.columns), F.lit(k)).alias("k"), *parts)
+
+
+def consolidated(parts: dict[str, DataFrame | None], keys: list[str]) -> dict[str, DataFrame]:
+    """One table per kind that is there: the long evaluation with one row per cell, bootstrap intervals, and both kinds of tests together."""
+    out = {}
+    if parts.get("evaluation") is not None:
+        out["evaluation"] = cell_means(parts["evaluation"], keys)
+    if parts.get("bootstrap") is not None:
+        out["bootstrap"] = parts["bootstrap"]
+    tests = [f(parts[k]) for k, f in (("friedman", friedman_long), ("pairwise", pairwise_long)) if parts.get(k) is not None]
+    if tests:
+        out["tests"] = tests[0] if len(tests) == 1 else tests[0].unionByName(tests[1], allowMissingColumns=True)
+    return out
+
+
+def report_sections(means: DataFrame, n: int = 10, metric: str = "ndcg", k: int = 10) -> dict[str, DataFrame]:
+    """The sections of a report on cell means (dataset, recommender, embedding_name, metric, k, n_users, mean): the best n, the best per recommender, frozen against finetuned."""
+    rows = means.where((F.col("metric") == metric) & (F.col("k") == k) & F.col("mean").isNotNull()).withColumn("cond", names.condition_of(F.col("embedding_name")))
+    return {
+        f"Best {n} by {metric}@{k}": top_n(rows, "mean", n, ["dataset", "recommender", "embedding_name"]),
+        "Best per recommender": best_per(rows, ["dataset", "cond", "recommender"], "mean", ["embedding_name"]),
+        "Frozen and finetuned": condition_delta(rows, ["dataset", "recommender"], "cond", "mean"),
+    }
 
 
 def top_n(df: DataFrame, value: str, n: int, tie: list[str]) -> DataFrame:
@@ -72,9 +106,9 @@ def remaining_cost(cells: DataFrame) -> DataFrame:
     return left.join(done, "role", "left").select("role", "n_open", "mean_seconds", (F.col("n_open") * F.col("mean_seconds")).alias("estimate_seconds"))
 
 
-def latest_state(log: DataFrame, key: str, order: str) -> DataFrame:
-    """The last state of every cell of an append-only log."""
-    return log.groupBy(key).agg(F.max_by("state", order).alias("state"))
+def latest_state(log: DataFrame, key: str, order: str, more: list[str] = ()) -> DataFrame:
+    """The last state of every cell of an append-only log, with more columns of that row."""
+    return log.groupBy(key).agg(F.max_by(F.struct("state", *more), order).alias("_last")).select(key, "_last.*")
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,23 +38,20 @@ def stratified(df: DataFrame, label: str, key: str, share: float = 0.8, seed: in
 
 
 def truncated_history(df: DataFrame, user: str, item: str, most: int) -> DataFrame:
-    """user, history: the most smallest item ids of each user, ascending."""
-    valid = df.dropna(subset=[user, item])
-    return valid.groupBy(user).agg(F.slice(F.sort_array(F.collect_set(item)), 1, most).alias("history"))
+    """user, history: the most smallest item ids of each user, ascending. Only most ids of a user leave a task."""
+    once = df.dropna(subset=[user, item]).select(user, item).distinct()
+    placed = once.withColumn("_place", F.row_number().over(Window.partitionBy(user).orderBy(item))).where(F.col("_place") <= most)
+    return placed.groupBy(user).agg(F.sort_array(F.collect_list(item)).alias("history"))
 
 
-def user_subsample(users: DataFrame, user: str, size: int, seed: int = 42) -> DataFrame:
-    """size users without replacement, drawn by numpy's generator over the sorted users; all if there are fewer.
+def history_vectors(histories: DataFrame, user: str, vectors: DataFrame, item: str) -> DataFrame:
+    """user, place (from 0), item and the columns of vectors: the vectors of every item of a history; items without one are left out."""
+    return histories.select(user, F.posexplode("history").alias("place", item)).join(vectors, item)
 
-    Only the drawn places (at most size) reach the driver.
-    """
-    ranked = ranked_within(users.select(user).dropna().distinct(), None, [user], "subsample")
-    n = ranked.count()
-    if n <= size:
-        return ranked.select(user)
-    chosen = np.sort(np.random.default_rng(seed).choice(n, size=size, replace=False)) + 1
-    places = users.sparkSession.createDataFrame([(int(i),) for i in chosen], "rank long")
-    return ranked.join(places, "rank", "left_semi").select(user)
+
+def user_subsample(users: DataFrame, user: str, size: int, seed: int = 42) -> DataFrame:
+    """size users without replacement, the first by the seeded draw; all if there are fewer. The size is that of the evaluation sample."""
+    return users.select(user).dropna().distinct().orderBy(draw(seed, F.col(user)), user).limit(size)
 
 
 def seen_items(*splits: DataFrame) -> DataFrame:

@@ -24,35 +24,39 @@ def clean_values(df: DataFrame, keys: list[str], value: str = "metric_value") ->
     return df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys).agg(F.min(value).alias("value"))
 
 
+GROUP = ["model", "base", "condition"]
+#: What the configurations of a family's group have in common, and their kind.
+_SHARED = {"backbone_within_model": ("backbone", ("model", "condition")), "model_within_backbone": ("backbone", ("base", "condition")), "fusion_within_model": ("fusion", ("model", "condition")), "all_pairs": (None, ())}
+
+
 def families(cells: DataFrame, wanted: tuple[str, ...] = FAMILIES[:4]) -> DataFrame:
-    """family, group, config_a < config_b (frozen first in frozen_vs_finetuned) of cells (model, embedding_name)."""
+    """family, model, base, condition, config_a < config_b of cells (model, embedding_name).
+
+    model, base and condition are those of the group that the pair belongs to, null where a group is not about them. In
+    frozen_vs_finetuned the frozen configuration comes first.
+    """
     unknown = [f for f in wanted if f not in FAMILIES]
     if unknown:
         raise ValueError(f"unknown families {unknown}; known: {sorted(FAMILIES)}")
     e = F.col("embedding_name")
     c = cells.select("model", "embedding_name").dropna().distinct()
-    c = c.withColumns({"config": names.config_key(F.col("model"), e), "kind": names.embedding_kind(e), "base": names.backbone_base(e), "cond": names.condition_of(e)})
-
-    def paired(rows: DataFrame, family: str, group: Column) -> DataFrame:
-        own = rows.select(F.lit(family).alias("family"), group.alias("group"), "config")
-        other = own.select("family", "group", F.col("config").alias("config_b"))
-        return own.withColumnRenamed("config", "config_a").join(other, ["family", "group"]).where("config_a < config_b")
-
-    label = lambda *parts: F.concat(*(p for k, v in parts for p in (F.lit(k), F.col(v))))
-    frames = {
-        "backbone_within_model": lambda: paired(c.where("kind = 'backbone'"), "backbone_within_model", label(("model=", "model"), (",condition=", "cond"))),
-        "model_within_backbone": lambda: paired(c.where("kind = 'backbone'"), "model_within_backbone", label(("backbone=", "base"), (",condition=", "cond"))),
-        "fusion_within_model": lambda: paired(c.where("kind = 'fusion'"), "fusion_within_model", label(("model=", "model"), (",condition=", "cond"))),
-        "frozen_vs_finetuned": lambda: c.where("kind <> 'none'")
-        .groupBy("model", "base")
-        .agg(F.max(F.when(F.col("cond") == "frozen", F.col("config"))).alias("config_a"), F.max(F.when(F.col("cond") == "finetuned", F.col("config"))).alias("config_b"))
-        .where("config_a is not null and config_b is not null")
-        .select(F.lit("frozen_vs_finetuned").alias("family"), label(("model=", "model"), (",backbone=", "base")).alias("group"), "config_a", "config_b"),
-        "all_pairs": lambda: paired(c, "all_pairs", F.lit("all")),
-    }
+    c = c.select("model", names.config_key(F.col("model"), e).alias("config"), names.embedding_kind(e).alias("kind"), names.backbone_base(e).alias("base"), names.condition_of(e).alias("condition"))
     out = None
-    for f in wanted:
-        out = frames[f]() if out is None else out.unionByName(frames[f]())
+    for family in wanted:
+        if family == "frozen_vs_finetuned":
+            of = lambda condition: F.max(F.when(F.col("condition") == condition, F.col("config")))
+            pairs = c.where("kind <> 'none'").groupBy("model", "base").agg(of("frozen").alias("config_a"), of("finetuned").alias("config_b")).dropna().withColumn("condition", F.lit(None).cast("string"))
+        else:
+            kind, shared = _SHARED[family]
+            rows = c.where(F.col("kind") == kind) if kind else c
+            rows = rows.select(*(F.col(g) if g in shared else F.lit(None).cast("string").alias(g) for g in GROUP), "config")
+            other = rows.select(*(F.col(g).alias(f"_{g}") for g in shared), F.col("config").alias("config_b"))
+            met = F.col("config") < F.col("config_b")
+            for g in shared:
+                met = met & (F.col(g) == F.col(f"_{g}"))
+            pairs = rows.join(other, met).withColumnRenamed("config", "config_a")
+        own = pairs.select(F.lit(family).alias("family"), *GROUP, "config_a", "config_b")
+        out = own if out is None else out.unionByName(own)
     return out
 
 
@@ -222,7 +226,7 @@ def pairwise(values: DataFrame, pairs: DataFrame, by: list[str], method: str = "
     tests = wilcoxon(d, keys).withColumn("p_value", normal_two_sided("z"))
     spread = bootstrap_mean(d, keys, F.round(F.col("a") - F.col("b"), 12), draws, alpha, seed).select(*keys, F.col("mean").alias("mean_diff"), F.col("ci_lower").alias("diff_ci_lower"), F.col("ci_upper").alias("diff_ci_upper"))
     rows = tests.join(spread, keys).join(cliffs_delta(d, keys), keys).join(pairs, ["config_a", "config_b"])
-    return corrected(rows, [*by, "family", "group"], ["config_a", "config_b"], method, alpha)
+    return corrected(rows, [*by, "family", *GROUP], ["config_a", "config_b"], method, alpha)
 
 
 def user_set_mismatch(values: DataFrame, by: list[str]) -> DataFrame:
@@ -236,3 +240,9 @@ def paired_matrix(values: DataFrame, configs: list[str]) -> DataFrame:
     """user_id and one column per configuration, for users that have them all."""
     wide = values.groupBy("user_id").pivot("config", configs).agg(F.first("value"))
     return wide.dropna(subset=configs)
+
+
+def most_frequent(df: DataFrame, column: str, n: int) -> list[str]:
+    """The n most frequent values, ties by value: the few systems that a matrix compares."""
+    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return [r[0] for r in counted.orderBy(F.desc("n"), column).limit(n).collect()]

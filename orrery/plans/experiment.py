@@ -1,4 +1,4 @@
-"""Configuration, step plan, cells and the resumable run over them."""
+"""Configuration, step plan, the table of cells, and the append-only log of their states."""
 
 from __future__ import annotations
 
@@ -6,11 +6,16 @@ import copy
 import json
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
 from pathlib import Path
 
-from orrery.functions.names import COMPONENT, FINETUNED, RECOMMENDERS
-from orrery.sources.artifacts import RunManifest, write_json
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.functions import names
+from orrery.operators import reports
+from orrery.operators.recommenders import MODELS
+from orrery.sources.artifacts import RunManifest
+from orrery.sources.tables import exists
 
 # The steps in their order, those that run per condition, the defaults of the protocol.
 STEPS = ("preprocess", "fuse", "train", "evaluate", "statistical", "export_best")
@@ -19,14 +24,14 @@ DEFAULTS = {
     "seeds": [42],
     "condition": "both",
     "datasets": [],
-    "recommenders_enabled": list(RECOMMENDERS),
+    "recommenders_enabled": list(names.RECOMMENDERS),
     "common": {"early_stopping_metric": "ndcg@10", "early_stopping_patience": 20, "epochs": 100, "eval_every": 10, "eval_sample_size": 2000, "batch": 4096},
     "hp_search": {"n_trials": 30, "sampler": "random", "pruner": "median"},
     "hp_budget": {},
     "evaluation": {"ks": [5, 10, 20], "protocol": "full", "n_negatives": 100},
     "statistics": {"alpha": 0.05, "correction": "holm", "families": ["backbone_within_model", "model_within_backbone", "fusion_within_model", "frozen_vs_finetuned"], "draws": 1000},
 }
-BUDGET = ("n_trials", "early_stopping_metric", "early_stopping_patience", "epochs", "eval_sample_size")
+BUDGET = {"n_trials": "long", "early_stopping_metric": "string", "early_stopping_patience": "long", "epochs": "long", "eval_sample_size": "long"}
 CLOSED = ("common", "hp_search", "evaluation", "statistics")
 
 
@@ -47,25 +52,35 @@ def load_config(folder: str | None = None, **overrides) -> dict:
         unknown = set(config[block]) - set(DEFAULTS[block])
         if unknown:
             raise ValueError(f"{block} has unknown settings {sorted(unknown)}")
-    unknown = [m for m in config["recommenders_enabled"] if m not in RECOMMENDERS]
+    unknown = [m for m in config["recommenders_enabled"] if m not in MODELS]
     if unknown or config["condition"] not in ("frozen", "finetuned", "both"):
         raise ValueError(f"unknown recommenders {unknown}" if unknown else f"unknown condition {config['condition']}")
-    uniform_budget(config)
+    own = {m: sorted(BUDGET.keys() & config.get(m, {}).keys()) for m in config["recommenders_enabled"]}
+    if any(own.values()):
+        raise ValueError(f"a budget belongs to a data set, not to a recommender: {own}")
     return config
 
 
-def uniform_budget(config: dict) -> None:
-    """Raise if a recommender's own block sets a budget: all cells of a data set share one."""
-    for m in config["recommenders_enabled"]:
-        own = [k for k in BUDGET if k in config.get(m, {})]
-        if own:
-            raise ValueError(f"{m} sets {own}; the search budget is shared per data set")
+def overrides(settings: list[str]) -> dict:
+    """Nested settings of texts KEY=JSON, where dots in the key lead into blocks; a value that is no JSON is a text."""
+    out: dict = {}
+    for entry in settings:
+        key, _, raw = entry.partition("=")
+        try:
+            value = json.loads(raw)
+        except ValueError:
+            value = raw
+        for part in reversed(key.split(".")):
+            value = {part: value}
+        out = merged(out, value)
+    return out
 
 
-def budget(config: dict, dataset: str) -> dict:
-    """The search budget of a data set."""
-    base = {k: config["common"].get(k, config["hp_search"].get(k)) for k in BUDGET}
-    return base | {k: v for k, v in config["hp_budget"].get(dataset, {}).items() if k in BUDGET}
+def budgets(spark: SparkSession, config: dict) -> DataFrame:
+    """dataset and its search budget, one row per data set: the common values under those of hp_budget."""
+    base = {**config["hp_search"], **config["common"]}
+    rows = [(d, *({**base, **config["hp_budget"].get(d, {})}[k] for k in BUDGET)) for d in config["datasets"]]
+    return spark.createDataFrame(rows, "dataset string, " + ", ".join(f"{k} {t}" for k, t in BUDGET.items()))
 
 
 def conditions(config: dict) -> list[str]:
@@ -83,97 +98,61 @@ def step_plan(config: dict, only: list[str] | None = None, start: str | None = N
     return [(s, c) for s in chosen for c in (conditions(config) if s in PER_CONDITION else [None])]
 
 
-@dataclass(frozen=True)
-class Cell:
-    """One unit of work; its key holds the seed too."""
-
-    dataset: str
-    embedding: str
-    model: str
-    seed: int
-    role: str
-
-    @property
-    def key(self) -> str:
-        """Natural key."""
-        return "__".join((self.dataset, self.embedding, self.model, str(self.seed)))
-
-
-def cells(config: dict, embeddings: dict[str, list[str]], exclude: tuple[str, ...] = ()) -> list[Cell]:
-    """Every eligible cell: bpr once without features, acf on component artifacts, the others on pooled ones; the first seed searches, the rest replay."""
-    out: dict[str, Cell] = {}
-    models = [m for m in RECOMMENDERS if m in config["recommenders_enabled"] and m not in exclude]
-    for condition in conditions(config):
-        for dataset in config["datasets"]:
-            own = [e for e in sorted(embeddings.get(dataset, [])) if (FINETUNED in e) == (condition == "finetuned")]
-            for model in models:
-                sources = (["none"] if condition == "frozen" else []) if model == "bpr" else [e for e in own if e.endswith(COMPONENT) == (model == "acf")]
-                for e in sources:
-                    for i, seed in enumerate(config["seeds"]):
-                        c = Cell(dataset, e, model, seed, "replay" if i else "search")
-                        out.setdefault(c.key, c)
-    return list(out.values())
-
-
-class Manifest:
-    """State of every cell (pending, running, done, failed), saved after each change."""
-
-    def __init__(self, path: str) -> None:
-        self.path = path
-        self.cells: dict[str, dict] = json.loads(Path(path).read_text()) if Path(path).exists() else {}
-
-    def sync(self, work: list[Cell]) -> None:
-        """Add new cells; a cell left running by a dead run is pending again."""
-        for c in work:
-            e = self.cells.setdefault(c.key, {"state": "pending", "role": c.role, "dataset": c.dataset, "embedding": c.embedding, "model": c.model, "seed": c.seed, "error": None, "duration_seconds": None})
-            if e["state"] == "running":
-                e["state"] = "pending"
-        self.save()
-
-    def set(self, key: str, state: str, **more) -> None:
-        """Change a cell."""
-        self.cells[key] |= {"state": state, **more}
-        self.save()
-
-    def save(self) -> None:
-        """Write the document."""
-        write_json(self.path, self.cells)
-
-    def summary(self) -> dict[str, int]:
-        """Cells per state."""
-        out = dict.fromkeys(("pending", "running", "done", "failed"), 0)
-        for e in self.cells.values():
-            out[e["state"]] += 1
-        return out
-
-    def projection(self) -> dict:
-        """Estimated hours left, and roles without a finished cell, for which nothing is guessed."""
-        left, unknown = 0.0, []
-        for role in sorted({e["role"] for e in self.cells.values() if e["state"] != "done"}):
-            done = [e["duration_seconds"] for e in self.cells.values() if e["role"] == role and e["state"] == "done" and e["duration_seconds"] is not None]
-            n = sum(e["role"] == role and e["state"] != "done" for e in self.cells.values())
-            if done:
-                left += n * sum(done) / len(done)
-            else:
-                unknown.append(role)
-        return {"summary": self.summary(), "estimated_remaining_hours": round(left / 3600, 2), "roles_without_estimate": unknown}
-
-
-def run_cells(work: list[Cell], manifest: Manifest, execute: Callable[[Cell], None], complete: Callable[[Cell], bool] = lambda c: True, retry_failed: bool = False) -> dict[str, int]:
-    """Run what isn't done; a failure is recorded and doesn't stop the rest. A done cell whose result is gone runs again."""
-    manifest.sync(work)
-    for c in work:
-        state = manifest.cells[c.key]["state"]
-        if (state == "done" and complete(c)) or (state == "failed" and not retry_failed):
-            continue
-        manifest.set(c.key, "running", error=None)
-        began = time.time()
+def cell_table(spark: SparkSession, config: dict, catalogue: DataFrame) -> DataFrame:
+    """Every eligible unit of work: dataset, embedding_name, model, seed, condition, role, priority, cell_key.
+
+    catalogue (dataset, embedding_name) lists the feature tables. What a recommender takes decides which of them it meets:
+    those that take none are one frozen cell per data set. The first seed searches, the others replay its result.
+    """
+    seeds = spark.createDataFrame([(int(s), "replay" if i else "search") for i, s in enumerate(config["seeds"])], "seed long, role string")
+    models = spark.createDataFrame([(m, MODELS[m].takes, MODELS[m].priority) for m in config["recommenders_enabled"]], "model string, takes string, priority int")
+    wanted = spark.createDataFrame([(d,) for d in config["datasets"]], "dataset string")
+    e = F.col("embedding_name")
+    found = catalogue.select("dataset", "embedding_name").distinct().withColumns({"takes": F.when(names.is_component(e), "component").otherwise("pooled"), "condition": names.condition_of(e)})
+    found = found.unionByName(wanted.select("dataset", F.lit("none").alias("embedding_name"), F.lit("none").alias("takes"), F.lit("frozen").alias("condition")))
+    cells = found.where(F.col("condition").isin(conditions(config))).join(wanted, "dataset", "left_semi").join(models, "takes").join(seeds)  # a small grid of names
+    key = names.cell_key(F.col("dataset"), e, F.col("model"), F.col("seed").cast("string"))
+    return cells.select("dataset", "embedding_name", "model", "seed", "condition", "role", "priority", key.alias("cell_key"))
+
+
+EVENT = "cell_key string, state string, at long, seconds double, error string"
+
+
+def record(spark: SparkSession, path: str, cell_key: str, state: str, seconds: float | None = None, error: str | None = None) -> None:
+    """Append one change of state to the log at path."""
+    spark.createDataFrame([(cell_key, state, time.time_ns(), seconds, error and error[:500])], EVENT).coalesce(1).write.mode("append").parquet(path)
+
+
+def cell_states(cells: DataFrame, path: str) -> DataFrame:
+    """cells with the last state of the log and its seconds and error; pending where there is none, and where a run died while it ran."""
+    spark = cells.sparkSession
+    log = spark.read.schema(EVENT).parquet(path) if exists(spark, path) else spark.createDataFrame([], EVENT)
+    last = reports.latest_state(log, "cell_key", "at", ["seconds", "error"])
+    state = F.when(F.coalesce("state", F.lit("running")) == "running", "pending").otherwise(F.col("state"))
+    return cells.join(last, "cell_key", "left").withColumn("state", state).withColumnRenamed("seconds", "duration_seconds")
+
+
+def run_cells(cells: DataFrame, path: str, execute: Callable[[Row], None], lost: DataFrame | None = None, retry_failed: bool = False) -> DataFrame:
+    """Run the open cells in order of priority and return all states; the log at path is all that is kept.
+
+    Open are pending cells, failed ones with retry_failed, and done ones of lost (cell_key: their results are gone). A
+    failure is recorded and does not stop the rest. Cells are rows of names, so the open ones are collected.
+    """
+    spark, open_states = cells.sparkSession, ["pending", "failed"] if retry_failed else ["pending"]
+    states = cell_states(cells, path)
+    todo = states.where(F.col("state").isin(open_states))
+    if lost is not None:
+        todo = todo.unionByName(states.where("state = 'done'").join(lost.select("cell_key").distinct(), "cell_key", "left_semi"))
+    for cell in todo.orderBy(F.col("role") == "replay", "priority", "cell_key").collect():
+        record(spark, path, cell["cell_key"], "running")
+        began = time.monotonic()
         try:
-            execute(c)
-            manifest.set(c.key, "done", duration_seconds=round(time.time() - began, 3))
+            execute(cell)
         except Exception as e:
-            manifest.set(c.key, "failed", error=str(e)[:500], duration_seconds=round(time.time() - began, 3))
-    return manifest.summary()
+            record(spark, path, cell["cell_key"], "failed", time.monotonic() - began, str(e))
+        else:
+            record(spark, path, cell["cell_key"], "done", time.monotonic() - began)
+    return cell_states(cells, path)
 
 
 def run_plan(plan: list[tuple[str, str | None]], steps: dict[str, Callable[[str | None], None]], path: str, config: dict) -> RunManifest:

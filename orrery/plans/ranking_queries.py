@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.functions import metrics
+from orrery.functions import metrics, vectors
 from orrery.operators import ids, ranking, splits
 from orrery.sources.tables import table
+from orrery.staging import stage
 
 
 def _catalogue(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,27 +75,26 @@ def metrics_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.mean_metrics(metrics_general_multi_gt(spark, sf), []).select("metric", "k", "n_users", F.round("mean", 5).alias("mean"))
 
 
-_FEATURES = "resnet50_D64"
-
-
-def _vectors(spark: SparkSession, sf: str) -> DataFrame:
-    from orrery.functions.vectors import finite
-
-    v = table(spark, sf, "visual_embeddings").where(F.col("embedding_name") == _FEATURES).where((F.size("features") == 64) & finite(F.col("features")))
-    return v.groupBy("item_idx").agg(F.min("features").alias("features"))
+def named_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """embedding_name, item_idx, vector, dim: every name's vectors of its dimension that are finite, the least of an item's."""
+    dim = F.regexp_extract("embedding_name", r"_(?:D|pcaD)([0-9]+)$", 1)
+    v = table(spark, sf, "visual_embeddings").where("embedding_name is not null and item_idx is not null").withColumn("dim", F.when(dim != "", dim.cast("int")))
+    v = v.where((F.size("features") == F.col("dim")) & vectors.finite(F.col("features")))
+    return v.groupBy("embedding_name", "item_idx", "dim").agg(F.transform(F.min("features"), lambda x: x.cast("double")).alias("vector"))
 
 
 def _content(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    vectors = _vectors(spark, sf)
-    mine = splits.seen_items(table(spark, sf, "train")).join(vectors, "item_idx").select("user_idx", F.posexplode("features").alias("i", "x"))
-    means = mine.groupBy("user_idx", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("user_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("vector"))
-    return means, vectors.select("item_idx", F.transform("features", lambda x: x.cast("double")).alias("vector"))
+    """Mean vector of every user's train items, and the items' vectors, per embedding name."""
+    items = named_vectors(spark, sf).drop("dim")
+    mine = splits.seen_items(table(spark, sf, "train")).join(items, "item_idx").select("embedding_name", "user_idx", F.posexplode("vector").alias("i", "x"))
+    means = mine.groupBy("embedding_name", "user_idx", "i").agg(F.avg("x").alias("x")).groupBy("embedding_name", "user_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("vector"))
+    return means, items
 
 
 def content_full_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank of each test item with a vector by the mean vector of the user's train items."""
+    """Rank of each test item with a vector by the mean vector of the user's train items, for every embedding name."""
     users, items = _content(spark, sf)
-    return ranking.dot_ranking(users, items, ranking.tie_keys(_catalogue(spark, sf)), _seen(spark, sf), _held(spark, sf, "test"), digits=7)
+    return ranking.dot_ranking(users, stage(items, "content-items"), ranking.tie_keys(_catalogue(spark, sf)), _seen(spark, sf), _held(spark, sf, "test"), digits=7, by="embedding_name")
 
 
 def sampled_ranking(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,6 +103,17 @@ def sampled_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.sampled_ranking(scores, _seen(spark, sf), _held(spark, sf, "test"))
 
 
+def negative_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """The sampled unseen items of every test user."""
+    held = _held(spark, sf, "test")
+    return ranking.negative_pool(held, _seen(spark, sf).unionByName(held), _catalogue(spark, sf).count(), 100)
+
+
+def bpr_triples(spark: SparkSession, sf: str) -> DataFrame:
+    """One epoch of (user, positive, negative) over all train pairs."""
+    return ranking.user_negatives(table(spark, sf, "train"), _catalogue(spark, sf).count())
+
+
 def loo_split(spark: SparkSession, sf: str) -> DataFrame:
     """Leave-one-out split of interactions by time."""
     return splits.leave_one_out(table(spark, sf, "interactions"), "user_id", "item_id", "ts")
@@ -183,6 +194,21 @@ def train_item_set(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "train").select("item_idx").dropna().distinct()
 
 
+def category_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """Categories that the label file declares against those that known items use, and whether they are equally many."""
+    valid = table(spark, sf, "categories").where(F.col("category_label").rlike(r"\A[0-9]{1,4}\z"))
+    declared = valid.agg(F.countDistinct(F.col("category_label").cast("int")).alias("n_declared"))
+    used = sidecar_categories(spark, sf).agg(F.countDistinct("category_label").alias("n_used"))
+    return declared.join(used).withColumn("holds", F.col("n_declared") == F.col("n_used"))  # one row each
+
+
+def history_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors of the first 5 items of every train user's history, per embedding name, with their place."""
+    h = splits.truncated_history(table(spark, sf, "train"), "user_idx", "item_idx", 5)
+    v = splits.history_vectors(h, "user_idx", named_vectors(spark, sf), "item_idx")
+    return v.select("user_idx", "place", "item_idx", "embedding_name", F.round(F.element_at("vector", 1), 6).alias("first"), F.round(F.element_at("vector", -1), 6).alias("last"))
+
+
 def history_truncated(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 smallest item ids of every train user."""
     h = splits.truncated_history(table(spark, sf, "train"), "user_idx", "item_idx", 5)
@@ -202,9 +228,9 @@ def user_subsample(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        full_ranking_popularity, rank_by_correction, tie_stats, top20_lists, metrics_from_rank, metrics_general_multi_gt, metrics_aggregate, content_full_ranking, sampled_ranking,
+        full_ranking_popularity, rank_by_correction, tie_stats, top20_lists, metrics_from_rank, metrics_general_multi_gt, metrics_aggregate, content_full_ranking, sampled_ranking, negative_pool, bpr_triples,
         loo_split, seen_items, min_interactions, dense_item_ids, mapped_interactions, unmapped_ids, id_map_contiguous, index_out_of_range, sidecar_categories, item_category_bucket,
-        category_derive, taxonomy_label_fallback, train_item_set, history_truncated, stratified_split, user_subsample,
+        category_derive, taxonomy_label_fallback, train_item_set, history_truncated, history_vectors, category_contract, stratified_split, user_subsample,
     )
 }
 
@@ -268,6 +294,21 @@ last as (select item_id, arg_max(category_label, row_id)::int as label from cate
 labelled as (select item_id, dense_rank() over (order by label) - 1 as category_label from last)
 """
 
+_VECTORS = """,
+f as (select embedding_name, item_idx, list_transform(min(features), lambda x: x::double) as v from visual_embeddings where embedding_name is not null and item_idx is not null
+  and len(features) = try_cast(regexp_extract(embedding_name, '_(?:D|pcaD)([0-9]+)$', 1) as int) and len(list_filter(features, lambda x: x is null or not isfinite(x))) = 0 group by 1, 2)
+"""
+_POOL = """
+barred as (select * from seen union select user_idx, item_idx from held where split = 'test'),
+asked as (select distinct user_idx from test),
+free as (select u.user_idx, c.item_idx, row_number() over (partition by u.user_idx order by c.item_idx) - 1 as at, count(*) over (partition by u.user_idx) as n
+  from asked u cross join catalogue c anti join barred b on b.user_idx = u.user_idx and b.item_idx = c.item_idx),
+sizes as (select user_idx, any_value(n) as n, least(100, any_value(n)) as size from free group by 1),
+draws as (select user_idx, n, size, unnest(range(0, size)) as draw from sizes),
+places as (select user_idx, draw, floor(draw * n / size::double)::bigint as lo, floor((draw + 1) * n / size::double)::bigint as hi from draws),
+pool as (select p.user_idx, p.draw, f.item_idx from places p join free f on f.user_idx = p.user_idx and f.at = lo + ('0x' || md5('42:' || p.user_idx || ':' || p.draw)[1:15])::bigint % (hi - lo))
+"""
+
 SQL = {
     "full_ranking_popularity": _BASE + _ranked("test", "seen") + "select *, case when rank <= 10 then 1.0::double else 0::double end as recall_10, round(case when rank <= 10 then 1 / log2(rank + 1) else 0::double end, 6) as ndcg_10 from ranked",
     "rank_by_correction": _BASE + _VAL + _ranked("val", "train_set") + "select * from ranked",
@@ -283,16 +324,38 @@ long as (select 'hitrate' as metric, k, hit as value from v union all select 'pr
 select metric, k, count(*) as n_users, round(avg(value), 6) as mean from long group by 1, 2""",
     "metrics_general_multi_gt": _BASE + _LISTS + "select user_idx, metric, k, round(value, 6) as value from long",
     "metrics_aggregate": _BASE + _LISTS + "select metric, k, count(*) as n_users, round(avg(round(value, 6)), 5) as mean from long group by 1, 2",
-    "content_full_ranking": _BASE
-    + f"""
-f as (select item_idx, min(features) as v from visual_embeddings where embedding_name = '{_FEATURES}' and len(features) = 64 and len(list_filter(features, lambda x: x is null or not isfinite(x))) = 0 group by 1),
-fx as (select item_idx, list_transform(v, lambda x: x::double) as v from f join catalogue using (item_idx)),
-ux as (select user_idx, i, avg(x) as x from (select user_idx, generate_subscripts(v, 1) as i, unnest(v) as x from train_set join fx using (item_idx)) group by 1, 2),
-u as (select user_idx, list(x order by i) as w from ux group by 1),
-sc as (select user_idx, item_idx, round(list_dot_product(w, v), 7) as s, md5('42:' || item_idx) as k from u cross join fx
+    "content_full_ranking": _BASE.rstrip().rstrip(",")
+    + _VECTORS
+    + """,
+fx as (select f.* from f join catalogue using (item_idx)),
+ux as (select embedding_name, user_idx, i, avg(x) as x from (select embedding_name, user_idx, generate_subscripts(v, 1) as i, unnest(v) as x from train_set join fx using (item_idx)) group by 1, 2, 3),
+u as (select embedding_name, user_idx, list(x order by i) as w from ux group by 1, 2),
+sc as (select embedding_name, user_idx, item_idx, round(list_dot_product(w, v), 7) as s, md5('42:' || item_idx) as k from u join fx using (embedding_name)
        where user_idx in (select user_idx from test) and not exists (select 1 from seen where seen.user_idx = u.user_idx and seen.item_idx = fx.item_idx))
-select h.user_idx, h.item_idx, 1 + count(*) filter (c.s > hs.s or (c.s = hs.s and c.k < hs.k)) as rank, count(*) as n_candidates, count(*) filter (c.s = hs.s) as tie_block_size
-from test h join sc hs on hs.user_idx = h.user_idx and hs.item_idx = h.item_idx join sc c on c.user_idx = h.user_idx group by 1, 2""",
+select c.embedding_name, h.user_idx, h.item_idx, 1 + count(*) filter (c.s > hs.s or (c.s = hs.s and c.k < hs.k)) as rank, count(*) as n_candidates, count(*) filter (c.s = hs.s) as tie_block_size
+from test h join sc hs on hs.user_idx = h.user_idx and hs.item_idx = h.item_idx join sc c on c.user_idx = h.user_idx and c.embedding_name = hs.embedding_name group by 1, 2, 3""",
+    "sampled_ranking": _BASE
+    + _POOL
+    + """,
+sp as (select p.user_idx, o.score as s, md5('42:' || p.item_idx) as k from pool p join item_order o using (item_idx)),
+sh as (select t.user_idx, t.item_idx, o.score, md5('42:' || t.item_idx) as key from test t join item_order o using (item_idx))
+select sh.user_idx, sh.item_idx, 1 + count(*) filter (s > score or (s = score and k < key)) as rank, 1 + count(s) as n_candidates, 1 + count(*) filter (s = score) as tie_block_size
+from sh left join sp using (user_idx) group by 1, 2""",
+    "negative_pool": _BASE + _POOL.replace("from test)", "from held where split = 'test')") + " select user_idx, draw, item_idx from pool",
+    "bpr_triples": _BASE.rstrip().rstrip(",")
+    + """,
+inside as (select * from train_set where item_idx >= 0 and item_idx < (select count(*) from catalogue)),
+free as (select u.user_idx, c.item_idx, row_number() over (partition by u.user_idx order by c.item_idx) - 1 as at, count(*) over (partition by u.user_idx) as n
+  from (select distinct user_idx from inside) u cross join catalogue c anti join inside t on t.user_idx = u.user_idx and t.item_idx = c.item_idx)
+select t.user_idx, t.item_idx, f.item_idx as negative_idx from inside t join free f on f.user_idx = t.user_idx
+  and f.at = ('0x' || md5('42:1:' || t.user_idx || ':' || t.item_idx)[1:15])::bigint % f.n""",
+    "category_contract": _CATEGORIES
+    + """, c as (select (select count(distinct category_label::int) from categories where regexp_full_match(category_label, '[0-9]{1,4}')) as n_declared, (select count(distinct category_label) from labelled) as n_used)
+select *, n_declared = n_used as holds from c""",
+    "history_vectors": "with h as (select user_idx, list_sort(list(distinct item_idx))[1:5] as history from train where user_idx is not null and item_idx is not null group by 1), p as (select user_idx, generate_subscripts(history, 1) - 1 as place, unnest(history) as item_idx from h)"
+    + _VECTORS
+    + " select user_idx, place::int as place, item_idx, embedding_name, round(v[1], 6) as first, round(v[-1], 6) as last from p join f using (item_idx)",
+    "user_subsample": "select user_idx from (select distinct user_idx from heldout where split = 'val' and user_idx is not null and item_idx is not null) order by md5('42:' || user_idx), user_idx limit 2000",
     "loo_split": """
 with once as (select user_id, item_id, min(ts) as ts from interactions where user_id is not null and item_id is not null group by 1, 2),
 p as (select *, count(*) over (partition by user_id) as n, row_number() over (partition by user_id order by ts desc nulls last, md5('42:' || user_id || ':' || item_id)) as place from once)

@@ -26,9 +26,20 @@ def _cells(spark: SparkSession, sf: str) -> DataFrame:
     return _rows(spark, sf).select(F.col("recommender").alias("model"), "embedding_name").distinct()
 
 
+PLANNED = ("mean", "sum", "max_pool")
+
+
+def _planned(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of the evaluation and those that fusing its plain tables would add: every recommender that is there × both conditions."""
+    cells = _cells(spark, sf)
+    dims = cells.where(names.embedding_kind(F.col("embedding_name")) == "backbone").select("model", names.parse_embedding_name(F.col("embedding_name"))["embedding_dim"].cast("string").alias("d")).dropna().distinct()
+    marks = F.explode(F.array(*(F.concat(F.lit(f"hybrid_{op}{mark}_D"), "d") for op in PLANNED for mark in ("", "_finetuned"))))
+    return cells.unionByName(dims.select("model", marks.alias("embedding_name"))).distinct()
+
+
 def _family(name: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return st.families(_cells(spark, sf), (name,))
+        return st.families(_planned(spark, sf), (name,))
 
     query.__doc__ = f"Pairs of configurations of family {name}."
     query.__name__ = {"backbone_within_model": "family_backbone", "model_within_backbone": "family_model", "fusion_within_model": "family_fusion", "frozen_vs_finetuned": "family_frozen_finetuned", "all_pairs": "family_all_pairs"}[name]
@@ -68,21 +79,22 @@ def friedman_stat(spark: SparkSession, sf: str) -> DataFrame:
 def friedman_p(spark: SparkSession, sf: str) -> DataFrame:
     """Friedman tests with their p value."""
     v = _values(spark, sf).withColumn("model", names.split_config(F.col("config"))["recommender"])
-    return reports.friedman_long(st.friedman(v, [*BY, "model"]))
+    f = reports.friedman_long(st.friedman(v, [*BY, "model"]))
+    return f.select(*BY, "model", "n_users", "n_configs", F.round("statistic", 5).alias("statistic"), F.round("p_value", 8).alias("p_value"), "test_type")
 
 
-def _stand_in_p(spark: SparkSession, sf: str) -> DataFrame:
-    """Tests with a p value both engines can compute: exp(-z²/2), the Chernoff bound of the tail."""
-    t = _tests(spark, sf).withColumn("p_value", F.round(F.exp(-F.coalesce("z", F.lit(0.0)) * F.coalesce("z", F.lit(0.0)) / 2), 6))
+def _p(spark: SparkSession, sf: str) -> DataFrame:
+    """Tests of every pair of the families with their two-sided p, to 12 digits."""
+    t = _tests(spark, sf).withColumn("p_value", F.round(st.normal_two_sided("z"), 12))
     return t.join(st.families(_cells(spark, sf)), ["config_a", "config_b"])
 
 
 def _correction(method: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        c = st.corrected(_stand_in_p(spark, sf), [*BY, "family", "group"], ["config_a", "config_b"], method)
-        return c.select(*PAIR, "family", F.col("group").alias("grp"), "p_value", F.round("p_corrected", 6).alias("p_corrected"), "significant")
+        c = st.corrected(_p(spark, sf), [*BY, "family", *st.GROUP], ["config_a", "config_b"], method)
+        return c.select(*PAIR, "family", *st.GROUP, F.round("p_value", 9).alias("p_value"), F.round("p_corrected", 9).alias("p_corrected"), "significant")
 
-    query.__doc__ = f"Correction {method} within each family instance, on Chernoff bounds as p values."
+    query.__doc__ = f"Correction {method} within each family instance."
     query.__name__ = {"holm": "holm", "bonferroni": "bonferroni", "none": "no_correction"}[method]
     return query
 
@@ -113,9 +125,31 @@ def user_set_mismatch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def paired_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Users with ndcg@10 of both vbpr configurations compared, side by side."""
-    v = _values(spark, sf).where("metric = 'ndcg' and k = 10").select("user_id", "config", "value")
-    return st.paired_matrix(v.groupBy("user_id", "config").agg(F.min("value").alias("value")), ["vbpr_clip_vitb32_D64", "vbpr_resnet50_D64"])
+    """Mean ndcg of every user under the two embeddings of the most rows, for users who have both."""
+    rows = _rows(spark, sf)
+    systems = st.most_frequent(rows, "embedding_name", 2)
+    v = rows.where((F.col("metric") == "ndcg") & F.col("metric_value").isNotNull() & ~F.isnan("metric_value")).groupBy("user_id", F.col("embedding_name").alias("config")).agg(F.round(F.avg("metric_value"), 9).alias("value"))
+    wide = st.paired_matrix(v, systems)
+    return wide.select("user_id", *(x for i, c in zip("ab", systems) for x in (F.lit(c).alias(f"system_{i}"), F.col(c).alias(f"value_{i}"))))
+
+
+def bootstrap_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals of every configuration in tidy form, with the parts of its name."""
+    return reports.summary_long(bootstrap_ci(spark, sf), "ndcg", 10)
+
+
+def consolidated(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and mean of every cell, and the Friedman tests, as one long table of kinds."""
+    v = _values(spark, sf).withColumn("model", names.split_config(F.col("config"))["recommender"])
+    t = reports.consolidated({"evaluation": table(spark, sf, "evaluation_long"), "friedman": st.friedman(v, [*BY, "model"])}, CELL)
+    cells = t["evaluation"].select(F.lit("evaluation").alias("kind"), "dataset", "recommender", "embedding_name", "metric", "k", "n_users", F.round("mean", 9).alias("value"))
+    tests = t["tests"].select(F.col("test_type").alias("kind"), "dataset", F.col("model").alias("recommender"), F.lit(None).cast("string").alias("embedding_name"), "metric", "k", "n_users", F.round("statistic", 5).alias("value"))
+    return cells.unionByName(tests)
+
+
+def report_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The section of a report with the best recommender cells."""
+    return reports.report_sections(cell_mean(spark, sf))["Best per recommender"]
 
 
 CELL = ["dataset", "recommender", "embedding_name", "metric", "k"]
@@ -183,10 +217,19 @@ def name_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _state(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells of the evaluation as a battery's states: done with a duration, failed, or pending, by their number of rows."""
-    c = _rows(spark, sf).groupBy("dataset", "recommender", "embedding_name").agg(F.count(F.lit(1)).alias("n"))
-    state = F.when(F.col("n") % 5 == 0, "pending").when(F.col("n") % 5 == 1, "failed").otherwise("done")
-    return c.withColumns({"state": state, "role": F.when(F.col("dataset") == "loomdale", "search").otherwise("replay"), "duration_seconds": F.when(F.col("n") % 5 > 1, F.col("n").cast("double"))})
+    """States of all cells of the evaluation, as its rows show them.
+
+    A cell is a data set, recommender and embedding that occur. It is done if it has a value for every (metric, k) that its
+    data set evaluates, failed if it has rows but no value, else pending. Its role is search for the first data set by
+    name, and the number of its rows stands for its duration.
+    """
+    rows = _rows(spark, sf).where("dataset is not null")
+    good = F.col("metric_value").isNotNull() & ~F.isnan("metric_value")
+    wanted = rows.groupBy("dataset").agg(F.countDistinct("metric", "k").alias("wanted"))
+    c = rows.groupBy("dataset", "recommender", "embedding_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(good, F.struct("metric", "k"))).alias("have"))
+    first = rows.agg(F.min("dataset").alias("first"))
+    state = F.when(F.col("have") == F.col("wanted"), "done").when(F.col("have") == 0, "failed").otherwise("pending")
+    return c.join(wanted, "dataset").join(F.broadcast(first)).select("dataset", "recommender", "embedding_name", state.alias("state"), F.when(F.col("dataset") == F.col("first"), "search").otherwise("replay").alias("role"), F.when(state == "done", F.col("n").cast("double")).alias("duration_seconds"))
 
 
 def cost_projection(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,30 +308,32 @@ def topk_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        *map(_family, st.FAMILIES), wilcoxon_stat, n_nonzero_pairs, friedman_stat, friedman_p, *map(_correction, ("holm", "bonferroni", "none")), cliffs_delta, cohens_d, bootstrap_ci, pairwise_tests,
+        *map(_family, st.FAMILIES), wilcoxon_stat, n_nonzero_pairs, friedman_stat, friedman_p, *map(_correction, ("holm", "bonferroni", "none")), cliffs_delta, cohens_d, bootstrap_ci, bootstrap_long, pairwise_tests, consolidated, report_best,
         user_set_mismatch, paired_matrix, cell_mean, cross_seed_stats, best_per_recommender, frozen_finetuned_delta, top_n_configs, evaluation_long, parse_embedding_name, parse_config, name_keys,
         cost_projection, pending_jobs, state_counts, cell_enumeration, hp_grid, confusion_matrix, class_prf, class_means, topk_accuracy,
     )
 }
 
-_CELLS = """
-with cells as (
-  select distinct recommender as model, embedding_name as e, recommender || '_' || embedding_name as config,
-    case when embedding_name = 'none' then 'none' when embedding_name like 'hybrid\\_%' escape '\\' then 'fusion' else 'backbone' end as kind,
-    replace(regexp_replace(embedding_name, '_comp$', ''), '_finetuned', '') as base,
-    case when contains(embedding_name, '_finetuned') then 'finetuned' else 'frozen' end as cond
-  from evaluation_long where recommender is not null and embedding_name is not null and user_id is not null),
-f1 as (select 'backbone_within_model' as family, 'model=' || model || ',condition=' || cond as grp, config from cells where kind = 'backbone'),
-f2 as (select 'model_within_backbone' as family, 'backbone=' || base || ',condition=' || cond as grp, config from cells where kind = 'backbone'),
-f3 as (select 'fusion_within_model' as family, 'model=' || model || ',condition=' || cond as grp, config from cells where kind = 'fusion'),
-f4 as (select 'all_pairs' as family, 'all' as grp, config from cells),
-ff as (select 'frozen_vs_finetuned' as family, 'model=' || model || ',backbone=' || base as grp, max(config) filter (cond = 'frozen') as config_a, max(config) filter (cond = 'finetuned') as config_b
-       from cells where kind <> 'none' group by model, base having count(distinct cond) = 2),
-g as (select * from f1 union all select * from f2 union all select * from f3 union all select * from f4),
-every as (select a.family, a.grp, a.config as config_a, b.config as config_b from g a join g b on a.family = b.family and a.grp = b.grp and a.config < b.config
-          union all select family, grp, config_a, config_b from ff),
+_FAMILIES = """
+kinds as (
+  select *, model || '_' || e as config,
+    case when e = 'none' then 'none' when e like 'hybrid\\_%' escape '\\' then 'fusion' else 'backbone' end as kind,
+    replace(regexp_replace(e, '_comp$', ''), '_finetuned', '') as base, case when contains(e, '_finetuned') then 'finetuned' else 'frozen' end as cond from cells),
+g as (select 'backbone_within_model' as family, model, null as base, cond as condition, config from kinds where kind = 'backbone'
+  union all select 'model_within_backbone', null, base, cond, config from kinds where kind = 'backbone'
+  union all select 'fusion_within_model', model, null, cond, config from kinds where kind = 'fusion'
+  union all select 'all_pairs', null, null, null, config from kinds),
+every as (select a.family, a.model, a.base, a.condition, a.config as config_a, b.config as config_b from g a join g b
+    on a.family = b.family and a.model is not distinct from b.model and a.base is not distinct from b.base and a.condition is not distinct from b.condition and a.config < b.config
+  union all select 'frozen_vs_finetuned', model, base, null, max(config) filter (cond = 'frozen'), max(config) filter (cond = 'finetuned') from kinds where kind <> 'none' group by model, base having count(distinct cond) = 2),
 pairs as (select * from every where family <> 'all_pairs')
 """
+_OWN = "select distinct recommender as model, embedding_name as e from evaluation_long where recommender is not null and embedding_name is not null and user_id is not null"
+_CELLS = f"with cells as ({_OWN}),{_FAMILIES}"
+_PLANNED = f"""
+with own as ({_OWN}),
+dims as (select distinct model, regexp_extract(e, '_D([0-9]+)$', 1) as d from own where e <> 'none' and e not like 'hybrid\\_%' escape '\\' and regexp_matches(e, '_D[0-9]+$')),
+cells as (select * from own union select model, 'hybrid_' || op || mark || '_D' || d from dims cross join (select unnest(['mean', 'sum', 'max_pool']) as op) cross join (select unnest(['', '_finetuned']) as mark)),{_FAMILIES}"""
 _TESTS = (
     _CELLS
     + """,
@@ -306,14 +351,16 @@ w as (select *, n_pairs::double as n, (n_pairs - n_nonzero)::double as z0 from s
 tests as (select *, case when n_nonzero > 0 then abs(statistic - (n * (n + 1) / 4 - z0 * (z0 + 1) / 4)) / sqrt((n * (n + 1) * (2 * n + 1) - z0 * (z0 + 1) * (2 * z0 + 1) - ties / 2) / 24) end as z from w)
 """
 )
+# two-sided normal p and chi-squared survival by the series of the incomplete gamma function, exact to about 1e-13
+_ERFC = "case when z is null then 1 when z > 8.5::double then 0 else 1 - list_sum(list_transform(range(0, 160), lambda i: exp(-z * z / 2 + (2 * i + 1) * ln(greatest(z, 1e-300::double) / sqrt(2)) - lgamma(i + 1.5::double)))) end"
 _CORRECTED = (
     _TESTS
-    + """,
-p as (select t.dataset, t.metric, t.k, config_a, config_b, family, grp, round(exp(-coalesce(z, 0) * coalesce(z, 0) / 2), 6) as p_value from tests t join pairs using (config_a, config_b)),
-m as (select *, count(*) over (partition by dataset, metric, k, family, grp) as m, row_number() over (partition by dataset, metric, k, family, grp order by p_value, config_a, config_b) as i from p)
+    + f""",
+p as (select t.dataset, t.metric, t.k, config_a, config_b, family, model, base, condition, round(greatest({_ERFC}, 0), 12)::double as p_value from tests t join pairs using (config_a, config_b)),
+m as (select *, count(*) over own as m, row_number() over (own order by p_value, config_a, config_b) as i from p window own as (partition by dataset, metric, k, family, model, base, condition))
 """
 )
-_OUT = "select dataset, metric, k, config_a, config_b, family, grp, p_value, round(pc, 6) as p_corrected, pc < 0.05::double as significant from "
+_OUT = "select dataset, metric, k, config_a, config_b, family, model, base, condition, round(p_value, 9) as p_value, round(pc, 9) as p_corrected, pc < 0.05::double as significant from "
 _MEANS = "with cm as (select dataset, recommender, embedding_name, metric, k, count(*) as n_users, round(avg(metric_value) filter (not isnan(metric_value)), 10) as mean from evaluation_long group by all)\n"
 _COND = "case when contains(embedding_name, '_finetuned') then 'finetuned' else 'frozen' end"
 _PARSE = r"""
@@ -324,8 +371,11 @@ _PARSE = r"""
 """
 _STEM = "regexp_replace(embedding_name, '_D[0-9]+$', '') as bare, regexp_replace(regexp_replace(embedding_name, '_D[0-9]+$', ''), '_finetuned$', '') as stem"
 _STATE = """
-with st as (select dataset, recommender, embedding_name, count(*) as n, case when count(*) % 5 = 0 then 'pending' when count(*) % 5 = 1 then 'failed' else 'done' end as state,
-  case when dataset = 'loomdale' then 'search' else 'replay' end as role from evaluation_long where recommender is not null and embedding_name is not null and user_id is not null group by all)
+with er as (select *, metric_value is not null and not isnan(metric_value) as good from evaluation_long where recommender is not null and embedding_name is not null and user_id is not null and dataset is not null),
+wn as (select dataset, count(distinct (metric, k)) filter (metric is not null and k is not null) as wanted from er group by 1),
+cc as (select dataset, recommender, embedding_name, count(*) as n, count(distinct (metric, k)) filter (good) as have from er group by all),
+st as (select dataset, recommender, embedding_name, n, case when have = wanted then 'done' when have = 0 then 'failed' else 'pending' end as state,
+  case when dataset = (select min(dataset) from er) then 'search' else 'replay' end as role from cc join wn using (dataset))
 """
 _SCORES = """
 with cx as (select label, i, avg(x) as x from (select label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings where label is not null) group by 1, 2),
@@ -338,21 +388,29 @@ rep as (select c as label, coalesce(tp / nullif(called, 0), 0)::double as precis
   (select c, (select sum(n) from cmx where actual = c)::bigint as support, (select sum(n) from cmx where predicted = c)::bigint as called, (select sum(n) from cmx where actual = c and predicted = c)::double as tp from classes))
 """
 
-SQL = {
-    **{n: _CELLS + f"select family, grp as \"group\", config_a, config_b from every where family = '{f}'" for n, f in (("family_backbone", "backbone_within_model"), ("family_model", "model_within_backbone"), ("family_fusion", "fusion_within_model"), ("family_frozen_finetuned", "frozen_vs_finetuned"), ("family_all_pairs", "all_pairs"))},
-    "wilcoxon_stat": _TESTS + "select dataset, metric, k, config_a, config_b, n_pairs, n_nonzero, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, statistic, round(z, 6) as z from tests",
-    "n_nonzero_pairs": _TESTS + "select dataset, metric, k, config_a, config_b, n_pairs, n_nonzero from tests",
-    "friedman_stat": _TESTS
+_FRIEDMAN = (
+    _TESTS
     + """,
 fv as (select *, regexp_extract(config, '^(deepstyle|avbpr|vbpr|vnpr|acf|bpr)', 1) as model from vals where dataset is not null),
 fk as (select dataset, metric, k, model, count(distinct config) as kk from fv group by all),
 ffull as (select fv.*, kk, count(*) over (partition by dataset, metric, k, model, user_id) as here from fv join fk using (dataset, metric, k, model)),
 fr as (select *, rank() over (partition by dataset, metric, k, model, user_id order by v) as rk, count(*) over (partition by dataset, metric, k, model, user_id, v) as t from ffull where here = kk),
 fs as (select dataset, metric, k, model, kk, config, sum(rk + (t - 1) / 2.0::double) as rsum, count(*) as n, sum(t * t - 1.0::double) as ties from fr group by all),
-fa as (select dataset, metric, k, model, kk, max(n) as n_users, sum(rsum * rsum) as rr, sum(ties) as ties from fs group by all)
-select dataset, metric, k, model, n_users, kk as n_configs, case when kk >= 3 and 1 - ties / (n_users::double * kk * (kk * kk - 1)) > 1e-12 then
-  round((12 / (n_users::double * kk * (kk + 1)) * rr - 3 * n_users::double * (kk + 1)) / (1 - ties / (n_users::double * kk * (kk * kk - 1))), 5) end as statistic from fa""",
-    "holm": _CORRECTED + _OUT + "(select *, max(least(p_value * (m - i + 1), 1)) over (partition by dataset, metric, k, family, grp order by i) as pc from m)",
+fa as (select dataset, metric, k, model, kk, max(n) as n_users, sum(rsum * rsum) as rr, sum(ties) as ties from fs group by all),
+ft as (select dataset, metric, k, model, n_users, kk as n_configs, case when kk >= 3 and 1 - ties / (n_users::double * kk * (kk * kk - 1)) > 1e-12 then
+  (12 / (n_users::double * kk * (kk + 1)) * rr - 3 * n_users::double * (kk + 1)) / (1 - ties / (n_users::double * kk * (kk * kk - 1))) end as q from fa)
+"""
+)
+
+SQL = {
+    **{n: _PLANNED + f"select family, model, base, condition, config_a, config_b from every where family = '{f}'" for n, f in (("family_backbone", "backbone_within_model"), ("family_model", "model_within_backbone"), ("family_fusion", "fusion_within_model"), ("family_frozen_finetuned", "frozen_vs_finetuned"), ("family_all_pairs", "all_pairs"))},
+    "wilcoxon_stat": _TESTS + "select dataset, metric, k, config_a, config_b, n_pairs, n_nonzero, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, statistic, round(z, 6) as z from tests",
+    "n_nonzero_pairs": _TESTS + "select dataset, metric, k, config_a, config_b, n_pairs, n_nonzero from tests",
+    "friedman_stat": _FRIEDMAN + "select dataset, metric, k, model, n_users, n_configs, round(q, 5) as statistic from ft",
+    "friedman_p": _FRIEDMAN
+    + """select dataset, metric, k, model, n_users, n_configs, round(q, 5) as statistic, 'friedman' as test_type, case when q is null then null when q > 600 then 0 else round(greatest(1 - list_sum(list_transform(range(0, 1000),
+  lambda i: exp(-q / 2 + ((n_configs - 1) / 2.0::double + i) * ln(greatest(q, 1e-300::double) / 2) - lgamma((n_configs - 1) / 2.0::double + i + 1)))), 0), 8) end as p_value from ft""",
+    "holm": _CORRECTED + _OUT + "(select *, max(least(p_value * (m - i + 1), 1)) over (partition by dataset, metric, k, family, model, base, condition order by i) as pc from m)",
     "bonferroni": _CORRECTED + _OUT + "(select *, least(p_value * m, 1) as pc from m)",
     "no_correction": _CORRECTED + _OUT + "(select *, p_value as pc from m)",
     "cliffs_delta": _TESTS
@@ -364,9 +422,16 @@ select dataset, metric, k, config_a, config_b, round(x, 6) as cliffs_delta, case
     "user_set_mismatch": _TESTS
     + """, va as (select dataset, metric, k, count(distinct user_id) as n_all from vals where dataset is not null group by all), vo as (select dataset, metric, k, config, count(distinct user_id) as n_own from vals group by all)
 select dataset, metric, k, config, n_all - n_own as n_missing from vo join va using (dataset, metric, k) where n_own < n_all""",
-    "paired_matrix": _TESTS
-    + """, x as (select user_id, config, min(v) as v from vals where metric = 'ndcg' and k = 10 group by all)
-select a.user_id, a.v as "vbpr_clip_vitb32_D64", b.v as "vbpr_resnet50_D64" from x a join x b using (user_id) where a.config = 'vbpr_clip_vitb32_D64' and b.config = 'vbpr_resnet50_D64'""",
+    "paired_matrix": """
+with er as (select * from evaluation_long where recommender is not null and embedding_name is not null and user_id is not null),
+top as (select embedding_name, row_number() over (order by count(*) desc, embedding_name) as i from er group by 1),
+v as (select user_id, embedding_name, round(avg(metric_value), 9) as v from er where metric = 'ndcg' and metric_value is not null and not isnan(metric_value) group by 1, 2)
+select a.user_id, x.embedding_name as system_a, a.v as value_a, y.embedding_name as system_b, b.v as value_b
+from top x join top y on x.i = 1 and y.i = 2 join v a on a.embedding_name = x.embedding_name join v b on b.embedding_name = y.embedding_name and b.user_id = a.user_id""",
+    "consolidated": _FRIEDMAN
+    + """, cm as (select dataset, recommender, embedding_name, metric, k, count(*) as n_users, round(avg(metric_value) filter (not isnan(metric_value)), 9) as value from evaluation_long group by all)
+select 'evaluation' as kind, dataset, recommender, embedding_name, metric, k, n_users, value from cm union all select 'friedman', dataset, model, null, metric, k, n_users, round(q, 5) from ft""",
+    "report_best": _MEANS + f"select dataset, {_COND} as cond, recommender, embedding_name, metric, k, n_users, mean from cm where metric = 'ndcg' and k = 10 and mean is not null qualify row_number() over (partition by dataset, {_COND}, recommender order by mean desc, embedding_name nulls first) = 1",
     "cell_mean": _MEANS + "select * from cm",
     "cross_seed_stats": _MEANS + "select recommender, embedding_name, metric, k, round(avg(mean), 12) as mean, round(stddev_samp(mean), 12) as std, round(median(mean), 12) as median, round(min(mean), 12) as min, round(max(mean), 12) as max, count(mean) as n from cm where mean is not null group by all",
     "best_per_recommender": _MEANS + f"select dataset, {_COND} as cond, recommender, metric, k, embedding_name, n_users, mean from cm where mean is not null qualify row_number() over (partition by dataset, {_COND}, recommender, metric, k order by mean desc, embedding_name nulls first) = 1",
@@ -377,10 +442,10 @@ select a.user_id, a.v as "vbpr_clip_vitb32_D64", b.v as "vbpr_resnet50_D64" from
 select embedding_name, {_PARSE.format(cond='condition')}, case when embedding_name = 'none' then 'none' when embedding_name like 'hybrid\\_%' escape '\\' then 'fusion' else 'backbone' end as kind,
   replace(regexp_replace(embedding_name, '_comp$', ''), '_finetuned', '') as base
 from (select embedding_name, {_STEM} from (select embedding_name from visual_embeddings union select embedding_name from evaluation_long) where embedding_name is not null)""",
-    "parse_config": _CELLS + "select distinct config, model as recommender, e as embedding_name from cells",
+    "parse_config": _CELLS + "select distinct config, model as recommender, e as embedding_name from kinds",
     "name_keys": _CELLS
     + """select 'all__' || model || '__' || e as cell_key, regexp_replace(model || '/' || e, '[^A-Za-z0-9._-]+', '_', 'g') as safe,
-xor(('0x' || sha256('all__' || model || '__' || e)[1:8])::bigint, 42::bigint) & 2147483647 as seed, unnest(case when e = 'none' then ['frozen', 'finetuned'] else [cond] end) as condition from cells""",
+('0x' || md5('42:all__' || model || '__' || e)[1:15])::bigint % 2147483648 as seed, unnest(case when e = 'none' then ['frozen', 'finetuned'] else [cond] end) as condition from kinds""",
     "cost_projection": _STATE + "select role, n_open, round(mean, 5) as mean_seconds, round(n_open * mean, 4) as estimate_seconds from (select role, count(*) as n_open from st where state <> 'done' group by 1) left join (select role, avg(n) as mean from st where state = 'done' group by 1) using (role)",
     "pending_jobs": _STATE + "select dataset, recommender, count(*) as n_open from st where state <> 'done' group by rollup (dataset, recommender) having count(*) > 0",
     "state_counts": _STATE + "select state, count(*) as n from st group by 1",

@@ -5,20 +5,25 @@ from __future__ import annotations
 import datetime
 import json
 import os
+import platform
 import re
+import subprocess
 import tempfile
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators import ids
+from orrery.staging import stage
 
 RECORD_KEYS = ["dataset", "recommender", "visual_config", "seed"]
 
 
 def save_splits(folder: str, users: DataFrame, items: DataFrame, split: DataFrame) -> None:
-    """Write maps and splits after the contract holds: contiguous maps, indexes in range, exact columns."""
+    """Write maps and splits after the contract holds: contiguous maps, indexes in range, exact columns; the split is staged first."""
+    split = stage(split, "split")
     for name, m in (("users", users), ("items", items)):
         row = ids.contiguity(m.withColumn("kind", F.lit(name)), "kind", "idx").first()
         if row is not None and not row["contiguous"]:
@@ -58,15 +63,32 @@ def save_features(folder: str, name: str, df: DataFrame, meta: dict) -> None:
     write_json(f"{folder}/features/{name}.json", {"name": name, **meta})
 
 
+def feature_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the feature tables of a folder, sorted."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/features")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+    return sorted(n.removeprefix("name=") for n in found if n.startswith("name="))
+
+
+def feature_meta(folder: str, name: str) -> dict:
+    """The metadata of a feature table; {} where there is none."""
+    path = Path(f"{folder}/features/{name}.json")
+    return json.loads(path.read_text()) if path.exists() else {}
+
+
 def read_features(spark: SparkSession, folder: str, names: list[str], n_items: int | None = None) -> DataFrame:
     """item_idx and one struct of all named sources, joined on the item; a source that lacks items is an error."""
     out = None
     for name in names:
         own = spark.read.parquet(f"{folder}/features/name={name}").select("item_idx", F.col("features").alias(name))
-        meta = json.loads(Path(f"{folder}/features/{name}.json").read_text()) if Path(f"{folder}/features/{name}.json").exists() else {}
+        meta = feature_meta(folder, name)
         if meta.get("name", name) != name:
             raise ValueError(f"the metadata of {name} belongs to {meta['name']}")
-        n = own.count()
+        n, dims = own.agg(F.count(F.lit(1)), F.collect_set(F.size(name))).first()  # a table has few lengths
+        if "native_dim" in meta and set(dims) - {meta["native_dim"]}:
+            raise ValueError(f"{name}: rows of dimension {sorted(dims)}, {meta['native_dim']} is declared")
         if not n or (n_items is not None and n != n_items):
             raise ValueError(f"{name} has {n} rows" + (f", {n_items} are needed" if n_items else ""))
         out = own if out is None else out.join(own, "item_idx")
@@ -109,14 +131,26 @@ def table_kind(name: str) -> str | None:
 
 
 def write_json(path: str, document: dict) -> None:
-    """Write a document so that a reader sees the old or the new one, never a part."""
+    """Write a document as JSON with sorted keys."""
+    write_text(path, json.dumps(document, indent=2, sort_keys=True))
+
+
+def write_text(path: str, text: str, attempts: int = 5) -> None:
+    """Write a small file so that a reader sees the old or the new one, never a part; a replacement that is refused is tried again."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     fd, tmp = tempfile.mkstemp(dir=Path(path).parent, suffix=".tmp")
     with os.fdopen(fd, "w", encoding="utf-8") as f:
-        json.dump(document, f, indent=2, sort_keys=True)
+        f.write(text)
         f.flush()
         os.fsync(f.fileno())
-    os.replace(tmp, path)
+    for attempt in range(attempts):
+        try:
+            os.replace(tmp, path)
+            return
+        except PermissionError:  # another process holds the file open, on some systems
+            if attempt == attempts - 1:
+                raise
+            time.sleep(0.05 * 2**attempt)
 
 
 def natural(key: str) -> list:
@@ -146,11 +180,22 @@ def markdown(title: str, sections: dict[str, DataFrame], most: int = 1000) -> st
     return "\n".join(lines)
 
 
+def environment() -> dict:
+    """Versions, machine and commit of a run; the commit is None outside a repository."""
+    import pyspark
+
+    try:
+        commit = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10, cwd=Path(__file__).parent).stdout.strip() or None
+    except (OSError, subprocess.SubprocessError):
+        commit = None
+    return {"python": platform.python_version(), "spark": pyspark.__version__, "system": platform.platform(), "cpus": os.cpu_count(), "commit": commit}
+
+
 class RunManifest:
     """Document of one run: configuration, steps with their times, state."""
 
     def __init__(self, path: str, config: dict) -> None:
-        self.path, self.document = path, {"config": config, "started": self._now(), "state": "running", "steps": []}
+        self.path, self.document = path, {"config": config, "started": self._now(), "state": "running", "steps": [], "environment": environment()}
         write_json(path, self.document)
 
     @staticmethod

@@ -66,12 +66,16 @@ def test_configs(spark):
     assert got == [("vbpr", "clip_D64"), ("bpr", "none"), ("uniform_noise", "x"), ("unknown", "odd_x"), ("unknown", "bprx")]
 
 
-def test_seeds(spark):
-    hp = {"lr": 0.1, "k": 2}
-    assert names.job_seed(42, "d", "m", "e", hp) == names.job_seed(42, "d", "m", "e", dict(reversed(hp.items()))) != names.job_seed(42, "d", "m", "f", hp)
-    document = names.canonical({"dataset": "d", "model": "m", "embedding": "e", "hyperparams": hp})
-    assert spark.range(1).select(names.seed_of(F.lit(document), 42)).first()[0] == names.job_seed(42, "d", "m", "e", hp)
-    assert len(names.run_id("d", "e", "m", hp)) == 12
+def test_seeds_keys_and_provenance(spark):
+    import hashlib
+
+    got = spark.range(1).select(names.seed_of(F.lit("d__e__m"), 42), names.seed_of(F.lit("d__e__x"), 42), names.run_key(F.lit("d"), F.lit("e"))).first()
+    assert got[0] == int(hashlib.md5(b"42:d__e__m").hexdigest()[:15], 16) % 2**31 != got[1] and got[2] == hashlib.md5(b"d__e").hexdigest()
+    assert names.plain_key("d", "e", 1) == "d__e__1" and names.plain_name("a/b c") == "a_b_c"
+    df = names.tagged_union({1: spark.createDataFrame([(1,)], "a int"), 2: spark.createDataFrame([(2, "x")], "a int, b string")})
+    assert sorted(tuple(r) for r in df.select("a", "seed", "b").collect()) == [(1, 1, None), (2, 2, "x")]
+    with pytest.raises(ValueError):
+        names.provenance(df, seed=3)
 
 
 def test_dense_ids_and_categories(spark):

@@ -90,6 +90,57 @@ def test_sampled(spark, data):
     assert some == _got(ranking.sampled_ranking(scores, s.repartition(3), h, 5))
 
 
+def test_negative_pool(spark, data):
+    seen, held, _, _, s, h = data
+    for n in (1, 5, 100):
+        pool = {}
+        for r in ranking.negative_pool(h, s, 30, n).collect():
+            pool.setdefault(r["user_idx"], []).append(r["item_idx"])
+        assert pool.keys() == {u for u, _ in held}
+        for u, items in pool.items():
+            free = set(range(30)) - {i for v, i in seen if v == u}
+            assert len(items) == len(set(items)) == min(n, len(free)) and set(items) <= free
+    assert ranking.negative_pool(h.limit(0), s, 30, 5).count() == 0
+    full = spark.createDataFrame([(1, i) for i in range(30)], "user_idx long, item_idx long")
+    assert ranking.negative_pool(full, full, 30, 5).count() == 0
+
+
+def test_user_negatives_with_half_of_the_rows_on_one_user_and_item(spark):
+    rng = np.random.default_rng(4)
+    pairs = [(0, i) for i in range(400)] + [(u, 7) for u in range(1, 400)] + [(int(u), int(i)) for u, i in zip(rng.integers(1, 50, 300), rng.integers(0, 500, 300))]
+    df = spark.createDataFrame(pairs * 2 + [(None, 1), (1, None), (3, 900)], "user_idx long, item_idx long")
+    rows = [tuple(r) for r in ranking.user_negatives(df, 500).collect()]
+    assert sorted(r[:2] for r in rows) == sorted(set(pairs)) and not {(u, n) for u, _, n in rows} & set(pairs) and all(0 <= n < 500 for *_, n in rows)
+    assert sorted(rows) == sorted(tuple(r) for r in ranking.user_negatives(df.repartition(3), 500).collect())
+    assert {n for u, _, n in rows if u == 0} <= set(range(400, 500)) and len({n for u, _, n in rows if u == 0}) > 60
+    assert ranking.user_negatives(spark.createDataFrame([(0, i) for i in range(5)], "user_idx long, item_idx long"), 5).count() == 0
+
+
+def test_correction_with_half_of_the_rows_on_one_user_and_item(spark):
+    rng = np.random.default_rng(6)
+    seen = {(0, i) for i in range(300)} | {(u, 5) for u in range(1, 300)} | {(int(u), int(i)) for u, i in zip(rng.integers(1, 300, 200), rng.integers(0, 400, 200))}
+    held = {(u, int(i)) for u, i in zip(range(300), rng.integers(300, 400, 300))}
+    score = np.where(np.arange(400) < 20, np.arange(400), 0)
+    items = spark.createDataFrame([(i, float(v)) for i, v in enumerate(score)], "item_idx long, score double")
+    order = ranking.global_order(items, ranking.tie_keys(items))
+    pair = lambda rows: spark.createDataFrame(list(rows), "user_idx long, item_idx long")
+    assert _got(ranking.rank_by_correction(order, pair(seen), pair(held))) == _brute(seen, held, lambda u: score, _keys(spark, 400))
+
+
+def test_top_lists_of_both_rankings(spark, data):
+    seen, held, _, _, s, h = data
+    x, u = np.random.default_rng(2).integers(-2, 3, (30, 4)).astype(float), np.random.default_rng(3).integers(-2, 3, (14, 4)).astype(float)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_idx long, vector array<double>")
+    users = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "user_idx long, vector array<double>")
+    keys, own = ranking.tie_keys(items), _keys(spark, 30)
+    flat = lambda df: {(r["user_idx"], r["item_idx"]): tuple(r[c] if c != "top_items" else tuple(r[c]) for c in ("rank", "n_candidates", "tie_block_size", "top_items")) for r in df.collect()}
+    one = flat(ranking.dot_ranking(users, items, keys, s, h, top=6))
+    assert one == flat(ranking.dot_ranking(users, items, keys, s, h, top=6, block_bytes=900)) == flat(ranking.model_ranking(keys, s, h, (u, x), lambda state, who: state[0][who] @ state[1].T, top=6))
+    for (v, i), (*_, top) in one.items():
+        free = [j for j in range(30) if (v, j) not in seen]
+        assert list(top) == sorted(free, key=lambda j: (-(u[v] @ x[j]), own[j]))[:6]
+
+
 def test_nan_scores_rank_last(spark):
     items = spark.createDataFrame([(0, float("nan")), (1, 0.5), (2, -1.0)], "item_idx long, score double")
     order = {r["item_idx"]: r["place"] for r in ranking.global_order(items, ranking.tie_keys(items)).collect()}
@@ -130,5 +181,5 @@ def test_leave_one_out(spark):
 def test_subsample(spark):
     users = spark.createDataFrame([(i,) for i in [*range(0, 50, 2), 4, None]], "user_idx long")
     got = sorted(r[0] for r in splits.user_subsample(users, "user_idx", 7, 5).collect())
-    assert got == sorted(np.arange(0, 50, 2)[np.random.default_rng(5).choice(25, 7, replace=False)].tolist())
+    assert len(set(got)) == 7 and set(got) <= set(range(0, 50, 2)) and got == sorted(r[0] for r in splits.user_subsample(users.repartition(4), "user_idx", 7, 5).collect())
     assert splits.user_subsample(users, "user_idx", 100).count() == 25

@@ -79,11 +79,13 @@ def test_gate_starts_at_half():
 
 
 def test_triples():
-    train = np.array([(u, i) for u in range(5) for i in range(u, 8)] + [(5, i) for i in range(10)])
-    rows = rc.triples(train, 10, 7, 1)
-    assert sorted(map(tuple, rows[:, :2])) == sorted(map(tuple, train[train[:, 0] < 5]))
-    assert not {(u, n) for u, _, n in rows.tolist()} & set(map(tuple, train.tolist()))
-    assert (rows == rc.triples(train, 10, 7, 1)).all() and not (rows == rc.triples(train, 10, 7, 2)).all()
+    train = np.array([(u, i) for u in range(5) for i in range(u, 8)] * 2 + [(5, i) for i in range(10)])
+    draw = lambda seed: rc.triples(train, 10, np.random.default_rng(seed))
+    rows = draw(1)
+    assert sorted(map(tuple, rows[:, :2])) == sorted(set(map(tuple, train[train[:, 0] < 5])))
+    assert not {(u, n) for u, _, n in rows.tolist()} & set(map(tuple, train.tolist())) and rows[:, 2].max() < 10
+    assert (rows == draw(1)).all() and not (rows == draw(2)).all()
+    assert {n for s in range(40) for u, _, n in draw(s).tolist() if u == 4} == {0, 1, 2, 3, 8, 9}
 
 
 def _data():
@@ -99,7 +101,7 @@ def _data():
 def test_training_learns_and_is_reproducible():
     train, val = _data()
     c = rc.Context(40, 30)
-    hp = {"latent": 8, "lr": 0.05, "epochs": 20, "eval_every": 5, "batch": 64}
+    hp = {"latent": 8, "lr": 0.02, "epochs": 40, "eval_every": 5, "batch": 64}
     p, metric, epoch = rc.fit("bpr", c, train, val, hp)
     start = rc.validate("bpr", rc.init("bpr", c, hp, np.random.default_rng(42)), c, train, val, np.random.default_rng(42).permutation(30))
     assert metric > start + 0.1 and epoch > 0
@@ -107,21 +109,43 @@ def test_training_learns_and_is_reproducible():
     assert again[1:] == (metric, epoch) and all((again[0][n] == x).all() for n, x in p.items())
 
 
-def test_jobs_run_on_spark(spark):
+def test_jobs_keep_their_parameters(spark, tmp_path):
     train, val = _data()
-    jobs = spark.createDataFrame([("bpr", json.dumps({"latent": 4, "lr": lr, "epochs": 2, "eval_every": 1}), 42) for lr in (0.01, 0.1)], rc.JOB)
-    got = rc.train_jobs(jobs, rc.Context(40, 30), train, val)
+    c = rc.Context(40, 30)
+    hps = [json.dumps({"latent": 4, "lr": lr, "epochs": 2, "eval_every": 1}) for lr in (0.01, 0.1)]
+    jobs = spark.createDataFrame([("bpr", hp, 42) for hp in hps], rc.JOB)
+    rc.trained(jobs, c, train, val).write.parquet(str(tmp_path / "models"))
+    stored = spark.read.parquet(str(tmp_path / "models"))
+    got = rc.results_of(stored)
     assert got.count() == 2 and rc.best_jobs(got).count() == 1
+    want, metric, _ = rc.fit("bpr", c, train, val, json.loads(hps[1]), 42)
+    mine = rc.parameters_of(stored.where(stored.hyperparams == hps[1]))
+    assert mine.keys() == want.keys() and all((mine[k] == x).all() for k, x in want.items())
+    assert got.where(got.hyperparams == hps[1]).first()["metric"] == metric
+    with pytest.raises(ValueError):
+        rc.train_jobs(jobs, c, train, val, most_bytes=10)
+
+
+@pytest.mark.parametrize("model", ["bpr", "vbpr", "deepstyle", "avbpr"])
+def test_factors_give_the_scores(model):
+    c = _context(model)
+    p = rc.init(model, c, HP, np.random.default_rng(3))
+    u, x, b = rc.factors(model, p, c)
+    assert u @ x.T + b == pytest.approx(rc.all_scores(model, p, c, np.arange(N_U)))
     with pytest.raises(ValueError):
-        rc.train_jobs(jobs, rc.Context(40, 30), train, val, most_bytes=10)
+        rc.factors("vnpr", p, c)
+    with pytest.raises(ValueError, match="bpr, vbpr"):
+        rc.known("nonsense")
 
 
-def test_search():
+def test_search(spark, tmp_path):
     train, val = _data()
     space = {"lr": {"type": "float", "low": 0.001, "high": 0.1, "log": True}, "latent": {"type": "int", "low": 4, "high": 8, "step": 4}, "epochs": {"type": "categorical", "choices": [2]}, "eval_every": {"type": "categorical", "choices": [1]}}
-    first = rc.search("bpr", rc.Context(40, 30), train, val, space, 3)
-    more = rc.search("bpr", rc.Context(40, 30), train, val, space, 5, done=first)
-    assert more[:3] == first and len(more) == 5 and all(t["hyperparams"]["latent"] in (4, 8) for t in more)
+    run = lambda n: {r["trial"]: r for r in rc.search(spark, "bpr", rc.Context(40, 30), train, val, space, n, str(tmp_path / "trials"), wave=2).collect()}
+    first = run(3)
+    more = run(5)
+    assert {t: more[t] for t in first} == first and more.keys() == set(range(5)) and all(json.loads(t["hyperparams"])["latent"] in (4, 8) for t in more.values())
+    assert all(r["history"] and r["state"] == "COMPLETE" for r in more.values())
     stop = rc.median_pruner([{1: 0.5}] * 5)
     assert stop(1, 0.4) and not stop(1, 0.6) and not stop(2, 0.0)
     assert len(rc.grid({"a": [1, 2], "b": [3, 4]})) == 4

@@ -2,11 +2,15 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.__main__ import main
+from orrery.operators import recommenders as rc
+from orrery.operators import reports
 from orrery.plans import experiment as ex
+from orrery.plans import pipeline as pl
 from orrery.sources import artifacts, providers
 
 
@@ -78,40 +82,86 @@ def test_plugins(tmp_path):
     del providers.REGISTRY["mine"]
 
 
-def test_config_and_plan(tmp_path):
-    (tmp_path / "default.json").write_text('{"common": {"epochs": 5}, "datasets": ["d"]}')
+def test_config_and_plan(spark, tmp_path):
+    (tmp_path / "default.json").write_text('{"common": {"epochs": 5}, "datasets": ["d", "other"]}')
     (tmp_path / "a.json").write_text('{"common": {"epochs": 7}, "hp_budget": {"d": {"epochs": 9}}}')
     c = ex.load_config(str(tmp_path), seeds=[1, 2])
-    assert ex.budget(c, "d")["epochs"] == 9 and ex.budget(c, "other")["epochs"] == 7
+    assert {r["dataset"]: (r["epochs"], r["n_trials"]) for r in ex.budgets(spark, c).collect()} == {"d": (9, 30), "other": (7, 30)}
     for wrong in ({"common": {"nonsense": 1}}, {"recommenders_enabled": ["x"]}, {"condition": "x"}, {"vbpr": {"epochs": 3}}):
         with pytest.raises(ValueError):
             ex.load_config(str(tmp_path), **wrong)
     assert ex.step_plan(c, start="train", stop="evaluate") == [("train", "frozen"), ("train", "finetuned"), ("evaluate", "frozen"), ("evaluate", "finetuned")]
     with pytest.raises(ValueError):
         ex.step_plan(c, only=["x"])
-    cells = ex.cells(c, {"d": ["clip_D64", "clip_finetuned_D64", "clip_comp"]}, exclude=("avbpr",))
-    keys = [x.key for x in cells]
+    c["recommenders_enabled"].remove("avbpr")
+    catalogue = spark.createDataFrame([("d", e) for e in ("clip_D64", "clip_finetuned_D64", "clip_comp", "clip_D64")] + [("elsewhere", "x_D8")], "dataset string, embedding_name string")
+    cells = ex.cell_table(spark, c, catalogue).where("dataset = 'd'").collect()
+    keys = [r["cell_key"] for r in cells]
     assert "d__none__bpr__1" in keys and "d__clip_comp__acf__2" in keys and "d__clip_D64__acf__1" not in keys and not any("avbpr" in k for k in keys)
-    assert len(keys) == len(set(keys)) == 2 * (1 + 3 + 1 + 3) and {x.role for x in cells if x.seed == 2} == {"replay"}
+    assert len(keys) == len(set(keys)) == 2 * (1 + 3 + 1 + 3) and {r["role"] for r in cells if r["seed"] == 2} == {"replay"}
+    assert {r["condition"] for r in cells if "finetuned" in r["embedding_name"]} == {"finetuned"}
 
 
-def test_run_resumes_and_survives_failures(tmp_path):
-    cells = [ex.Cell("d", "e", m, 1, "search") for m in ("a", "b", "c")]
-    ran = []
+def test_run_resumes_and_survives_failures(spark, tmp_path):
+    cells = spark.createDataFrame([(k, "search", i) for i, k in enumerate("abc")], "cell_key string, role string, priority int")
+    ran, path = [], str(tmp_path / "log")
 
-    def run(c):
-        ran.append(c.model)
-        if c.model == "b":
+    def run(cell):
+        ran.append(cell["cell_key"])
+        if cell["cell_key"] == "b":
             raise RuntimeError("broken")
 
-    path = str(tmp_path / "m.json")
-    assert ex.run_cells(cells, ex.Manifest(path), run) == {"pending": 0, "running": 0, "done": 2, "failed": 1}
-    again = ex.Manifest(path)
-    assert "broken" in again.cells["d__e__b__1"]["error"]
-    ex.run_cells(cells, again, run, complete=lambda c: c.model != "c")
+    state = lambda df: {r["cell_key"]: r["state"] for r in df.collect()}
+    assert state(ex.cell_states(cells, path)) == dict.fromkeys("abc", "pending")
+    assert state(ex.run_cells(cells, path, run)) == {"a": "done", "b": "failed", "c": "done"}
+    assert "broken" in ex.cell_states(cells, path).where("state = 'failed'").first()["error"]
+    ex.run_cells(cells, path, run, lost=cells.where("cell_key = 'c'"))
     assert ran == ["a", "b", "c", "c"]
-    ex.run_cells(cells, again, lambda c: ran.append("retry"), retry_failed=True)
-    assert ran[-1] == "retry" and again.projection()["roles_without_estimate"] == []
+    ex.record(spark, path, "a", "running")  # a run that died
+    assert state(ex.cell_states(cells, path))["a"] == "pending"
+    ex.run_cells(cells, path, lambda cell: ran.append("again " + cell["cell_key"]), retry_failed=True)
+    assert ran[4:] == ["again a", "again b"]
+    cost = reports.remaining_cost(ex.cell_states(cells.unionByName(spark.createDataFrame([("z", "replay", 9)], cells.schema)), path)).collect()
+    assert [(r["role"], r["n_open"], r["mean_seconds"]) for r in cost] == [("replay", 1, None)]
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    import duckdb
+
+    src = providers.SyntheticSource(24, 30, per_user=6)
+    rows = lambda seed, d: spark.createDataFrame([(i, [float(x) for x in np.random.default_rng((seed, i)).standard_normal(d)]) for i in range(30)], "item_idx long, features array<double>")
+    # items that nobody took have no index, so that the tables hold more rows than the catalogue may need
+    config = ex.load_config(None, datasets=["synth"], recommenders_enabled=["bpr", "vbpr", "vnpr"], condition="frozen", seeds=[1, 2], common={"epochs": 2, "eval_every": 1, "batch": 64}, statistics={"draws": 50})
+    config["fusions"] = ["mean"]
+    features = {"synth": {"a_D4": rows(1, 4), "b_D4": rows(2, 4)}}
+    config["recommenders_enabled"].remove("vbpr")
+    make = lambda: pl.Pipeline(spark, str(tmp_path), config, {"synth": src}, features, {"latent": [4], "lr": [0.01, 0.05], "visual": [3]})
+    p = make()
+    run = p.run()
+    assert run.document["state"] == "done" and [s["name"] for s in run.document["steps"]] == ["preprocess", "fuse", "train", "evaluate", "statistical", "export_best"]
+    assert p.catalogue().count() == 3 and p.fusion_tasks("frozen") == []
+    status = p.status().groupBy("step", "state").count().collect()
+    assert {(r["step"], r["state"]): r["count"] for r in status} == {("train", "done"): 8, ("evaluate", "done"): 8}
+    log = spark.read.parquet(f"{tmp_path}/log/train").count()
+    records = p.records()
+    assert records.count() == 8 * 24 and records.where(F.size("top_items") == 20).count() == 8 * 24
+    assert make().run().document["state"] == "done"  # the second run trains and ranks nothing
+    assert spark.read.parquet(f"{tmp_path}/log/train").count() == log and p.records().count() == 8 * 24
+    for kind in ("evaluation", "tests", "bootstrap", "seeds"):
+        assert spark.read.parquet(f"{tmp_path}/tests/{kind}.parquet").count() > 0
+    assert "Best 10 by ndcg@10" in (tmp_path / "report.md").read_text() and json.loads((tmp_path / "best.json").read_text())["synth"]["vnpr"]["a_D4"]["hyperparams"]["epochs"] == 2
+    # the ranks of the trained model against SQL over the written factors
+    best = rc.best_jobs(rc.results_of(spark.read.parquet(f"{tmp_path}/models/cell=synth__none__bpr__1"))).first()
+    sql = f"""
+    with m as (select * from '{tmp_path}/models/cell=synth__none__bpr__1/*.parquet' where hyperparams = '{best["hyperparams"]}'),
+    s as (select * from read_parquet('{tmp_path}/splits/synth/splits.parquet/*/*.parquet', hive_partitioning = true)),
+    x as (select u.idx as user_idx, i.idx as item_idx, round(list_dot_product(u.vector, i.vector) + b.vector[1], 9) as s, md5('1:' || i.idx) as k
+      from m u join m i on u.kind = 'user' and i.kind = 'item' join m b on b.kind = 'bias' and b.idx = i.idx),
+    c as (select x.* from x anti join (select * from s where split <> 'test') t on t.user_idx = x.user_idx and t.item_idx = x.item_idx)
+    select t.user_idx, t.item_idx, 1 + count(*) filter (c.s > h.s or (c.s = h.s and c.k < h.k)), count(*), count(*) filter (c.s = h.s)
+    from s t join c h on t.split = 'test' and h.user_idx = t.user_idx and h.item_idx = t.item_idx join c on c.user_idx = t.user_idx group by 1, 2"""
+    own = records.where("recommender = 'bpr' and seed = 1").select("user_idx", "item_idx", "rank", "n_candidates", "tie_block_size").collect()
+    assert sorted(map(tuple, own)) == sorted(duckdb.sql(sql).fetchall())
 
 
 def test_run_manifest(tmp_path):

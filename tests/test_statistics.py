@@ -88,7 +88,8 @@ def test_families(spark):
     rows = [tuple(r) for r in st.families(cells, st.FAMILIES).collect()]
     count = lambda f: sum(r[0] == f for r in rows)
     assert (count("backbone_within_model"), count("model_within_backbone"), count("fusion_within_model"), count("frozen_vs_finetuned"), count("all_pairs")) == (2, 3, 2, 2, 55)
-    assert ("frozen_vs_finetuned", "model=vbpr,backbone=resnet50_D64", "vbpr_resnet50_D64", "vbpr_resnet50_finetuned_D64") in rows
+    assert ("frozen_vs_finetuned", "vbpr", "resnet50_D64", None, "vbpr_resnet50_D64", "vbpr_resnet50_finetuned_D64") in rows
+    assert {r[1:4] for r in rows if r[0] == "model_within_backbone"} == {(None, "resnet50_D64", "frozen"), (None, "resnet50_D64", "finetuned"), (None, "clip_D64", "frozen")}
     with pytest.raises(ValueError):
         st.families(cells, ("nonsense",))
 
