@@ -67,3 +67,9 @@ def long_metrics(df: DataFrame, keys: list[str], by_k, ks: tuple[int, ...] = KS)
 def mean_metrics(long: DataFrame, by: list[str]) -> DataFrame:
     """Mean over users per metric and k."""
     return long.groupBy(*by, "metric", "k").agg(F.count(F.lit(1)).alias("n_users"), F.avg("value").alias("mean"))
+
+
+def selected(long: DataFrame, metrics: tuple[str, ...] = ("recall", "ndcg"), ks: tuple[int, ...] = KS, derived: bool = False) -> DataFrame:
+    """The rows of the primary metrics at the wanted k; with derived, all other metrics too."""
+    rows = long.where(F.col("k").isin(*ks))
+    return rows if derived else rows.where(F.col("metric").isin(*metrics))

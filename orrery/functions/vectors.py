@@ -108,6 +108,16 @@ FUSIONS = {
 }
 
 
+def register_fusion(name: str, equal_lengths: bool = True):
+    """Decorator that makes a function of source vectors (columns of equal meaning) and options a fusion known by name."""
+
+    def add(function):
+        FUSIONS[name] = (function, equal_lengths)
+        return function
+
+    return add
+
+
 def fuse(strategy: str, vs: list[Column], normalize: bool = True, **options) -> Column:
     """One fusion by name; sources are normalised first unless told otherwise; unequal lengths raise."""
     if strategy not in FUSIONS:

@@ -48,6 +48,17 @@ def path_label(paths: Column, level: int) -> Column:
     return F.try_element_at(path, F.least(F.lit(level + 1), F.size(path)))
 
 
+def taxonomy_sidecar(items: DataFrame, item: str, paths: Column, level: int = 1, least: int = 50) -> DataFrame | None:
+    """item, category_label derived from taxonomy paths where a data set has no labels of its own; None if no label has least items."""
+    labels = derived_labels(items.select(item, path_label(paths, level).alias("_label")), item, F.col("_label"), least)
+    return None if labels.isEmpty() else labels
+
+
+def first_paths(df: DataFrame, item: str, path: str, order: str) -> DataFrame:
+    """item and its first path by order; items without any keep null."""
+    return df.where(F.col(item).isNotNull()).groupBy(item).agg(F.min_by(path, F.when(F.col(path).isNotNull(), F.col(order))).alias(path))
+
+
 def decoded(raw: Column) -> Column:
     """bytes as UTF-8 text, or as Latin-1 where that fails."""
     text = raw.cast("string")

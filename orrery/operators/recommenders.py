@@ -481,6 +481,11 @@ def median_pruner(history: list[dict[int, float]], warmup: int = 5):
     return stop
 
 
+def trial_counts(trials: DataFrame) -> DataFrame:
+    """n_trials, n_legit (COMPLETE and PRUNED) and n_failed of a search."""
+    return trials.agg(F.count(F.lit(1)).alias("n_trials"), F.count_if(F.col("state").isin("COMPLETE", "PRUNED")).alias("n_legit"), F.count_if(F.col("state") == "FAIL").alias("n_failed"))
+
+
 TRIAL = "trial long, hyperparams string, state string, metric double, epoch long, history map<int,double>"
 
 

@@ -237,7 +237,7 @@ class Pipeline:
         long = self.spark.read.parquet(f"{self.folder}/metrics.parquet")
         by, config = ["dataset", "metric", "k"], names.config_key(F.col("recommender"), F.col("embedding_name"))
         first = long.where(F.col("seed") == int(self.config["seeds"][0])).withColumn("config", config)
-        values = st.clean_values(first.where(F.col("metric").isin("recall", "ndcg")), [*by, "config", "user_id"])
+        values = st.clean_values(metrics.selected(first, ks=tuple(self.config["evaluation"]["ks"])), [*by, "config", "user_id"])
         pairs = st.families(first.select(F.col("recommender").alias("model"), "embedding_name"), tuple(s["families"]))
         means = reports.cell_means(long, ["dataset", "recommender", "embedding_name", "seed", "metric", "k"])
         tables = reports.consolidated({"friedman": st.friedman(values, by), "pairwise": st.pairwise(values, pairs, by, s["correction"], s["alpha"], s["draws"]), "bootstrap": reports.summary_long(st.bootstrap_mean(values, [*by, "config"], F.col("value"), s["draws"], s["alpha"]), "ndcg", 10)}, by)

@@ -189,6 +189,12 @@ def taxonomy_label_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("image_path", ids.path_label(paths, 1).alias("label_1"), ids.path_label(paths, 9).alias("label_9"))
 
 
+def item_image_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Every known item with the path of its first row that has one."""
+    first = ids.first_paths(table(spark, sf, "interactions").select("item_id", "image_path", "row_id"), "item_id", "image_path", "row_id")
+    return _items(spark, sf).join(first, "item_id", "left").select("item_idx", "image_path")
+
+
 def train_item_set(spark: SparkSession, sf: str) -> DataFrame:
     """Items with at least one train interaction."""
     return table(spark, sf, "train").select("item_idx").dropna().distinct()
@@ -230,7 +236,7 @@ QUERIES = {
     for f in (
         full_ranking_popularity, rank_by_correction, tie_stats, top20_lists, metrics_from_rank, metrics_general_multi_gt, metrics_aggregate, content_full_ranking, sampled_ranking, negative_pool, bpr_triples,
         loo_split, seen_items, min_interactions, dense_item_ids, mapped_interactions, unmapped_ids, id_map_contiguous, index_out_of_range, sidecar_categories, item_category_bucket,
-        category_derive, taxonomy_label_fallback, train_item_set, history_truncated, history_vectors, category_contract, stratified_split, user_subsample,
+        category_derive, taxonomy_label_fallback, item_image_paths, train_item_set, history_truncated, history_vectors, category_contract, stratified_split, user_subsample,
     )
 }
 
@@ -378,6 +384,7 @@ with kept as (select p_brand from part where p_brand <> '' group by 1 having cou
 select p_partkey, category_label::int as category_label from part join codes using (p_brand)""",
     "taxonomy_label_fallback": """
 select image_path, p[least(2, len(p))] as label_1, p[least(10, len(p))] as label_9 from (select distinct image_path, string_split(image_path, '/') as p from interactions where image_path is not null)""",
+    "item_image_paths": "select idx as item_idx, p as image_path from id_map left join (select item_id, arg_min(image_path, row_id) filter (image_path is not null) as p from interactions where item_id is not null group by 1) on item_id = ext_id where kind = 'item'",
     "train_item_set": "select distinct item_idx from train where item_idx is not null",
     "history_truncated": "select user_idx, array_to_string(list_sort(list(distinct item_idx))[1:5], ',') as history from train where user_idx is not null and item_idx is not null group by 1",
     "stratified_split": """

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators import ids
+from orrery.operators.features import component_gate
+from orrery.sources.tables import exists
 from orrery.staging import stage
 
 RECORD_KEYS = ["dataset", "recommender", "visual_config", "seed"]
@@ -63,13 +65,14 @@ def save_features(folder: str, name: str, df: DataFrame, meta: dict) -> None:
     write_json(f"{folder}/features/{name}.json", {"name": name, **meta})
 
 
-def feature_names(spark: SparkSession, folder: str) -> list[str]:
-    """Names of the feature tables of a folder, sorted."""
+def feature_names(spark: SparkSession, folder: str, dim: int | None = None) -> list[str]:
+    """Names of the feature tables of a folder, sorted; with dim those of that declared dimension."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{folder}/features")
     files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
-    return sorted(n.removeprefix("name=") for n in found if n.startswith("name="))
+    names = sorted(n.removeprefix("name=") for n in found if n.startswith("name="))
+    return names if dim is None else [n for n in names if feature_meta(folder, n).get("native_dim") == dim]
 
 
 def feature_meta(folder: str, name: str) -> dict:
@@ -95,6 +98,60 @@ def read_features(spark: SparkSession, folder: str, names: list[str], n_items: i
     return out.select("item_idx", F.struct(*names).alias("sources"))
 
 
+def save_ragged(folder: str, name: str, sources: list[str], strategy: str, **more) -> None:
+    """Declare sources of unequal length as one table that is aligned while a model is trained: a document, no rows."""
+    dims = [feature_meta(folder, s)["native_dim"] for s in sources]
+    write_json(f"{folder}/features/{name}.json", {"name": name, "sources": sources, "source_dims": dims, "strategy": strategy, "online": True, **more})
+
+
+def read_ragged(spark: SparkSession, folder: str, name: str, n_items: int | None = None) -> tuple[DataFrame, dict]:
+    """item_idx, sources (struct) of a declared table, and its document; a source whose dimension has changed since is an error."""
+    meta = feature_meta(folder, name)
+    if not meta.get("online"):
+        raise ValueError(f"{name} declares no sources")
+    now = [feature_meta(folder, s).get("native_dim") for s in meta["sources"]]
+    if now != meta["source_dims"]:
+        raise ValueError(f"{name}: the sources have dimensions {now}, {meta['source_dims']} are declared")
+    return read_features(spark, folder, meta["sources"], n_items), meta
+
+
+def save_components(folder: str, name: str, df: DataFrame, components: int, dim: int) -> None:
+    """Write spatial features (item_idx, features as array of arrays) flat, with their shape; rows of another shape are an error."""
+    gate = component_gate(df, "features", components, dim).first()
+    if gate["n_bad_shape"] or gate["n_not_finite"]:
+        raise ValueError(f"{name}: {gate['n_bad_shape']} rows aren't {components} x {dim}, {gate['n_not_finite']} have numbers that aren't finite")
+    save_features(folder, name, df.select("item_idx", F.flatten("features").alias("features")), {"native_dim": components * dim, "components": components})
+
+
+def read_components(spark: SparkSession, folder: str, name: str, n_items: int | None = None) -> DataFrame:
+    """item_idx, features as array of arrays."""
+    meta = feature_meta(folder, name)
+    width = meta["native_dim"] // meta["components"]
+    flat = read_features(spark, folder, [name], n_items).select("item_idx", F.col("sources")[name].alias("v"))
+    return flat.select("item_idx", F.transform(F.sequence(F.lit(0), F.lit(meta["components"] - 1)), lambda i: F.slice("v", i * width + 1, width)).alias("features"))
+
+
+def layout_problems(spark: SparkSession, folder: str, sample: int = 5) -> list[str]:
+    """What is wrong with the written splits of a data set, each with up to sample of the bad items."""
+    missing = [n for n in ("users", "items", "splits") if not exists(spark, f"{folder}/{n}.parquet")]
+    if missing:
+        return [f"{n}.parquet is missing" for n in missing]
+    users, items, split = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("users", "items", "splits"))
+    out = [f"{name} has columns {df.columns}" for name, df, wanted in (("users", users, {"idx"}), ("items", items, {"idx"}), ("splits", split, {"user_idx", "item_idx", "split"})) if not wanted <= set(df.columns)]
+    if out:
+        return out
+    for name, m in (("users", users), ("items", items)):
+        row = ids.contiguity(m.withColumn("kind", F.lit(name)), "kind", "idx").first()
+        out += [f"the {name} map isn't contiguous from 0"] * (row is not None and not row["contiguous"])
+    out += split_problems(split, users.count(), items.count())
+    for column, m in (("user_idx", users), ("item_idx", items)):
+        stray = split.join(m.select(F.col("idx").alias(column)), column, "left_anti").select(column).distinct()
+        found = [r[0] for r in stray.orderBy(column).limit(sample).collect()]
+        out += [f"{column} without an entry in the map, such as {found}"] * bool(found)
+    unused = items.join(split.select(F.col("item_idx").alias("idx")), "idx", "left_anti").count()
+    return out + [f"{unused} items stand in no split"] * bool(unused)
+
+
 def save_records(folder: str, df: DataFrame) -> None:
     """Append per-user records (user_idx, rank, n_candidates, tie_block_size, top_items) of cells."""
     df.write.mode("append").partitionBy(*RECORD_KEYS).parquet(f"{folder}/records.parquet")

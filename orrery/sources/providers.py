@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import importlib.util
+import json
+import shutil
+import tarfile
+import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Protocol
@@ -131,6 +135,41 @@ class SyntheticSource:
         return spark.range(self.n_items).select(F.concat(F.lit("i"), "id").alias("item_id"), (F.col("id") % self.n_categories).cast("string").alias("category_label"), F.col("id").alias("row_id"))
 
 
+def declared(document: str, scratch: str) -> str:
+    """Register the source that a JSON document declares, and return its name.
+
+    Keys: name, kind (a registered source), path (absolute, or beside the document; a folder, or a zip or tar archive, which is
+    unpacked once under scratch, a folder that all executors share), options. Names that lead out of the archive are an error,
+    and a url is one too: nothing is downloaded.
+    """
+    doc, base = json.loads(Path(document).read_text()), Path(document).parent
+    if "url" in doc:
+        raise ValueError(f"{doc.get('name')}: a url can't be read here; give a path")
+    if doc["kind"] not in REGISTRY:
+        raise KeyError(f"unknown source {doc['kind']}; known: {', '.join(sorted(REGISTRY))}")
+    path = base / doc["path"]
+    if path.is_file():
+        target = Path(scratch) / doc["name"]
+        if not target.exists():
+            part = target.with_name(target.name + ".part")
+            shutil.rmtree(part, ignore_errors=True)
+            if zipfile.is_zipfile(path):
+                with zipfile.ZipFile(path) as z:
+                    if any(n.startswith("/") or ".." in Path(n).parts for n in z.namelist()):
+                        raise ValueError(f"{path} holds names that lead out of it")
+                    z.extractall(part)
+            else:
+                with tarfile.open(path) as t:
+                    t.extractall(part, filter="data")
+            part.rename(target)
+        path = target
+    elif not path.exists():
+        raise FileNotFoundError(path)
+    kind, options = REGISTRY[doc["kind"]], doc.get("options", {})
+    REGISTRY[doc["name"]] = lambda **more: kind(path=str(path), **options, **more)
+    return doc["name"]
+
+
 def from_nested(spark: SparkSession, train: dict, val: dict, test: dict, items: dict) -> tuple[DataFrame, DataFrame | None]:
     """(user_idx, item_idx, split) and item categories of the six-part nested form of a data set.
 

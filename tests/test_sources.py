@@ -67,6 +67,89 @@ def test_features_and_records(spark, tmp_path):
     assert artifacts.table_kind("x_pairwise_y.csv") == "pairwise" and artifacts.table_kind("x") is None
 
 
+def test_ragged_component_and_broken_layouts(spark, tmp_path):
+    at = str(tmp_path)
+    f = lambda d: spark.createDataFrame([(i, [float(i + j) for j in range(d)]) for i in range(3)], "item_idx long, features array<double>")
+    for name, d in (("a_D2", 2), ("b_D3", 3)):
+        artifacts.save_features(at, name, f(d), {"native_dim": d})
+    artifacts.save_ragged(at, "hybrid_mean_learned_D4", ["a_D2", "b_D3"], "mean", aligned_dim=4)
+    rows, meta = artifacts.read_ragged(spark, at, "hybrid_mean_learned_D4", 3)
+    assert meta["source_dims"] == [2, 3] and len(rows.where("item_idx = 1").first()["sources"]["b_D3"]) == 3
+    artifacts.save_features(at, "b_D3", f(2), {"native_dim": 2})
+    with pytest.raises(ValueError, match="declared"):
+        artifacts.read_ragged(spark, at, "hybrid_mean_learned_D4")
+    assert artifacts.feature_names(spark, at) == ["a_D2", "b_D3"] and artifacts.feature_names(spark, at, 3) == []
+    comp = spark.createDataFrame([(0, [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])], "item_idx long, features array<array<double>>")
+    artifacts.save_components(at, "x_comp", comp, 3, 2)
+    assert artifacts.read_components(spark, at, "x_comp").first()["features"] == [[1, 2], [3, 4], [5, 6]]
+    with pytest.raises(ValueError, match="aren't 2 x 2"):
+        artifacts.save_components(at, "y_comp", comp, 2, 2)
+    assert artifacts.layout_problems(spark, at) == [f"{n}.parquet is missing" for n in ("users", "items", "splits")]
+    maps = spark.range(3).select(F.col("id").alias("idx"))
+    for n in ("users", "items"):
+        maps.write.parquet(f"{at}/{n}.parquet")
+    spark.createDataFrame([(0, 0, "train"), (1, 9, "test"), (2, 1, "odd")], "user_idx long, item_idx long, split string").write.parquet(f"{at}/splits.parquet")
+    problems = " ".join(artifacts.layout_problems(spark, at))
+    assert "outside the map" in problems and "[9]" in problems and "unknown split" in problems and "1 items stand in no split" in problems
+
+
+def test_declared_sources_and_archives(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "interactions.csv").write_text("user_id,item_id,image_path\nu1,i1,a.jpg\n")
+    with zipfile.ZipFile(tmp_path / "shop.zip", "w") as z:
+        z.write(tmp_path / "data" / "interactions.csv", "interactions.csv")
+    for name, path in (("plain", "data"), ("packed", "shop.zip")):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"name": name, "kind": "csv", "path": path}))
+        assert providers.declared(str(tmp_path / f"{name}.json"), str(tmp_path / "scratch")) == name
+        assert providers.source(name).interactions(spark).count() == 1
+        del providers.REGISTRY[name]
+    (tmp_path / "far.json").write_text(json.dumps({"name": "far", "kind": "csv", "url": "http://example.org/x.zip"}))
+    with pytest.raises(ValueError, match="url"):
+        providers.declared(str(tmp_path / "far.json"), str(tmp_path))
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../evil.csv", "x")
+    (tmp_path / "bad.json").write_text(json.dumps({"name": "bad", "kind": "csv", "path": "bad.zip"}))
+    with pytest.raises(ValueError, match="lead out"):
+        providers.declared(str(tmp_path / "bad.json"), str(tmp_path / "scratch"))
+
+
+def test_extraction_from_files(spark, tmp_path):
+    from orrery.sources import extractors as xt
+
+    (tmp_path / "i1.jpg").write_bytes(b"aab")
+    (tmp_path / "i2.png").write_bytes(b"")
+    (tmp_path / "other.png").write_bytes(b"zz")
+    items = spark.createDataFrame([("i1", 0), ("i2", 1), ("none", 2)], "file_id string, item_idx long")
+    got = {r["item_idx"]: r["features"] for r in xt.extracted(xt.files_of(spark, str(tmp_path)), items, "byte_histogram").collect()}
+    assert got.keys() == {0} and got[0][97] == pytest.approx(2 / 3)
+    with pytest.raises(ValueError, match="byte_histogram"):
+        xt.extracted(xt.files_of(spark, str(tmp_path)), items, "nothing")
+
+
+def test_derived_labels_paths_and_trials(spark):
+    from orrery.functions import metrics, vectors
+    from orrery.operators import ids
+
+    df = spark.createDataFrame([(i, [["a", "x" if i % 2 else "y"]] if i else None) for i in range(7)], "item_idx long, paths array<array<string>>")
+    assert {r["item_idx"]: r["category_label"] for r in ids.taxonomy_sidecar(df, "item_idx", F.col("paths"), 1, 3).collect()} == {1: 0, 3: 0, 5: 0, 2: 1, 4: 1, 6: 1}
+    assert ids.taxonomy_sidecar(df, "item_idx", F.col("paths"), 1, 50) is None
+    rows = spark.createDataFrame([("a", None, 1), ("a", "p", 3), ("a", "q", 2), ("b", None, 1), (None, "x", 1)], "item_id string, path string, row_id long")
+    assert {r[0]: r[1] for r in ids.first_paths(rows, "item_id", "path", "row_id").collect()} == {"a": "q", "b": None}
+    trials = spark.createDataFrame([("COMPLETE",), ("PRUNED",), ("FAIL",), ("RUNNING",)], "state string")
+    assert tuple(rc.trial_counts(trials).first()) == (4, 2, 1)
+    long = spark.createDataFrame([("ndcg", 10), ("map", 10), ("ndcg", 7)], "metric string, k int")
+    assert metrics.selected(long).count() == 1 and metrics.selected(long, derived=True).count() == 2
+
+    @vectors.register_fusion("first")
+    def first(vs):
+        return vs[0]
+
+    assert spark.range(1).select(vectors.fuse("first", [F.array(F.lit(3.0)), F.array(F.lit(4.0))], normalize=False)).first()[0] == [3.0]
+    del vectors.FUSIONS["first"]
+
+
 def test_documents(spark, tmp_path):
     r = spark.createDataFrame([("d", "m", "e10", '{"a": 1}', 0.5), ("d", "m", "e10", '{"a": 2}', 0.7), ("d", "m", "e9", '{"a": 3}', 0.1)], "dataset string, model string, embedding string, hyperparams string, metric double")
     out = artifacts.export_best(r, str(tmp_path / "best.json"))
