@@ -215,24 +215,30 @@ def test_pipeline_end_to_end(spark, tmp_path):
     rows = lambda seed, d: spark.createDataFrame([(i, [float(x) for x in np.random.default_rng((seed, i)).standard_normal(d)]) for i in range(30)], "item_idx long, features array<double>")
     # items that nobody took have no index, so that the tables hold more rows than the catalogue may need
     config = ex.load_config(None, datasets=["synth"], recommenders_enabled=["bpr", "vbpr", "vnpr"], condition="frozen", seeds=[1, 2], common={"epochs": 2, "eval_every": 1, "batch": 64}, statistics={"draws": 50})
-    config["fusions"] = ["mean"]
-    features = {"synth": {"a_D4": rows(1, 4), "b_D4": rows(2, 4)}}
+    features = {"synth": {"a_D4": rows(1, 4)}}
     config["recommenders_enabled"].remove("vbpr")
     make = lambda: pl.Pipeline(spark, str(tmp_path), config, {"synth": src}, features, {"latent": [4], "lr": [0.01, 0.05], "visual": [3]})
     p = make()
     run = p.run()
     assert run.document["state"] == "done" and [s["name"] for s in run.document["steps"]] == ["preprocess", "fuse", "train", "evaluate", "statistical", "export_best"]
-    assert p.catalogue().count() == 3 and p.fusion_tasks("frozen") == []
+    assert p.catalogue().count() == 1
     status = p.status().groupBy("step", "state").count().collect()
-    assert {(r["step"], r["state"]): r["count"] for r in status} == {("train", "done"): 8, ("evaluate", "done"): 8}
+    assert {(r["step"], r["state"]): r["count"] for r in status} == {("train", "done"): 4, ("evaluate", "done"): 4}
     log = spark.read.parquet(f"{tmp_path}/log/train").count()
     records = p.records()
-    assert records.count() == 8 * 24 and records.where(F.size("top_items") == 20).count() == 8 * 24
+    assert records.count() == 4 * 24 and records.where(F.size("top_items") == 20).count() == 4 * 24
     assert make().run().document["state"] == "done"  # the second run trains and ranks nothing
-    assert spark.read.parquet(f"{tmp_path}/log/train").count() == log and p.records().count() == 8 * 24
+    assert spark.read.parquet(f"{tmp_path}/log/train").count() == log and p.records().count() == 4 * 24
     for kind in ("evaluation", "tests", "bootstrap", "seeds"):
         assert spark.read.parquet(f"{tmp_path}/tests/{kind}.parquet").count() > 0
     assert "Best 10 by ndcg@10" in (tmp_path / "report.md").read_text() and json.loads((tmp_path / "best.json").read_text())["synth"]["vnpr"]["a_D4"]["hyperparams"]["epochs"] == 2
+    config["fusions"], features["synth"]["b_D4"], features["synth"]["b_finetuned_D4"] = ["mean", "weighted_mean", "pca_per_model"], rows(2, 4), rows(3, 4)
+    p = make()
+    p.preprocess()
+    assert [t[1] for t in p.fusion_tasks("frozen")][:2] == ["hybrid_mean_D4", "hybrid_weighted_mean_w0.3_D4"] and p.fusion_tasks("finetuned") == []
+    p.config["fusions"] = ["mean"]
+    p.fuse("frozen")
+    assert p.fusion_tasks("frozen") == [] and "hybrid_mean_D4" in [r["embedding_name"] for r in p.catalogue().collect()]
     # the ranks of the trained model against SQL over the written factors
     best = rc.best_jobs(rc.results_of(spark.read.parquet(f"{tmp_path}/models/cell=synth__none__bpr__1"))).first()
     sql = f"""
