@@ -23,11 +23,16 @@ def per_key_profile(df: DataFrame, first: str, second: str, ts: str) -> DataFram
     A null key is no key; a null partner counts as a row but not as a partner; null times are
     skipped (both null if a key has no other). Repeated rows count each. An empty table gives no row.
     """
+    ranged = ranged_pairs(df, first, second, ts)
+    return ranged.groupBy("field", "key_value").agg(F.sum("n").alias("n_rows"), F.count("other").alias("n_distinct"), F.min("lo").alias("first_ts"), F.max("hi").alias("last_ts"))
+
+
+def ranged_pairs(df: DataFrame, first: str, second: str, ts: str) -> DataFrame:
+    """field, key_value, other, n, lo, hi: every pair of values once from both sides, range-partitioned on (field, key_value, other)."""
     pairs = df.groupBy(first, second).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi"))
     side = lambda key, other: F.struct(F.lit(key).alias("field"), F.col(key).cast("string").alias("key_value"), F.col(other).cast("string").alias("other"))
     sides = pairs.select(F.explode(F.array(side(first, second), side(second, first))).alias("s"), "n", "lo", "hi").select("s.*", "n", "lo", "hi").where("key_value is not null")
-    ranged = sides.repartitionByRange("field", "key_value", "other")
-    return ranged.groupBy("field", "key_value").agg(F.sum("n").alias("n_rows"), F.count("other").alias("n_distinct"), F.min("lo").alias("first_ts"), F.max("hi").alias("last_ts"))
+    return sides.repartitionByRange("field", "key_value", "other")
 
 
 def ranked_within(df: DataFrame, group: str | None, order: list[str], label: str, rank: str = "rank") -> DataFrame:

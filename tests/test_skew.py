@@ -26,6 +26,15 @@ def test_profile_against_brute_force(spark):
     assert not got
 
 
+def test_a_heavy_key_covers_several_partitions(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(f"u{j}", "hot" if j % 2 else f"i{j}", T0) for j in range(4000)]
+    parts = skew.ranged_pairs(_df(spark, rows).repartition(6), "item_id", "user_id", "ts").repartitionByRange(8, "field", "key_value", "other")
+    sizes = [r["n"] for r in parts.where("key_value = 'hot'").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 2 and sum(sizes) == 2000 and max(sizes) < 1500
+
+
 def _heavy(rows):
     out = set()
     for field, key in (("item_id", 1), ("user_id", 0)):
