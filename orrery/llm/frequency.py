@@ -80,17 +80,20 @@ def _batch(fields, terms, occurrences, records) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(fields, pa.int32()), pa.array(terms, pa.string()), pa.array(occurrences, pa.int64()), pa.array(records, pa.int64())], ["field", "term", "occurrences", "records"])
 
 
-def term_frequencies(df: DataFrame, first: str, second: str, salts: int = 16) -> DataFrame:
+def term_frequencies(df: DataFrame, first: str, second: str, salt_rows: int = 4_000_000, least_salts: int = 16) -> DataFrame:
     """Occurrences and distinct partners of every value of two columns; field, term, occurrences, records.
 
     Tokens are (field, term, record): the record of a value is its partner in the row. Equal rows are combined
     in the task that reads them; tokens are hash-partitioned on (field, term, salt of the record), so that a
     term with a third of all rows is spread over its salts while any one record stays whole; each partition
-    is sorted and read once with last-seen counters; the counters of a term's salts add up.
+    is sorted and read once with last-seen counters; the counters of a term's salts add up. The rows are counted first
+    (which the file's metadata answers): one salt per salt_rows of them, at least least_salts, so that no salt of any term has more
+    than about salt_rows rows, whatever its share.
 
     A null value is no term; a null partner is an occurrence without a record. Repeated rows count each.
     Values are compared byte for byte; the empty string is a value. An empty table gives no row.
     """
+    salts = max(least_salts, -(-df.count() // salt_rows))
     pair = df.select(F.col(first).cast("string").alias("first"), F.col(second).cast("string").alias("second")).where("first is not null or second is not null")
     pair = pair.mapInArrow(_combined, "first string, second string, n long")
     side = lambda code, term, record: F.struct(F.lit(code).alias("field"), F.col(term).alias("term"), F.col(record).alias("record"))
