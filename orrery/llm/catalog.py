@@ -42,18 +42,14 @@ def p3_recall(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("embedding_name").agg(F.count(F.lit(1)).alias("n_neighbours"), (F.count("found") / F.count(F.lit(1))).alias("recall"))
 
 
-def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.split_overlaps(table(spark, sf, "train"), table(spark, sf, "heldout"))
-
-
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Heldout profiles that stand in train too, wholly or nearly."""
-    return _overlaps(spark, sf).select("split", "source", "train_user_idx", "user_idx")
+    return overlap.split_overlaps(table(spark, sf, "train"), table(spark, sf, "heldout")).select("split", "source", "train_user_idx", "user_idx")
 
 
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     """Overlaps per split, source and kind."""
-    return overlap.overlap_report(_overlaps(spark, sf))
+    return overlap.overlap_report(table(spark, sf, "train"), table(spark, sf, "heldout"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators.skew import ranked_within
 from orrery.staging import stage
 
 SPREAD = 2.0  # squared term weights lie in [1, SPREAD]
@@ -274,17 +275,59 @@ def split_overlaps(train: DataFrame, heldout: DataFrame, least_items: int = 6, l
     number) whose profile has Jaccard similarity >= least_jaccard, both with at least least_items items. The profiles
     are staged when the DataFrame is built.
     """
-    profiles = stage(term_sets(train, heldout), "profiles")
-    same = profiles.where("shared > 0").select("split", "source", F.col("user_idx").alias("train_user_idx"), "user_idx", F.lit("same").alias("kind"), "shared")
+    profiles, same = _profiles(train, heldout)
     big = profiles.where(F.col("n") >= least_items)
-    pairs = similar_sets(big, least_jaccard)
-    near = pairs.join(big.where("split is null").select(F.xxhash64("terms").alias("key_a"), F.col("terms").alias("terms_a"), F.col("user_idx").alias("train_user_idx")), "key_a")
-    near = near.join(big.where("split is not null").select(F.xxhash64("terms").alias("key_b"), F.col("terms").alias("terms_b"), "split", "source", "user_idx"), "key_b").where("train_user_idx < user_idx")
-    near = near.withColumn("shared", F.size(F.array_intersect("terms_a", "terms_b")).cast("long"))
-    near = near.where(F.col("shared") >= F.lit(least_jaccard) * (F.size("terms_a") + F.size("terms_b") - F.col("shared")) - F.lit(1e-9))
+    links = similar_sets(big, least_jaccard)
+    near = links.join(_members(big, "a"), "key_a").join(_members(big, "b"), "key_b").where("train_user_idx < user_idx")
+    near = _similar(near, least_jaccard)
     return same.unionByName(near.select("split", "source", "train_user_idx", "user_idx", F.lit("near").alias("kind"), "shared"))
 
 
-def overlap_report(cases: DataFrame) -> DataFrame:
-    """Cases, heldout users and train users per split, source and kind."""
-    return cases.groupBy("split", "source", "kind").agg(F.count(F.lit(1)).alias("n_cases"), F.countDistinct("user_idx").alias("n_users"), F.countDistinct("train_user_idx").alias("n_train_users"))
+def _profiles(train: DataFrame, heldout: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The staged profiles, and the cases of users who stand on both sides."""
+    profiles = stage(term_sets(train, heldout), "profiles")
+    same = profiles.where("shared > 0").select("split", "source", F.col("user_idx").alias("train_user_idx"), "user_idx", F.lit("same").alias("kind"), "shared")
+    return profiles, same
+
+
+def _members(big: DataFrame, side: str) -> DataFrame:
+    """Key, terms and user of the profiles of one side; side b has split and source too."""
+    own = big.where("split is null" if side == "a" else "split is not null")
+    return own.select(F.xxhash64("terms").alias(f"key_{side}"), F.col("terms").alias(f"terms_{side}"), *([F.col("user_idx").alias("train_user_idx")] if side == "a" else ["split", "source", "user_idx"]))
+
+
+def _similar(pairs: DataFrame, jaccard: float) -> DataFrame:
+    """pairs (terms_a, terms_b) whose sets are similar, with shared: the exact check."""
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("terms_a", "terms_b")).cast("long"))
+    return pairs.where(F.col("shared") >= F.lit(jaccard) * (F.size("terms_a") + F.size("terms_b") - F.col("shared")) - F.lit(1e-9))
+
+
+def overlap_report(train: DataFrame, heldout: DataFrame, least_items: int = 6, least_jaccard: float = 0.7) -> DataFrame:
+    """Cases, heldout users and train users per split, source and kind of split_overlaps, counted without making the cases.
+
+    Two groups of copies that are similar are one link, whatever their sizes. A heldout user has a case if some train
+    user of a linked set has a lesser number, and as many as there are such users; both follow from extremes and ranks within the link
+    (ranked_within holds no group in one task). Links are in proportion to the distinct sets that are similar. The jobs
+    of the profiles, links and ranks run when the DataFrame is built.
+    """
+    profiles, same = _profiles(train, heldout)
+    big = profiles.where(F.col("n") >= least_items)
+    sets = lambda side: _members(big, side).select(f"key_{side}", f"terms_{side}").distinct()
+    links = _similar(similar_sets(big, least_jaccard).join(sets("a"), "key_a").join(sets("b"), "key_b"), least_jaccard)
+    links = stage(links.withColumn("link", F.monotonically_increasing_id()).select("link", "key_a", "terms_a", "key_b", "terms_b"), "links")
+    a = stage(links.select("link", "key_a", "terms_a").join(_members(big, "a"), ["key_a", "terms_a"]).select("link", F.col("train_user_idx").alias("user")), "link-train")
+    b = stage(links.select("link", "key_b", "terms_b").join(_members(big, "b"), ["key_b", "terms_b"]).select("link", "split", "source", F.col("user_idx").alias("user")), "link-heldout")
+    group = ["split", "source"]
+    least, most = a.groupBy("link").agg(F.min("user").alias("least")), b.groupBy("link", *group).agg(F.max("user").alias("most"))
+    users = b.join(least, "link").where("user > least").groupBy(*group).agg(F.countDistinct("user").alias("n_users"))
+    train_users = a.join(most, "link").where("user < most").groupBy(*group).agg(F.countDistinct("user").alias("n_train_users"))
+    # place among both sides less place among the heldout side: train users with a lesser number; heldout rows go first among equals
+    both = b.withColumn("side", F.lit(0)).unionByName(a.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    order = ["user", "side", "split", "source"]
+    places = ranked_within(both, "link", order, "places").where("side = 0").groupBy(*group).agg(F.sum("rank").alias("among_both"))
+    own = ranked_within(b.withColumn("side", F.lit(0)), "link", order, "own-places").groupBy(*group).agg(F.sum("rank").alias("among_own"))
+    match = lambda x, y: x.join(y.select(*(F.col(g).alias(f"_{g}") for g in group), *(c for c in y.columns if c not in group)), F.col("split").eqNullSafe(F.col("_split")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_split", "_source")
+    near = match(match(match(places, own), users), train_users)
+    near = near.select(*group, F.lit("near").alias("kind"), (F.col("among_both") - F.col("among_own")).alias("n_cases"), "n_users", "n_train_users")
+    counted = same.groupBy(*group, "kind").agg(F.count(F.lit(1)).alias("n_cases"), F.countDistinct("user_idx").alias("n_users"), F.countDistinct("train_user_idx").alias("n_train_users"))
+    return counted.unionByName(near)

@@ -76,5 +76,16 @@ def test_least_cosine_is_a_bound():
 
 def test_report_and_empty(spark, data):
     _, _, t, h = data
-    assert sum(r["n_cases"] for r in ov.overlap_report(ov.split_overlaps(t, h)).collect()) == ov.split_overlaps(t, h).count()
-    assert ov.split_overlaps(t.limit(0), h).count() == ov.split_overlaps(t, h.limit(0)).count() == 0
+    copies = [(u, i, "s", 1) for u in range(600, 640) for i in (71, 72, 73, 74, 75, 76)]
+    t = t.unionByName(spark.createDataFrame(copies, t.schema))
+    h = h.unionByName(spark.createDataFrame([("val", u, i, f"src{u % 2}") for u in range(590, 660, 2) for i in (71, 72, 73, 74, 75, 76)] + [("test", 650, i, None) for i in (71, 72, 73, 74, 75, 76, 77)], h.schema))
+    want = {}
+    for r in ov.split_overlaps(t, h).collect():
+        n, users, trains = want.setdefault((r["split"], r["source"], r["kind"]), ([], set(), set()))
+        n.append(1)
+        users.add(r["user_idx"])
+        trains.add(r["train_user_idx"])
+    got = {(r["split"], r["source"], r["kind"]): (r["n_cases"], r["n_users"], r["n_train_users"]) for r in ov.overlap_report(t, h).collect()}
+    assert got == {k: (len(n), len(u), len(v)) for k, (n, u, v) in want.items()} and got["val", "src0", "near"][0] > 500
+    for x, y in ((t.limit(0), h), (t, h.limit(0))):
+        assert ov.split_overlaps(x, y).count() == ov.overlap_report(x, y).count() == 0
