@@ -8,6 +8,8 @@ calibrated on texts labelled by hand.
 from __future__ import annotations
 
 import math
+import random
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,7 +54,8 @@ def signs(x: np.ndarray) -> np.ndarray:
 
 
 MORE = ("digit_share", "marked_share", "distinct_share")
-_MARKED = regex.compile(r"^(?:[-*•·▪]|[0-9]+[.)])\s|\t|[|;›]|\.{4}|:\s*[^\s]*[0-9]|^[\[{<]")
+_DIGIT = re.compile(r"\d")
+_MARKED = re.compile(r"^(?:[-*•·▪]|[0-9]+[.)])\s|\t|[|;›]|\.{4}|:\s*[^\s]*[0-9]|^[\[{<]")
 
 
 def structure(text: str) -> tuple[float, float, float]:
@@ -60,38 +63,40 @@ def structure(text: str) -> tuple[float, float, float]:
     words = text.split()
     lines = [s for s in map(str.strip, text.split("\n")) if s]
     size = sum(map(len, words))
-    return sum(c.isdigit() for c in text) / size, sum(_MARKED.search(s) is not None for s in lines) / len(lines), len(set(words)) / len(words)
+    return len(_DIGIT.findall(text)) / size, sum(_MARKED.search(s) is not None for s in lines) / len(lines), len(set(words)) / len(words)
+
+
+_CODE, _MARKS, _DIGITS = "0123456789ABCDEFGHKLMNPRSTUVXYZ", "#$%&*+/<=>[]^{|}~ ", "abcdefghjkmnpqrstuvwxyzABCDEFGHKLMNPRSTUVXYZ0123456789+/"
 
 
 def planted(text: str, seed: int) -> str:
     """The words of a text in a structure that is no prose: a list, table, path, index, repetition or noise, chosen by the seed."""
-    draw = np.random.default_rng(seed)
+    draw = random.Random(seed)
     words = [w for w in (_EDGES.sub("", w) for w in text.split()) if w] or ["x"]
-    some = lambda n: [words[int(i)] for i in draw.integers(0, len(words), n)]
-    code = lambda: "".join(draw.choice(list("0123456789ABCDEFGHKLMNPRSTUVXYZ"), int(draw.integers(2, 8))))
-    n = int(draw.integers(3, 12))
-    kind = int(draw.integers(10))
+    some = lambda n: draw.choices(words, k=n)
+    code = lambda: "".join(draw.choices(_CODE, k=draw.randrange(2, 8)))
+    n, kind = draw.randrange(3, 12), draw.randrange(10)
     if kind == 0:
-        bullet = str(draw.choice(["*", "•", "-"]))
-        return "\n".join(f"{bullet} {' '.join(some(int(draw.integers(1, 4))))}" for _ in range(n))
+        bullet = draw.choice("*•-")
+        return "\n".join(f"{bullet} {' '.join(some(draw.randrange(1, 4)))}" for _ in range(n))
     if kind == 1:
-        return "\n".join(f"{i + 1}. {' '.join(some(2))} {int(draw.integers(999))}" for i in range(n))
+        return "\n".join(f"{i + 1}. {' '.join(some(2))} {draw.randrange(999)}" for i in range(n))
     if kind == 2:
-        cell = str(draw.choice([" | ", "\t", ";", ","]))
-        return "\n".join(cell.join([some(1)[0], code(), str(int(draw.integers(999))), f"{draw.random():.3f}"]) for _ in range(n))
+        cell = draw.choice([" | ", "\t", ";", ","])
+        return "\n".join(cell.join([some(1)[0], code(), str(draw.randrange(999)), f"{draw.random():.3f}"]) for _ in range(n))
     if kind == 3:
-        return "\n".join(f"{some(1)[0]}: {code()}-{int(draw.integers(99))}" for _ in range(n))
+        return "\n".join(f"{some(1)[0]}: {code()}-{draw.randrange(99)}" for _ in range(n))
     if kind == 4:
-        return str(draw.choice([" › ", " | ", " / "])).join(some(n + 4))
+        return draw.choice([" › ", " | ", " / "]).join(some(n + 4))
     if kind == 5:
-        return "\n".join(f"{some(1)[0]} {'.' * int(draw.integers(4, 20))} {int(draw.integers(400))}" for _ in range(n))
+        return "\n".join(f"{some(1)[0]} {'.' * draw.randrange(4, 20)} {draw.randrange(400)}" for _ in range(n))
     if kind == 6:
         return " ".join(some(1) * (n + 5))
     if kind == 7:
-        return "".join(draw.choice(list("#$%&*+/<=>[]^{|}~ "), 20 * n))
+        return "".join(draw.choices(_MARKS, k=20 * n)) + "#"
     if kind == 8:
-        return " ".join("".join(draw.choice(list("abcdefghjkmnpqrstuvwxyzABCDEFGHKLMNPRSTUVXYZ0123456789+/"), int(draw.choice([1, 60])))) for _ in range(n))
-    return "".join(f"<b class='{code().lower()}'>{w}</b>" for w in some(n)) if draw.random() < 0.5 else "{" + ", ".join(f'"{w}": {int(draw.integers(999))}' for w in some(n)) + "}"
+        return " ".join("".join(draw.choices(_DIGITS, k=draw.choice([1, 60]))) for _ in range(n))
+    return "".join(f"<b class='{code().lower()}'>{w}</b>" for w in some(n)) if draw.random() < 0.5 else "{" + ", ".join(f'"{w}": {draw.randrange(999)}' for w in some(n)) + "}"
 
 
 @dataclass
