@@ -308,9 +308,10 @@ def _search(k: int, least: float | None, cells: int = 4_000_000):
 def _with_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows with their vectors at norm 1, by which copies are told."""
     for batch in batches:
-        for at in range(batch.num_rows):  # rows of large groups only
-            one = batch.slice(at, 1)
-            yield pa.RecordBatch.from_arrays([*one.columns[:4], _vectors(_units(_matrix(one.column(3))))], ["name", "item", "hash", "vec", "unit"])
+        wide = np.asarray(pc.binary_length(batch.column(3)))
+        for n in np.unique(wide):
+            part = batch.take(pa.array(np.flatnonzero(wide == n)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], _vectors(_units(_matrix(part.column(3))))], ["name", "item", "hash", "vec", "unit"])
 
 
 def copy_groups(rows: DataFrame, n_rows: int, k: int, most: int = 10_000) -> tuple[DataFrame, DataFrame | None]:
