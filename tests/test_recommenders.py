@@ -5,6 +5,7 @@ import json
 import numpy as np
 import pytest
 
+from orrery.operators import adam
 from orrery.operators import recommenders as rc
 from orrery.operators.autodiff import Value
 
@@ -149,3 +150,85 @@ def test_search(spark, tmp_path):
     stop = rc.median_pruner([{1: 0.5}] * 5)
     assert stop(1, 0.4) and not stop(1, 0.6) and not stop(2, 0.0)
     assert len(rc.grid({"a": [1, 2], "b": [3, 4]})) == 4
+
+
+def _every_row(model, c, train, hp, seed=42):
+    """Training that updates all rows of all tables in every step."""
+    p = rc.init(model, c, hp, np.random.default_rng(seed))
+    m, v = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))
+    step = 0
+    for epoch in range(1, hp["epochs"] + 1):
+        rows = rc.triples(train, c.n_items, np.random.default_rng([seed, epoch]))
+        for at in range(0, len(rows), hp["batch"]):
+            b, values = rows[at : at + hp["batch"]], {n: Value(x) for n, x in p.items()}
+            rc.loss(model, values, c, b[:, 0], b[:, 1], b[:, 2], hp["l2"]).backward()
+            step += 1
+            for n, x in p.items():
+                m[n] = 0.9 * m[n] + 0.1 * values[n].grad
+                v[n] = 0.999 * v[n] + 0.001 * values[n].grad ** 2
+                x -= hp["lr"] * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.999**step)) + 1e-8)
+    return p
+
+
+@pytest.mark.parametrize(("model", "l2"), [("bpr", 0.0), ("bpr", 1e-3), ("deepstyle", 0.0), ("avbpr", 1e-3), ("vnpr", 0.0), ("acf", 1e-3)])
+def test_rows_left_out_of_batches_move_as_in_every_step(model, l2):
+    train, val = _data()
+    rng = np.random.default_rng(7)
+    c = rc.Context(40, 30, [rng.standard_normal((30, 4, 5) if model == "acf" else (30, 8))], categories=np.arange(30) % 3, history=rng.integers(0, 30, (40, 3)), mask=np.ones((40, 3), bool))
+    hp = {**HP, "lr": 0.02, "l2": l2, "epochs": 12, "eval_every": 1, "patience": 99, "batch": 5}
+    p, _, epoch = rc.fit(model, c, train, val, hp)
+    want = _every_row(model, c, train, {**hp, "epochs": epoch}) if epoch else rc.init(model, c, hp, np.random.default_rng(42))
+    for n, x in want.items():
+        assert p[n] == pytest.approx(x, abs=1e-9), n
+
+
+@pytest.mark.parametrize("l2", [0.0, 1e-4])
+def test_a_step_works_on_the_rows_of_its_batch(monkeypatch, l2):
+    """Numbers that the optimiser reads per step; they were all rows of all tables, 160,000 here."""
+    sizes, rows = [], adam.Adam.rows
+    monkeypatch.setattr(adam.Adam, "rows", lambda self, name, at: sizes.append(len(self.x[name]) if at is None else len(at)) or rows(self, name, at))
+    train = np.column_stack([np.arange(60_000), np.arange(60_000) % 100_000])[::100]
+    rc.fit("bpr", rc.Context(60_000, 100_000), train, train[:0], {"latent": 2, "batch": 60, "epochs": 1, "eval_every": 2, "l2": l2})
+    assert len(sizes) > 40 and max(sizes[: 10 * 5]) <= 60
+
+
+@pytest.mark.parametrize("t", [0, 5, 40, 400, 5000])
+def test_rest_rule(t):
+    j, (h, w) = np.arange(1, 2000), adam.rest_rule(t)
+    for s in (0.0, 1e-9, 1e-7, 1e-3, 1.0):
+        assert (w / (s * h + 1e-8)).sum() == pytest.approx((0.9**j / (1 - 0.9 ** (t + j)) / (s * np.sqrt(0.999**j / (1 - 0.999 ** (t + j))) + 1e-8)).sum(), rel=1e-12)
+
+
+def test_validation_equals_the_sort_of_all_scores():
+    rng = np.random.default_rng(11)
+    c, k = rc.Context(300, 700), 10
+    for spread, ties in ((0.1, False), (3.0, False), (1.0, True)):
+        p = {"user": rng.normal(0.5, spread, (300, 6)), "item": rng.normal(0, 1, (700, 6)), "bias": rng.normal(0, spread, (700, 1))}
+        if ties:  # all items four times
+            p["item"], p["bias"] = (np.concatenate([p[n][:175]] * 4) for n in ("item", "bias"))
+        pairs = rng.permutation(300 * 700)[:9000]
+        train, val, keys = np.column_stack([pairs // 700, pairs % 700])[:6000], np.column_stack([pairs // 700, pairs % 700])[6000:], rng.permutation(700)
+        s = p["user"] @ p["item"].T + p["bias"][:, 0]
+        s = s.round(9)
+        want, held = [], val.copy()
+        for x, (u, h) in enumerate(val):
+            if x % 2:  # items that are high in the list
+                h = held[x, 1] = np.setdiff1d(np.argsort(-s[u])[:40], train[train[:, 0] == u, 1])[x % 3]
+            free = np.setdiff1d(np.arange(700), train[train[:, 0] == u, 1])
+            want.append(1 + int(np.flatnonzero(free[np.lexsort((keys[free], -s[u][free]))] == h)[0]))
+        want = np.array(want)
+        got = rc.ranks_to(k, p["user"], p["item"], p["bias"][:, 0], train, held, keys, width=64)
+        assert (got == np.minimum(want, k + 1)).all() and (want <= k).sum() > 200
+        assert rc.validate("bpr", p, c, train, held, keys) == pytest.approx((1 / np.log2(want + 1))[want <= k].sum() / len(want))
+    p["user"][:] = np.nan
+    assert rc.validate("bpr", p, c, train, held, keys) >= 0
+
+
+def test_validation_stops_where_enough_items_are_ahead(monkeypatch):
+    """The whole catalogue is not scored for every row; it was 300 million scores here."""
+    rng = np.random.default_rng(3)
+    users, items, val = rng.normal(0.3, 0.1, (3000, 4)), rng.normal(0, 1, (100_000, 4)), np.column_stack([np.arange(3000), rng.integers(0, 100_000, 3000)])
+    seen, flat = [], np.flatnonzero
+    monkeypatch.setattr(rc.np, "flatnonzero", lambda x: seen.append(flat(x)) or seen[-1])
+    rank = rc.ranks_to(10, users, items, np.zeros(100_000), val[:0], val, np.arange(100_000))
+    assert (rank > 10).mean() > 0.99 and sum(map(len, seen)) * 2048 < 0.1 * 3000 * 100_000
