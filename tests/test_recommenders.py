@@ -8,6 +8,7 @@ import pytest
 from orrery.operators import adam
 from orrery.operators import recommenders as rc
 from orrery.operators.autodiff import Value
+from orrery.plans import pipeline
 
 RNG = np.random.default_rng(0)
 N_U, N_I = 6, 10
@@ -232,3 +233,13 @@ def test_validation_stops_where_enough_items_are_ahead(monkeypatch):
     monkeypatch.setattr(rc.np, "flatnonzero", lambda x: seen.append(flat(x)) or seen[-1])
     rank = rc.ranks_to(10, users, items, np.zeros(100_000), val[:0], val, np.arange(100_000))
     assert (rank > 10).mean() > 0.99 and sum(map(len, seen)) * 2048 < 0.1 * 3000 * 100_000
+
+
+def test_floats_stay_of_four_bytes(spark):
+    """Half of what is sent to each task; what a model sees is the same."""
+    rows = [(i, [0.1 * i, 0.3, -1e-3]) for i in (0, 2, 3, 9)]
+    one, two = (pipeline.feature_matrix(spark.createDataFrame(rows, f"item_idx long, v array<{kind}>"), "v", 5, 3) for kind in ("float", "double"))
+    assert one.dtype == np.float32 and two.dtype == np.float64 and (one == two.astype(np.float32)).all() and one.shape == (5, 3)
+    c = [rc.Context(N_U, 5, [x]) for x in (one, one.astype(float))]
+    p = rc.init("vbpr", c[0], HP, np.random.default_rng(1))
+    assert (rc.factors("vbpr", p, c[0])[1] == rc.factors("vbpr", p, c[1])[1]).all()
