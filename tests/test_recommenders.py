@@ -243,3 +243,14 @@ def test_floats_stay_of_four_bytes(spark):
     c = [rc.Context(N_U, 5, [x]) for x in (one, one.astype(float))]
     p = rc.init("vbpr", c[0], HP, np.random.default_rng(1))
     assert (rc.factors("vbpr", p, c[0])[1] == rc.factors("vbpr", p, c[1])[1]).all()
+
+
+def test_best_jobs_need_no_parameters(spark):
+    """Only one row per job leaves the tasks; all parameters of all cells did."""
+    train, val = _data()
+    hps = [json.dumps({"latent": 4, "lr": lr, "epochs": 2, "eval_every": 1}) for lr in (0.01, 0.1)]
+    jobs = spark.createDataFrame([("bpr", hp, 42) for hp in hps], rc.JOB)
+    rows = rc.trained(jobs, rc.Context(40, 30), train, val, keep=False)
+    assert rows.count() == 2
+    best, fits = rc.best_jobs(rc.results_of(rows)).first(), {hp: rc.fit("bpr", rc.Context(40, 30), train, val, json.loads(hp), 42)[1] for hp in hps}
+    assert best["metric"] == max(fits.values()) == fits[best["hyperparams"]]
