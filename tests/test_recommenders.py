@@ -200,6 +200,43 @@ def test_rest_rule(t):
         assert (w / (s * h + 1e-8)).sum() == pytest.approx((0.9**j / (1 - 0.9 ** (t + j)) / (s * np.sqrt(0.999**j / (1 - 0.999 ** (t + j))) + 1e-8)).sum(), rel=1e-12)
 
 
+def test_negatives_are_looked_up_in_the_order_of_users(monkeypatch):
+    """The lookups were in random order, which took most of the time of an epoch's draws; the triples are the same."""
+    rng = np.random.default_rng(5)
+    train, seen, free = np.column_stack([rng.integers(0, 50, 400), rng.integers(0, 30, 400)]), [], rc.nth_free
+    monkeypatch.setattr(rc, "nth_free", lambda rows, *rest: seen.append(rows) or free(rows, *rest))
+    got = rc.triples(train, 30, np.random.default_rng(6))
+    assert len(seen) == 1 and (np.diff(seen[0]) >= 0).all()
+    pairs, draw = np.unique(train, axis=0), np.random.default_rng(6)
+    lacks = {u: np.setdiff1d(np.arange(30), pairs[pairs[:, 0] == u, 1]) for u in range(50)}
+    rows = pairs[draw.permutation(len(pairs))]
+    place = draw.integers(0, [len(lacks[u]) for u, _ in rows])
+    assert (got == [(u, i, lacks[u][k]) for (u, i), k in zip(rows, place)]).all()
+
+
+@pytest.mark.parametrize("threads", [1, 3])
+def test_threads_share_the_rows_that_a_penalty_moves(threads):
+    """One thread did all pieces, while slots without a job stayed idle; the numbers are the same to the last bit."""
+    rng, rows = np.random.default_rng(9), 3000
+    start = {"user": rng.normal(0, 0.1, (rows, 4)), "bias": np.zeros((rows, 1))}
+    one, many = adam.Adam(start, 0.01, 1e-4, behind=10, piece=rows), adam.Adam(start, 0.01, 1e-4, behind=10, piece=100, threads=threads)
+    for _ in range(35):
+        at = rng.integers(0, rows, 200)
+        for a in (one, many):
+            leaves = a.tables()
+            ((leaves["user"].take(at) * leaves["user"].take(at[::-1])).sum(1) + leaves["bias"].take(at).reshape(200)).sigmoid().mean().backward()
+            a.step(leaves)
+    assert all((one.values()[n] == many.values()[n]).all() and (one.values()[n] != x).any() for n, x in start.items())
+    assert (many.pool is not None) == (threads > 1)
+
+
+def test_jobs_with_a_penalty_take_the_slots_that_are_left():
+    plain, heavy = json.dumps({"l2": 0.0}), json.dumps({"l2": 1e-5})
+    assert rc.spare_threads([plain, plain, heavy, heavy], 6) == 2
+    assert rc.spare_threads([plain, heavy], 4) == 3 and rc.spare_threads([heavy], 600) == 4
+    assert rc.spare_threads([heavy] * 4, 6) == rc.spare_threads([heavy] * 8, 6) == rc.spare_threads([heavy], 1) == 1
+
+
 def test_validation_equals_the_sort_of_all_scores():
     rng = np.random.default_rng(11)
     c, k = rc.Context(300, 700), 10
